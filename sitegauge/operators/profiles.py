@@ -224,7 +224,10 @@ def group_band_stats(df: DataFrame, key: str, band: str, days: str, min_rows: in
 
 def top_correlations(df: DataFrame, target: str, columns: Sequence[str], k: int = 15) -> DataFrame:
     """Columns by absolute correlation with the target; constant columns drop out."""
-    pairs = df.agg(*[F.corr(c, target).alias(c) for c in columns], *[F.var_pop(c).alias(f"{c}__v") for c in columns])
+    t = F.col(target)
+    pairs = df.agg(*[
+        F.try_divide(F.covar_pop(c, t), F.stddev_pop(c) * F.stddev_pop(t)).alias(c) for c in columns
+    ], *[F.var_pop(c).alias(f"{c}__v") for c in columns])
     rows = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr"), F.col(f"{c}__v").alias("v")) for c in columns
     ])

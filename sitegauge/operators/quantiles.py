@@ -1,4 +1,4 @@
-"""Exact quantiles of groups of any size, by narrowing histograms instead of sorting a group."""
+"""Exact quantiles of groups of any size, without sorting a group."""
 
 from __future__ import annotations
 
@@ -7,63 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
-ROUNDS = 2
+ACCURACY = 10000
+MARGIN = 4.0 / ACCURACY
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
                     names: Sequence[str] | None = None) -> DataFrame:
     """Linear-interpolated quantiles per group, one column per probability.
 
-    Each wanted rank is located by bucket counts (4,096 buckets between the group's bounds), twice;
-    only the distinct values of the last bucket are then ordered.
+    A mergeable sketch brackets each quantile within a proven rank error; rows below the bracket are
+    counted, and only the few values inside it are ordered.
     """
     names = list(names or [f"p{round(p * 100)}" for p in probs])
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     if not keys:
         data, keys = data.withColumn("_all", F.lit(0)), ["_all"]
-    data = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    bounds = data.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
-    ranks = F.array(*[
-        F.struct(F.lit(i).alias("i"), part.alias("part"), rank.cast("long").alias("rank"))
-        for i, p in enumerate(probs)
-        for part, rank in (
-            (F.lit(0), F.floor((F.col("_n") - 1) * p)), (F.lit(1), F.ceil((F.col("_n") - 1) * p)),
-        )
-    ])
-    wanted = bounds.select(*keys, "_n", "_from", "_to", F.explode(ranks).alias("w")).select(
-        *keys, "_n", "_from", "_to", F.col("w.i").alias("_i"), F.col("w.part").alias("_part"),
-        F.col("w.rank").alias("_rank"), F.lit(0).cast("long").alias("_below"),
+    marks = [m for p in probs for m in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    sketch = data.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
     )
-    for _ in range(ROUNDS):
-        ranges = wanted.select(*keys, "_from", "_to").distinct()
-        inside = data.join(ranges, keys).filter(F.col("_v").between(F.col("_from"), F.col("_to")))
-        share = (F.col("_v") - F.col("_from")) / (F.col("_to") - F.col("_from"))
-        bucket = F.when(F.col("_to") > F.col("_from"), F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0)
-        counts = inside.groupBy(*keys, "_from", "_to", bucket.alias("_b")).agg(
-            F.sum("_c").alias("_bc"), F.min("_v").alias("_bmin"), F.max("_v").alias("_bmax")
-        )
-        running = Window.partitionBy(*keys, "_from", "_to").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-        counts = counts.withColumn("_cum", F.sum("_bc").over(running))
-        hit = wanted.join(counts, [*keys, "_from", "_to"])
-        place = F.col("_rank") - F.col("_below")
-        hit = hit.filter((place < F.col("_cum")) & (place >= F.col("_cum") - F.col("_bc")))
-        wanted = hit.select(
-            *keys, "_n", F.col("_bmin").alias("_from"), F.col("_bmax").alias("_to"), "_i", "_part", "_rank",
-            (F.col("_below") + F.col("_cum") - F.col("_bc")).alias("_below"),
-        )
-    ranges = wanted.select(*keys, "_from", "_to").distinct()
-    inside = data.join(ranges, keys).filter(F.col("_v").between(F.col("_from"), F.col("_to")))
-    running = Window.partitionBy(*keys, "_from", "_to").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_cum", F.sum("_c").over(running))
-    hit = wanted.join(inside, [*keys, "_from", "_to"])
-    place = F.col("_rank") - F.col("_below")
-    hit = hit.filter((place < F.col("_cum")) & (place >= F.col("_cum") - F.col("_c")))
+    bracketed = data.join(sketch, keys)
+    n = range(len(probs))
+    below = bracketed.groupBy(*keys).agg(
+        *[F.count(F.when(F.col("_v") < F.col("_marks")[2 * i], 1)).alias(f"_b{i}") for i in n]
+    )
+    which = F.array_compact(F.array(*[
+        F.when(F.col("_v").between(F.col("_marks")[2 * i], F.col("_marks")[2 * i + 1]), i) for i in n
+    ]))
+    inside = bracketed.select(*keys, "_n", "_v", F.explode(which).alias("_i"))
+    inside = inside.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    running = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("_cum", F.sum("_c").over(running)).join(below, keys)
     aggs = []
     for i, (p, name) in enumerate(zip(probs, names, strict=True)):
-        lo = F.max(F.when((F.col("_i") == i) & (F.col("_part") == 0), F.col("_v")))
-        hi = F.max(F.when((F.col("_i") == i) & (F.col("_part") == 1), F.col("_v")))
-        at = (F.max("_n") - 1) * F.lit(float(p))
-        aggs.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
-    return hit.groupBy(*keys).agg(*aggs).drop("_all")
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        end = F.col(f"_b{i}") + F.col("_cum")
+
+        def holds(rank, end=end, i=i):
+            return (F.col("_i") == i) & (rank < end) & (rank >= end - F.col("_c"))
+
+        lo, hi = (F.max(F.when(holds(rank), F.col("_v"))) for rank in (F.floor(at), F.ceil(at)))
+        aggs.append((lo + (hi - lo) * F.max(at - F.floor(at))).alias(name))
+    return inside.groupBy(*keys).agg(*aggs).drop("_all")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from sitegauge.operators.quantiles import group_quantiles
 
+RANGES = 32
+
 
 def trailing(df: DataFrame, keys: Sequence[str], date: str, days: int, aggs: Mapping[str, Column],
              count: str | None = None) -> DataFrame:
@@ -57,30 +59,38 @@ def national_queue(df: DataFrame, capacity: str, date: str = "submission_date",
     return out.withColumn("queue_times_mw", F.col("national_mw") * F.col(capacity))
 
 
-def ordered_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position") -> DataFrame:
-    """1-based rank in the total order of each key, for groups of any size.
+def ordered_position(df: DataFrame, keys: Sequence[str], score: str, id: str, out: str = "position") -> DataFrame:
+    """1-based rank by (score, id) within each key, for groups of any size; ``id`` is a whole number.
 
-    The order columns' first is cut into ranges by exact quantiles of the group, rows are ranked inside
-    a range and the sizes of earlier ranges added.
+    Sketched quantiles cut every group into ranges, and ids cut scores that fill whole ranges by
+    themselves. Rows are ranked inside a range and the exact sizes of the earlier ranges added, so the
+    sketch affects balance only.
     """
-    first, keys = order[0], list(keys)
-    cuts = 64
-    edges = group_quantiles(df, keys, first, [i / cuts for i in range(1, cuts)], [f"_e{i}" for i in range(1, cuts)])
-    edges = edges.select(*keys, F.array(*[f"_e{i}" for i in range(1, cuts)]).alias("_edges"))
-    ranged = df.join(F.broadcast(edges), keys, "left") if keys else df.join(F.broadcast(edges), how="cross")
-    band = F.size(F.filter("_edges", lambda e: e < F.col(first).cast("double")))
-    ranged = ranged.withColumn("_band", F.when(F.col(first).isNull(), -1).otherwise(band)).drop("_edges")
-    sizes = ranged.groupBy(*keys, "_band").agg(F.count(F.lit(1)).alias("_size"))
-    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(*(keys or [F.lit(0)]))
+    keys = list(keys)
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    group = keys or ["_all"]
+    df = df if keys else df.withColumn("_all", F.lit(0))
+    edges = df.groupBy(*group).agg(F.percentile_approx(F.col(score).cast("double"), cuts, 1000).alias("_edges"))
+    edges = edges.withColumn("_hot", F.array_distinct(F.filter(
+        F.col("_edges"), lambda e: F.size(F.filter(F.col("_edges"), lambda o: o == e)) > 1
+    )))
+    cut = df.join(edges, group)
+    value = F.col(score).cast("double")
+    cut = cut.withColumn("_is_hot", F.coalesce(F.array_contains("_hot", value), F.lit(False)))
+    cut = cut.withColumn("_band", F.when(value.isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e < value))))
+    splits = cut.filter("_is_hot").groupBy(*group, "_band").agg(F.percentile_approx(F.col(id), cuts, 1000).alias("_ids"))
+    cut = cut.drop("_edges", "_hot").join(splits, [*group, "_band"], "left")
+    part = F.when(F.col("_is_hot"), 1 + F.size(F.filter("_ids", lambda e: e < F.col(id)))).otherwise(0)
+    cut = cut.withColumn("_part", part).drop("_ids", "_is_hot")
+    sizes = cut.groupBy(*group, "_band", "_part").agg(F.count(F.lit(1)).alias("_size"))
+    ordered = Window.partitionBy(*group).orderBy("_band", "_part")
     sizes = sizes.withColumns({
-        "_before": F.coalesce(F.sum("_size").over(earlier), F.lit(0)), "group_size": F.sum("_size").over(total),
+        "_before": F.coalesce(F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "group_size": F.sum("_size").over(Window.partitionBy(*group)),
     }).drop("_size")
-    inside = Window.partitionBy(*keys, "_band").orderBy(*order)
-    ranged = ranged.withColumn("_in", F.row_number().over(inside))
-    return ranged.join(F.broadcast(sizes), [*keys, "_band"]).withColumn(out, F.col("_before") + F.col("_in")).drop(
-        "_band", "_before", "_in"
-    )
+    inside = Window.partitionBy(*group, "_band", "_part").orderBy(score, id)
+    ranked = cut.withColumn("_in", F.row_number().over(inside)).join(sizes, [*group, "_band", "_part"])
+    return ranked.withColumn(out, F.col("_before") + F.col("_in")).drop("_band", "_part", "_before", "_in", "_all")
 
 
 # Quartile labels and colours, best first.
@@ -89,7 +99,7 @@ QUARTILE_STYLE = (("Q1 (Best)", "#2ecc71"), ("Q2", "#f1c40f"), ("Q3", "#e67e22")
 
 def rank_style(df: DataFrame, keys: Sequence[str], score: str, id: str) -> DataFrame:
     """0-based position over group size as a percentage, with its quartile label and colour."""
-    out = ordered_position(df, keys, [score, id])
+    out = ordered_position(df, keys, score, id)
     pct = (F.col("position") - 1) * 100.0 / F.col("group_size")
     out = out.withColumn("rank_pct", pct)
     label, colour = F.lit(QUARTILE_STYLE[3][0]), F.lit(QUARTILE_STYLE[3][1])

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from sitegauge.plans import cleaning
+from sitegauge.plans import cleaning, profiles, temporal
 from sitegauge.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cleaning"]
+__all__ = ["QUERIES", "SQL", "cleaning", "profiles", "temporal"]

@@ -29,7 +29,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     return spark
 
 
