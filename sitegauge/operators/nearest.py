@@ -203,3 +203,70 @@ def inverse_distance(value: Column, distance: Column, power: int = 2, floor: flo
     """Aggregate: mean of ``value`` weighted by distance to the minus ``power``."""
     w = 1 / F.pow(F.greatest(distance, F.lit(floor)), F.lit(power))
     return F.sum(value * w) / F.sum(F.when(value.isNotNull(), w))
+
+
+def knn_in_years(sites: DataFrame, items: DataFrame, k: int, *, years: Sequence[int], date: str, item_year: str,
+                 site: str, id: str, attrs: Sequence[str] = ()) -> DataFrame:
+    """k nearest among items dated year(date) + one of ``years``: searched per year, then merged."""
+    asked = sites.select(site, "x", "y", F.explode(F.array(*[F.year(date) + y for y in years])).alias(item_year))
+    items = items.withColumn(item_year, F.col(item_year).cast("int"))
+    found = knn(asked, items, k, id=id, attrs=attrs, by=[item_year])
+    best = Window.partitionBy(site).orderBy("distance", id)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def precedents(sites: DataFrame, history: DataFrame, *, site: str, k: int, submitted: str, special: tuple[str, str],
+               missing_km: float = 999.0) -> DataFrame:
+    """Statistics of the k nearest applications decided before each submission; null below k of them.
+
+    The decision date is the history's submission plus its duration.
+    """
+    column, value = special
+    decided = history.select(
+        F.col(site).alias("_pid"), "x", "y", "granted", F.col(column).alias("_kind"),
+        F.date_add(submitted, F.col("duration_days").cast("int")).alias("_decided"),
+    )
+    found = knn(sites.select(site, "x", "y", submitted), decided, k, id="_pid", attrs=["granted", "_kind"],
+                before=(submitted, "_decided"))
+    km = F.col("distance") / 1000
+    w = 1 / (km + 1e-6)
+    is_special, refused = F.col("_kind") == value, F.col("granted") == 0
+    stats = found.groupBy(site).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(km).alias("mean_km"), F.stddev_pop(km).alias("std_km"),
+        F.min(km).alias("nearest_km"), F.avg("granted").alias("approval_rate"),
+        (F.sum(F.col("granted") * w) / F.sum(w)).alias("weighted_approval"),
+        F.count(F.when(is_special, 1)).alias("n_special"),
+        F.coalesce(F.min(F.when(is_special, km)), F.lit(missing_km)).alias("nearest_special_km"),
+        F.coalesce(F.min(F.when(refused, km)), F.lit(missing_km)).alias("nearest_refused_km"),
+    )
+    return sites.select(site).join(stats.filter(F.col("_n") == k).drop("_n"), site, "left")
+
+
+def banded_haversine_knn(sites: DataFrame, items: DataFrame, k: int, *, site: str, id: str, band: str,
+                         attrs: Sequence[str] = (), min_band: int = 20) -> DataFrame:
+    """Geographic neighbours from the site's own band, or from all items when the band has too few."""
+    sizes = items.groupBy(band).agg(F.count(F.lit(1)).alias("_n"))
+    sized = sites.join(sizes, band, "left").withColumn("_own", F.coalesce(F.col("_n"), F.lit(0)) >= min_band)
+    options = {"id": id, "attrs": attrs, "qx": "lon", "qy": "lat", "x": "lon", "y": "lat", "metric": HAVERSINE}
+    cols = [site, "lon", "lat"]
+    own = knn(sized.filter("_own").select(*cols, band), items, k, by=[band], **options).drop(band)
+    return own.unionByName(knn(sized.filter("NOT _own").select(*cols), items, k, **options))
+
+
+def legacy_precedent(sites: DataFrame, *, cutoff: int, site: str, r: float = 10000.0) -> DataFrame:
+    """History from before the cutoff year described for every later application."""
+    from sitegauge.operators.radius import sums_within
+
+    old = sites.filter(F.year("submission_date") < cutoff)
+    new = sites.filter(F.year("submission_date") >= cutoff).select(site, "lpa", "x", "y")
+    label = str(int(r))
+    out = sums_within(new, old, [r], {"n": F.lit(1), "ok": F.col("granted")})
+    out = out.withColumns({
+        "n_10km": F.col(f"n_{label}"), "rate_10km": F.when(F.col(f"n_{label}") > 0, F.col(f"ok_{label}") / F.col(f"n_{label}")),
+    }).drop(f"n_{label}", f"ok_{label}")
+    authority = old.groupBy("lpa").agg(F.avg("granted").alias("lpa_rate"), F.count(F.lit(1)).alias("lpa_n"))
+    out = out.join(authority, "lpa", "left")
+    past = old.select(F.col(site).alias("_pid"), "x", "y", "granted")
+    for name, part in (("nearest_km", past), ("nearest_granted_km", past.filter("granted = 1")), ("nearest_refused_km", past.filter("granted = 0"))):
+        out = nearest(out, part, id="_pid", distance=name, how="left").drop("_pid").withColumn(name, F.col(name) / 1000)
+    return out.drop("x", "y", "lpa")

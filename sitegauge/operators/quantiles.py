@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10000
 MARGIN = 4.0 / ACCURACY
+SMALL_GROUP = 3 / MARGIN
 
 
 def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -16,7 +17,8 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     """Linear-interpolated quantiles per group, one column per probability.
 
     A mergeable sketch brackets each quantile within a proven rank error; rows below the bracket are
-    counted, and only the few values inside it are ordered.
+    counted, and only the few values inside it are ordered. Groups too small for the margin to span
+    whole rows (7,500) are ordered directly.
     """
     names = list(names or [f"p{round(p * 100)}" for p in probs])
     keys = list(keys)
@@ -27,6 +29,9 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     sketch = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
     )
+    small = F.col("_n") < SMALL_GROUP
+    whole_line = F.array(*[F.lit(float(s)) for _ in probs for s in ("-inf", "inf")])
+    sketch = sketch.withColumn("_marks", F.when(small, whole_line).otherwise(F.col("_marks")))
     bracketed = data.join(sketch, keys)
     n = range(len(probs))
     below = bracketed.groupBy(*keys).agg(
