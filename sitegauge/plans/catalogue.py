@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from sitegauge.plans import cleaning, profiles, spatial, temporal
+from sitegauge.plans import cleaning, features, models, pages, profiles, spatial, temporal
 from sitegauge.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cleaning", "profiles", "spatial", "temporal"]
+__all__ = ["QUERIES", "SQL", "cleaning", "features", "models", "pages", "profiles", "spatial", "temporal"]
