@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from sitegauge.functions import geometry as geo
 
 FAN_BITS = 2
-SPARE_LEVELS = 3
 MAX_DEPTH = 12
+REFINE_LEVELS = 2
 LEVEL_BITS, ROW_BITS = 54, 27
 BROADCAST_CELLS = 4096
 SPREAD = 1 << 20
@@ -41,15 +41,43 @@ class Pyramid:
     stats: tuple[str, ...]
 
 
-def _cell_at(level: Column, depth: int) -> Column:
+def _cell_at(level: Column) -> Column:
     """Cell number at ``level`` of the finest cell (_ix, _iy): level, row and column packed in a long."""
-    shift = (F.lit(depth) - level) * FAN_BITS
+    shift = (F.lit(MAX_DEPTH) - level) * FAN_BITS
     row = F.call_function("shiftright", F.col("_ix"), shift)
     column = F.call_function("shiftright", F.col("_iy"), shift)
     tag = F.call_function("shiftleft", level.cast("long"), F.lit(LEVEL_BITS))
     return tag + F.call_function("shiftleft", row, F.lit(ROW_BITS)) + column
 
 
+def _level_cells(items: DataFrame, first: int, last: int, by: Sequence[str], sums: Mapping[str, Column],
+                 nth_key: tuple[str, int] | None) -> DataFrame:
+    """Statistics of every occupied cell on the levels first..last, combined before the shuffle."""
+    levels = items.withColumn("_lvl", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    parent = F.when(F.col("_lvl") > 1, _cell_at(F.col("_lvl") - 1)).otherwise(F.lit(0).cast("long"))
+    levels = levels.withColumns({"_cell": _cell_at(F.col("_lvl")), "_parent": parent})
+    key = [*by, "_cell"]
+    cells = levels.groupBy(*key).agg(
+        F.first("_lvl").alias("_lvl"), F.first("_parent").alias("_parent"),
+        F.count(F.lit(1)).alias("_n"), F.max("_reach").alias("_h"),
+        F.min("_px").alias("_x0"), F.min("_py").alias("_y0"),
+        F.max("_px").alias("_x1"), F.max("_py").alias("_y1"),
+        *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()],
+        *([F.min(nth_key[0]).alias("_key_min")] if nth_key else []),
+    )
+    if not nth_key:
+        return cells
+    column, k = nth_key
+    nth = (
+        levels.select(*key, F.col(column).alias("_key_nth"))
+        .withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy("_key_nth")))
+        .filter(F.col("_rn") <= k)
+        .groupBy(*key).agg(F.max("_key_nth").alias("_key_nth"), F.count(F.lit(1)).alias("_have"))
+        .filter(F.col("_have") == k).drop("_have")
+    )
+    return cells.join(nth, key, "left")
+
+
 def build(
     items: DataFrame,
     x: str = "x",
@@ -76,41 +104,28 @@ def build(
     if not n:
         return None
     span = max(x1 - x0, y1 - y0, 1e-6) * (1 + 1e-9)
-    depth = min(MAX_DEPTH, max(1, math.ceil(math.log(max(n / leaf_rows, 1), 16))) + SPARE_LEVELS)
-    side = 4**depth
+    side = 4**MAX_DEPTH
 
     def index(c: str, origin: float) -> Column:
         return F.least(F.floor((F.col(c) - origin) / span * side), F.lit(side - 1)).cast("long")
 
     items = items.withColumns({"_ix": index("_px", x0), "_iy": index("_py", y0)})
-    levels = items.withColumn("_lvl", F.explode(F.sequence(F.lit(1), F.lit(depth))))
-    levels = levels.withColumns({
-        "_cell": _cell_at(F.col("_lvl"), depth),
-        "_parent": F.when(F.col("_lvl") > 1, _cell_at(F.col("_lvl") - 1, depth)).otherwise(F.lit(0).cast("long")),
-    })
-    key = [*by, "_cell"]
-    cells = levels.groupBy(*key).agg(
-        F.first("_lvl").alias("_lvl"), F.first("_parent").alias("_parent"),
-        F.count(F.lit(1)).alias("_n"), F.max("_reach").alias("_h"),
-        F.min("_px").alias("_x0"), F.min("_py").alias("_y0"),
-        F.max("_px").alias("_x1"), F.max("_py").alias("_y1"),
-        *[F.sum(c).alias(f"_sum_{name}") for name, c in sums.items()],
-        *([F.min(nth_key[0]).alias("_key_min")] if nth_key else []),
-    )
-    stats = [*STATS, *[f"_sum_{name}" for name in sums]]
-    if nth_key:
-        column, k = nth_key
-        nth = (
-            levels.select(*key, F.col(column).alias("_key_nth"))
-            .withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy("_key_nth")))
-            .filter(F.col("_rn") <= k)
-            .groupBy(*key).agg(F.max("_key_nth").alias("_key_nth"), F.count(F.lit(1)).alias("_have"))
-            .filter(F.col("_have") == k).drop("_have")
-        )
-        cells = cells.join(nth, key, "left")
-        stats += ["_key_min", "_key_nth"]
-    cells = cells.withColumn("_leaf", (F.col("_n") <= leaf_rows) | (F.col("_lvl") == depth)).persist()
-    deepest = (cells.filter(~F.col("_leaf")).agg(F.max("_lvl")).first()[0] or 0) + 1
+    stats = [*STATS, *[f"_sum_{name}" for name in sums], *(["_key_min", "_key_nth"] if nth_key else [])]
+    bottom = min(MAX_DEPTH, max(1, math.ceil(math.log(max(n / leaf_rows, 1), 16))) + 1)
+    cells = _level_cells(items, 1, bottom, by, sums, nth_key).persist()
+    whole = (F.col("_n") <= leaf_rows) | ((F.col("_x0") == F.col("_x1")) & (F.col("_y0") == F.col("_y1")))
+    while True:
+        crowded = ~whole & (F.col("_lvl") == bottom)
+        top_open, left = cells.agg(F.max(F.when(~whole, F.col("_lvl"))), F.count(F.when(crowded, 1))).first()
+        if not left or bottom == MAX_DEPTH:
+            break
+        # Only items of cells still crowded at the bottom are counted on finer levels.
+        lower = min(bottom + REFINE_LEVELS, MAX_DEPTH)
+        again = items.withColumn("_cell", _cell_at(F.lit(bottom))).join(cells.filter(crowded).select(*by, "_cell"), [*by, "_cell"], "left_semi")
+        cells = cells.unionByName(_level_cells(again.drop("_cell"), bottom + 1, lower, by, sums, nth_key).persist())
+        bottom = lower
+    cells = cells.withColumn("_leaf", whole | (F.col("_lvl") == MAX_DEPTH))
+    deepest = min((top_open or 0) + 1, MAX_DEPTH)
 
     parents = cells.select(*by, F.col("_cell").alias("_parent"), F.col("_leaf").alias("_covered"))
     live = (
@@ -130,8 +145,8 @@ def build(
     leaves = steps.filter((F.col("_at") == deepest) & F.col("_leaf")).select(*by, "_cell")
     placed = (
         items.withColumn("_lvl", F.explode(F.sequence(F.lit(1), F.lit(deepest))))
-        .withColumn("_cell", _cell_at(F.col("_lvl"), depth))
-        .join(leaves, key).drop("_ix", "_iy", "_lvl", "_reach")
+        .withColumn("_cell", _cell_at(F.col("_lvl")))
+        .join(leaves, [*by, "_cell"]).drop("_ix", "_iy", "_lvl", "_reach")
     )
     return Pyramid(placed, steps, deepest, by, tuple(stats))
 

@@ -140,8 +140,14 @@ def pairs_within(
     y: str = "y",
     ix: str = "x",
     iy: str = "y",
+    distinct: bool = False,
 ) -> DataFrame:
-    """Distinct places of ``points`` paired with the items within r: x, y, ``keep``, distance."""
+    """Distinct places of ``points`` paired with the items within r: x, y, ``keep``, distance.
+
+    ``distinct`` reduces items alike in place and ``keep`` to one, for callers that only ask whether.
+    """
+    if distinct:
+        items = items.select(*dict.fromkeys([*keep, *(ends or (ix, iy))])).distinct()
     if ends:
         index = index_segments(items, ends, keep=keep)
         e = [F.col(f"_i__{c}") for c in ("ax", "ay", "bx", "by")]

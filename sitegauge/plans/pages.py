@@ -162,7 +162,7 @@ def _(t):
                                  F.concat(F.lit("Area "), (key % 7).cast("string")).alias("parent"))
     sites = t.places.select("site_id", "x", "y", "submission_date")
     near = nr.nearest(sites, units, id="sub_id", attrs=["assessed", "parent"])
-    worst = pairs_within(sites, units, 5000, keep=["condition"]).groupBy("x", "y").agg(F.max("condition").alias("worst"))
+    worst = pairs_within(sites, units, 5000, keep=["condition"], distinct=True).groupBy("x", "y").agg(F.max("condition").alias("worst"))
     own = F.concat(F.lit("area "), (F.col("site_id") % 7).cast("string"))
     midyear = F.make_date(F.year("submission_date"), F.lit(6), F.lit(30))
     return near.join(worst, ["x", "y"], "left").select(
@@ -245,8 +245,8 @@ def _(t):
 
 @query("src06_asset_windows", f"{with_ctes('sites', 'subs')} SELECT sub_id, {rnd('avg(s.duration_days)')} AS mean_days, count(*) AS n FROM subs b JOIN sites s ON {sql_distance('s', 'b')}<=2000 GROUP BY 1")
 def _(t):
-    from sitegauge.operators.radius import pairs_within
+    from sitegauge.operators.radius import sums_within
 
-    pairs = pairs_within(t.substations, t.places.select("x", "y", "duration_days"), 2000, keep=["duration_days"])
-    out = pairs.groupBy("x", "y").agg(F.avg("duration_days").alias("mean_days"), F.count(F.lit(1)).alias("n"))
-    return rounded(t.substations.join(out, ["x", "y"]).select("sub_id", "mean_days", "n"), ["mean_days"])
+    out = sums_within(t.substations.select("sub_id", "x", "y"), t.places, [2000], {"n": F.lit(1), "days": F.col("duration_days")})
+    out = out.filter("n_2000 > 0").select("sub_id", (F.col("days_2000") / F.col("n_2000")).alias("mean_days"), F.col("n_2000").alias("n"))
+    return rounded(out, ["mean_days"])

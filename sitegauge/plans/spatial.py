@@ -219,7 +219,7 @@ SELECT s.site_id, coalesce(n,0) AS tags FROM sites s LEFT JOIN d ON d.site_id=s.
 )
 def _(t):
     sites = t.places.select("site_id", "x", "y")
-    near = rd.pairs_within(sites, t.segments, 2000, keep=["asset_tag"], ends=ln.ENDS)
+    near = rd.pairs_within(sites, t.segments, 2000, keep=["asset_tag"], ends=ln.ENDS, distinct=True)
     counts = near.groupBy("x", "y").agg(F.count_distinct("asset_tag").alias("tags"))
     return sites.join(counts, ["x", "y"], "left").na.fill(0, ["tags"]).select("site_id", "tags")
 
