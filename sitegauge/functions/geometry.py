@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,27 +58,35 @@ def length_in_disc(x, y, r, ax, ay, bx, by) -> Column:
     return F.when((a > 0) & (disc > 0), (t2 - t1) * F.sqrt(a)).otherwise(0.0)
 
 
-def area_in_disc_term(x, y, r, ax, ay, bx, by) -> Column:
-    """One directed edge's share of polygon-and-disc area; the sum over all edges is the signed area.
+def with_disc_area_terms(df: DataFrame, x: Column, y: Column, radii: Mapping[str, float], ax, ay, bx, by) -> DataFrame:
+    """Each directed edge's share of polygon-and-disc area, one column per radius; the sum over all
+    edges is the signed area.
 
     The edge is cut where it meets the circle: chord parts add a triangle with the centre, the parts
-    outside add the circular sector they subtend.
+    outside add the circular sector they subtend. Steps are staged as columns so each is computed once.
     """
-    a, disc, t1, t2 = _circle_roots(x, y, r, ax, ay, bx, by)
-    px, py, qx, qy = ax - x, ay - y, bx - x, by - y
-    sx, sy = px + t1 * (bx - ax), py + t1 * (by - ay)
-    ex, ey = px + t2 * (bx - ax), py + t2 * (by - ay)
-
-    def sector(ux, uy, vx, vy):
-        return r * r / 2 * F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
-
-    hits = (disc > 0) & (t2 > t1)
-    return F.when(a == 0, F.lit(0.0)).when(
-        hits,
-        sector(px, py, sx, sy) * (t1 > 0).cast("double")
-        + (sx * ey - sy * ex) / 2
-        + sector(ex, ey, qx, qy) * (t2 < 1).cast("double"),
-    ).otherwise(sector(px, py, qx, qy))
+    px, py, qx, qy, ux, uy, a, b, c = (F.col(f"_g_{n}") for n in ("px", "py", "qx", "qy", "ux", "uy", "a", "b", "c"))
+    df = df.withColumns({"_g_px": ax - x, "_g_py": ay - y, "_g_qx": bx - x, "_g_qy": by - y, "_g_ux": bx - ax, "_g_uy": by - ay})
+    df = df.withColumns({"_g_a": ux * ux + uy * uy, "_g_b": px * ux + py * uy, "_g_c": px * px + py * py})
+
+    def sector(r, vx, vy, wx, wy):
+        return r * r / 2 * F.atan2(vx * wy - vy * wx, vx * wx + vy * wy)
+
+    for name, r in radii.items():
+        disc, root, t1, t2 = (F.col(f"_g_{n}") for n in ("disc", "root", "t1", "t2"))
+        df = df.withColumn("_g_disc", b * b - a * (c - float(r) * float(r)))
+        df = df.withColumn("_g_root", F.when((disc > 0) & (a > 0), F.sqrt(disc)))
+        df = df.withColumns({
+            "_g_t1": F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-b - root) / a)),
+            "_g_t2": F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-b + root) / a)),
+        })
+        sx, sy, ex, ey = (F.col(f"_g_{n}") for n in ("sx", "sy", "ex", "ey"))
+        df = df.withColumn("_g_cut", root.isNotNull() & (t2 > t1))
+        df = df.withColumns({"_g_sx": px + t1 * ux, "_g_sy": py + t1 * uy, "_g_ex": px + t2 * ux, "_g_ey": py + t2 * uy})
+        chord = F.when(t1 > 0, sector(r, px, py, sx, sy)).otherwise(0.0) + (sx * ey - sy * ex) / 2
+        chord = chord + F.when(t2 < 1, sector(r, ex, ey, qx, qy)).otherwise(0.0)
+        df = df.withColumn(name, F.when(F.col("_g_cut"), chord).otherwise(sector(r, px, py, qx, qy)))
+    return df.drop(*[c for c in df.columns if c.startswith("_g_")])
 
 
 def disc_area(r: float) -> float:

@@ -358,6 +358,14 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
 
 
+def traffic_light(years: Column, edges: Sequence[float]) -> Column:
+    """3 for the soonest constraint down to 0 beyond the last edge."""
+    out = F.lit(0)
+    for level, edge in reversed(list(zip(range(len(edges), 0, -1), edges, strict=True))):
+        out = F.when(years < edge, level).otherwise(out)
+    return out
+
+
 def neighbour_interactions(measures: Mapping[str, Column], diversity: Column) -> dict[str, Column]:
     return {f"diversity_x_{n}": diversity * c for n, c in measures.items()}
 

@@ -159,10 +159,10 @@ def clipped_areas(points: DataFrame, edges: DataFrame, radii: Sequence[float], i
     """(x, y, id, clip_r...) area of each polygon inside each disc around each distinct place."""
     pairs = polygons_within(points, edges, max(radii), id).select("x", "y", id)
     met = pairs.join(edges.select(id, *EDGE), id)
-    e = [F.col(c) for c in EDGE]
-    return met.groupBy("x", "y", id).agg(*[
-        F.abs(F.sum(geo.area_in_disc_term(F.col("x"), F.col("y"), F.lit(float(r)), *e))).alias(f"clip_{int(r)}") for r in radii
-    ])
+    terms = geo.with_disc_area_terms(
+        met, F.col("x"), F.col("y"), {f"clip_{int(r)}": float(r) for r in radii}, *[F.col(c) for c in EDGE]
+    )
+    return terms.groupBy("x", "y", id).agg(*[F.abs(F.sum(f"clip_{int(r)}")).alias(f"clip_{int(r)}") for r in radii])
 
 
 def clipped_area_by_class(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str,

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions import geometry as geo
 from sitegauge.operators import pyramid as pyr
 
-Term = Callable[[str, float], Column]
+Total = Callable[[str, float], Column]
 
 
 def _label(r: float) -> str:
@@ -75,10 +75,17 @@ def sums_within(
     index = pyr.build(items, ix, iy, by=by, sums={n: F.col(f"m_{n}") for n in measures})
     d = geo.distance(F.col("_qx"), F.col("_qy"), F.col("_i__px"), F.col("_i__py"))
 
-    def term(name: str, r: float) -> Column:
-        return F.when(d <= r, F.col(f"_i_m_{name}"))
+    def stage(rows: DataFrame) -> DataFrame:
+        settled = F.col("_settled")
+        return rows.select(
+            *by, x, y, F.when(settled, F.col("_hi")).otherwise(d).alias("_d"),
+            *[F.when(settled, F.col(f"_sum_{n}")).otherwise(F.col(f"_i_m_{n}")).alias(f"_m_{n}") for n in measures],
+        )
 
-    return _aggregate(points, index, radii, list(measures), term, x, y, by)
+    def total(name: str, r: float) -> Column:
+        return F.sum(F.when(F.col("_d") <= r, F.col(f"_m_{name}")))
+
+    return _aggregate(points, index, radii, list(measures), stage, total, x, y, by)
 
 
 def length_within(
@@ -96,10 +103,11 @@ def length_within(
     index = index_segments(segments, ends, by, with_length=True)
     e = [F.col(f"_i__{c}") for c in ("ax", "ay", "bx", "by")]
 
-    def term(_: str, r: float) -> Column:
-        return geo.length_in_disc(F.col("_qx"), F.col("_qy"), F.lit(float(r)), *e)
+    def total(_: str, r: float) -> Column:
+        whole = F.when(F.col("_hi") <= r, F.col("_sum_length"))
+        return F.sum(F.when(F.col("_settled"), whole).otherwise(geo.length_in_disc(F.col("_qx"), F.col("_qy"), F.lit(float(r)), *e)))
 
-    return _aggregate(points, index, radii, ["length"], term, x, y, by, {"length": name})
+    return _aggregate(points, index, radii, ["length"], lambda rows: rows, total, x, y, by, {"length": name})
 
 
 def index_segments(segments: DataFrame, ends: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = (),
@@ -113,18 +121,14 @@ def index_segments(segments: DataFrame, ends: Sequence[str], by: Sequence[str] =
                      sums={"length": F.col("_len")} if with_length else None)
 
 
-def _aggregate(points, index, radii, names, term: Term, x, y, by, labels=None) -> DataFrame:
+def _aggregate(points, index, radii, names, stage, total: Total, x, y, by, labels=None) -> DataFrame:
     labels = labels or {}
     outs = [(n, float(r), f"{labels.get(n, n)}_{_label(r)}") for n in names for r in radii]
     if index is None:
         return points.withColumns({o: F.lit(0.0) for _, _, o in outs})
     places = [*by, x, y]
-    rows = _leaf_join(_walk(pyr.start(points, x, y, places), index, radii), index, "left")
-    aggs = [
-        F.sum(F.when(F.col("_settled"), F.when(F.col("_hi") <= r, F.col(f"_sum_{n}"))).otherwise(term(n, r))).alias(o)
-        for n, r, o in outs
-    ]
-    totals = rows.groupBy(*places).agg(*aggs)
+    rows = stage(_leaf_join(_walk(pyr.start(points, x, y, places), index, radii), index, "left"))
+    totals = rows.groupBy(*places).agg(*[total(n, r).alias(o) for n, r, o in outs])
     out = points.join(totals, places, "left")
     return out.withColumns({o: F.coalesce(F.col(o), F.lit(0)) for _, _, o in outs})
 

@@ -177,3 +177,20 @@ def _(t):
 def _(t):
     era = wn.band(F.col("year"), [0, 2015, 2018, 2021]).cast("int")
     return rounded(wide(t).select("site_id", era.alias("era"), (era * F.col("lpa_days")).alias("era_load")), ["era_load"])
+
+
+@query(
+    "fs11_traffic_light",
+    f"{WIDE} SELECT site_id, CAST(CASE WHEN years_to_constraint<1 THEN 3 WHEN years_to_constraint<3 THEN 2 WHEN years_to_constraint<6 THEN 1 ELSE 0 END AS INTEGER) AS light FROM wide",
+)
+def _(t):
+    return wide(t).select("site_id", fs.traffic_light(F.col("years_to_constraint"), (1, 3, 6)).alias("light"))
+
+
+@query(
+    "fs17_post_knn_interaction",
+    f"{WIDE} SELECT site_id, {rnd('variance*cap')} AS diversity_x_cap, {rnd('variance*lpa_days')} AS diversity_x_days FROM wide",
+)
+def _(t):
+    out = fs.neighbour_interactions({"cap": F.col("cap"), "days": F.col("lpa_days")}, F.col("variance"))
+    return rounded(wide(t).select("site_id", *[c.alias(n) for n, c in out.items()]), list(out))

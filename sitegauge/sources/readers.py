@@ -36,6 +36,18 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from files with one feature per line, which many tasks can read; partition folders add columns."""
+    schema = "properties map<string,string>, geometry struct<type: string, coordinates: string>"
+    raw = spark.read.schema(schema).json(path)
+    partitions = [c for c in raw.columns if c not in ("properties", "geometry")]
+    text = F.to_json(F.struct("properties", "geometry"))
+    return raw.select(
+        F.xxhash64(text, *partitions).alias("feature_id"), "properties", F.col("geometry.type").alias("kind"),
+        F.col("geometry.coordinates").alias("coordinates"), *partitions,
+    )
+
+
 def geojson_points(features: DataFrame) -> DataFrame:
     c = F.from_json("coordinates", "array<double>")
     return features.filter("kind = 'Point'").select("feature_id", "properties", c[0].alias("x"), c[1].alias("y"))
@@ -125,8 +137,9 @@ def points_from_latlon_text(text: Column) -> tuple[Column, Column]:
     return F.get(parts, 1).try_cast("double"), F.get(parts, 0).try_cast("double")
 
 
-def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def read_registry(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Registry entries from a JSON array, or from one entry per line."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def parse_stats_text(reports: DataFrame, text: str = "text") -> DataFrame:
