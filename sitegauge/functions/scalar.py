@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
@@ -15,6 +15,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def only_row(df: DataFrame) -> Column:
+    """The single row of ``df`` as a struct column, read as a scalar subquery."""
+    return df.select(F.struct("*").alias("_row")).scalar()
+
+
 def fixed(c: str | Column, digits: int = 6) -> Column:
     """Half-up rounding whose threshold sits just off exact ties, so summation order cannot flip it."""
     scale = float(10**digits)

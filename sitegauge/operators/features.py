@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions.scalar import only_row
 from sitegauge.operators.quantiles import group_quantiles
 from sitegauge.operators.windows import months_to_window
 
@@ -340,22 +341,19 @@ def named_site_risk(df: DataFrame, prefix: str, keywords: Sequence[str], out: st
 
 def quantile_regime_flags(df: DataFrame, columns: Sequence[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
     """0/1 columns below the lower and above the upper quantile of the whole column."""
+    flags = {}
     for c in columns:
-        edges = group_quantiles(df, [], c, [low, high], ["_lo", "_hi"])
-        df = df.join(F.broadcast(edges), how="cross").withColumns({
-            f"{c}_low": (F.col(c) <= F.col("_lo")).cast("int"), f"{c}_high": (F.col(c) >= F.col("_hi")).cast("int"),
-        }).drop("_lo", "_hi")
-    return df
+        edges = only_row(group_quantiles(df, [], c, [low, high], ["lo", "hi"]))
+        flags |= {f"{c}_low": (F.col(c) <= edges["lo"]).cast("int"), f"{c}_high": (F.col(c) >= edges["hi"]).cast("int")}
+    return df.withColumns(flags)
 
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """z-scores from one pass over all columns; constant columns become 0."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    out = df.join(F.broadcast(stats), how="cross")
-    out = out.withColumns({
-        c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in columns
+    stats = only_row(df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]))
+    return df.withColumns({
+        c: F.when(stats[f"s_{c}"] > 0, (F.col(c) - stats[f"m_{c}"]) / stats[f"s_{c}"]).otherwise(0.0) for c in columns
     })
-    return out.drop(*[f"_m_{c}" for c in columns], *[f"_s_{c}" for c in columns])
 
 
 def traffic_light(years: Column, edges: Sequence[float]) -> Column:

@@ -15,6 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegauge.functions.scalar import only_row
 from sitegauge.operators.profiles import error_metrics
 from sitegauge.operators.quantiles import group_quantiles
 from sitegauge.operators.windows import ordered_position, quartile_band
@@ -57,8 +58,7 @@ def impute_columns(df: DataFrame, targets: Sequence[str], predictors: Sequence[s
     df = assembler(predictors, "_x").transform(df)
     for c in targets:
         if known[c] < min_known:
-            median = group_quantiles(df, [], c, [0.5], ["_median"])
-            df = df.join(F.broadcast(median), how="cross").withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_median")
+            df = df.withColumn(c, F.coalesce(F.col(c), group_quantiles(df, [], c, [0.5]).scalar()))
             continue
         rows = df.filter(F.col(c).isNotNull())
         held = hash_share(id, c) < 0.2
@@ -153,10 +153,10 @@ def stratified_models(train: DataFrame, rows: DataFrame, features: Sequence[str]
 
 def catastrophe_classifier(train: DataFrame, rows: DataFrame, features: Sequence[str], error: str) -> DataFrame:
     """Chance that a row's error exceeds the training errors' 90 % quantile; classes weighted to balance."""
-    edge = group_quantiles(train, [], error, [0.9], ["_edge"])
-    labelled = train.join(F.broadcast(edge), how="cross").withColumn("_bad", (F.col(error) > F.col("_edge")).cast("double"))
-    share = labelled.agg(F.avg("_bad").alias("_share"))
-    labelled = labelled.join(F.broadcast(share), how="cross").withColumn("_w", F.when(F.col("_bad") == 1, 0.5 / F.col("_share")).otherwise(0.5 / (1 - F.col("_share"))))
+    edge = group_quantiles(train, [], error, [0.9]).scalar()
+    labelled = train.withColumn("_bad", (F.col(error) > edge).cast("double"))
+    share = labelled.agg(F.avg("_bad")).scalar()
+    labelled = labelled.withColumn("_w", F.when(F.col("_bad") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     model = GBTClassifier(featuresCol="features", labelCol="_bad", weightCol="_w", maxIter=5, maxDepth=3, seed=SEED)
     scored = model.fit(assembler(features).transform(labelled)).transform(assembler(features).transform(rows))
     return scored.withColumn("catastrophe_probability", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "features")
@@ -185,8 +185,8 @@ def sample_weights(df: DataFrame, error: str, age_days: str, edges: Sequence[flo
     bin_ = sum(((F.col(error) >= e).cast("int") for e in edges), F.lit(0))
     binned = df.withColumn("error_bin", bin_)
     counts = binned.groupBy("error_bin").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_bins"))
-    out = binned.join(F.broadcast(counts), "error_bin").join(F.broadcast(total), how="cross")
+    total = only_row(counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_bins")))
+    out = binned.join(F.broadcast(counts), "error_bin").withColumns({"_all": total["_all"], "_bins": total["_bins"]})
     maturity = F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.col(age_days) / 365))
     return out.withColumns({
         "frequency_weight": F.col("_all") / (F.col("_bins") * F.col("_n")), "maturity_weight": maturity,
@@ -269,8 +269,8 @@ def two_factor_grid(df: DataFrame, actual: str, predicted: str, over: str, under
 
 def two_factor_calibrator(validation: DataFrame, rows: DataFrame, actual: str, predicted: str, over: str, under: str, f1: Sequence[float], f2: Sequence[float]) -> DataFrame:
     best = two_factor_grid(validation, actual, predicted, over, under, f1, f2).agg(F.min(F.struct("rmse", "f1", "f2")).alias("b"))
-    out = rows.join(F.broadcast(best.select(F.col("b.f1").alias("factor_over"), F.col("b.f2").alias("factor_under"))), how="cross")
-    return out.withColumn("calibrated", F.col(predicted) + F.col(over) * F.col("factor_over") - F.col(under) * F.col("factor_under"))
+    best = best.scalar()
+    return rows.withColumns({"factor_over": best["f1"], "factor_under": best["f2"]}).withColumn("calibrated", F.col(predicted) + F.col(over) * F.col("factor_over") - F.col(under) * F.col("factor_under"))
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -98,13 +98,12 @@ def shrunk_stats(df: DataFrame, key: str, days: str, m: float = 10.0) -> DataFra
         n.alias("n"), F.avg(days).alias("mean"), F.stddev_samp(days).alias("std"),
         F.avg((F.col(days) > 180).cast("int")).alias("slow_share"),
     ).join(group_quantiles(df, [key], days, [0.25, 0.75, 0.9], ["q25", "q75", "q90"]), key)
-    overall = df.agg(F.avg(days).alias("g_mean")).join(group_quantiles(df, [], days, [0.9], ["g_q90"]), how="cross")
-    stats = stats.join(F.broadcast(overall), how="cross")
+    mean, q90 = df.agg(F.avg(days)).scalar(), group_quantiles(df, [], days, [0.9]).scalar()
     w = F.col("n") + m
     return stats.select(
         key, "n",
-        ((F.col("n") * F.col("mean") + m * F.col("g_mean")) / w).alias("shrunk_mean"),
-        ((F.col("n") * F.col("q90") + m * F.col("g_q90")) / w).alias("shrunk_p90"),
+        ((F.col("n") * F.col("mean") + m * mean) / w).alias("shrunk_mean"),
+        ((F.col("n") * F.col("q90") + m * q90) / w).alias("shrunk_p90"),
         F.when(F.col("mean") != 0, F.col("std") / F.col("mean")).alias("spread_index"),
         (F.col("q75") - F.col("q25")).alias("iqr"), "slow_share",
     )
@@ -201,8 +200,8 @@ def column_profile(df: DataFrame, columns: Sequence[str], sentinels: Sequence[fl
 
 def frequency_table(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
-    return counts.join(F.broadcast(total), how="cross").withColumn("pct", F.col("n") * 100.0 / F.col("_total")).drop("_total")
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 
 def group_band_stats(df: DataFrame, key: str, band: str, days: str, min_rows: int = 5) -> DataFrame:

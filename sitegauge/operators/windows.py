@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegauge.functions.scalar import only_row
 from sitegauge.operators.quantiles import group_quantiles
 
 RANGES = 32
@@ -37,21 +38,20 @@ def queue_depth(df: DataFrame, key: str = "lpa", date: str = "submission_date",
 def relative_scale(df: DataFrame, capacity: str, key: str = "lpa", date: str = "submission_date", days: int = 180) -> DataFrame:
     """Own capacity over the mean of the authority's recent ones, the overall mean if there are none."""
     out = trailing(df, [key], date, days, {"_mw": F.col(capacity)}, count="_n")
-    overall = df.agg(F.avg(capacity).alias("_overall"))
-    out = out.join(F.broadcast(overall), how="cross")
-    mean = F.when(F.col("_n") > 0, F.col("_mw") / F.col("_n")).otherwise(F.col("_overall"))
-    return out.withColumn("relative_scale", F.when(mean != 0, F.col(capacity) / mean)).drop("_mw", "_n", "_overall")
+    overall = df.agg(F.avg(capacity)).scalar()
+    out = out.withColumn("_mean", F.when(F.col("_n") > 0, F.col("_mw") / F.col("_n")).otherwise(overall))
+    mean = F.col("_mean")
+    return out.withColumn("relative_scale", F.when(mean != 0, F.col(capacity) / mean)).drop("_mw", "_n", "_mean")
 
 
 def national_velocity(df: DataFrame, date: str = "submission_date", days: int = 90) -> DataFrame:
     """Trailing national count over its mean, and a winter flag."""
     out = trailing(df, [], date, days, {}, count="national_count")
-    overall = out.agg(F.avg("national_count").alias("_overall"))
-    out = out.join(F.broadcast(overall), how="cross")
+    overall = out.agg(F.avg("national_count")).scalar()
     return out.withColumns({
-        "national_velocity": F.when(F.col("_overall") != 0, F.col("national_count") / F.col("_overall")),
+        "national_velocity": F.try_divide(F.col("national_count"), overall),
         "is_winter": F.month(date).isin(11, 12, 1, 2).cast("int"),
-    }).drop("_overall")
+    })
 
 
 def national_queue(df: DataFrame, capacity: str, date: str = "submission_date", days: int = 365) -> DataFrame:
@@ -139,9 +139,8 @@ def band(value: Column, edges: Sequence[float], labels: Sequence[str] | None = N
 def quartile_band(df: DataFrame, value: str, out: str = "quartile") -> DataFrame:
     """1-4 against the exact 25/50/75 % quantiles of the whole column."""
     edges = group_quantiles(df, [], value, [0.25, 0.5, 0.75], ["_q1", "_q2", "_q3"])
-    df = df.join(F.broadcast(edges), how="cross")
-    above = sum((F.col(v) > F.col(q)).cast("int") for v, q in ((value, "_q1"), (value, "_q2"), (value, "_q3")))
-    return df.withColumn(out, above + 1).drop("_q1", "_q2", "_q3")
+    row = only_row(edges)
+    return df.withColumn(out, sum((F.col(value) > row[q]).cast("int") for q in ("_q1", "_q2", "_q3")) + 1)
 
 
 def trim_by_group(df: DataFrame, key: str, value: str, low: float = 0.02, high: float = 0.98, min_rows: int = 10) -> DataFrame:
