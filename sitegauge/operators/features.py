@@ -19,7 +19,7 @@ EPS = 1e-6
 # Inputs taken as these when missing (distances in metres unless the name says km).
 DEFAULTS = {
     "sssi_m": 5000.0, "sac_m": 5000.0, "spa_m": 5000.0, "aw_m": 5000.0, "ph_m": 5000.0, "hp_m": 5000.0,
-    "aonb_m": 5000.0, "np_m": 5000.0, "kv": 11.0, "ohm": 1.0, "headroom": 10.0, "sub_km": 5.0, "line_km": 5.0,
+    "aonb_m": 5000.0, "np_m": 5000.0, "trail_m": 5000.0, "kv": 11.0, "ohm": 1.0, "headroom": 10.0, "sub_km": 5.0, "line_km": 5.0,
     "fault": 100.0,
 }
 
@@ -274,7 +274,7 @@ def hazards():
     r = val("path_km") / (cap + 0.1)
     return {
         "rail_load": small * val("rail") * cap, "flat_habitat": small * flag(val("gradient") < 2) * flag(val("ph_m") < 200) * 5, "stretch": small * flag(r > 2) * r,
-        "best_land": small * flag(val("grade") <= 2) * 10, "not_roof": band_gate(0, 1) * flag(cap > 0.05), "settlement_rail": band_gate(1, 10) * val("settlements") * (val("rail") + 1),
+        "best_grade": small * flag(val("grade") <= 2) * 10, "not_roof": band_gate(0, 1) * flag(cap > 0.05), "settlement_rail": band_gate(1, 10) * val("settlements") * (val("rail") + 1),
     }
 
 
@@ -315,12 +315,94 @@ def survey_wait():
     return {"survey_wait_months": F.greatest(*waits)}
 
 
+def storage_variance():
+    store, cap = val("storage_mwh"), val("cap")
+    together = cap * store
+    return {"co_location": together, "fire_safety": store * val("settlements"), "two_way_grid": store / (val("headroom") + EPS),
+            "volatile_storage": store * val("variance"), "greenfield_hub": together * (1 - (val("industrial_share") + val("urban_share")))}
+
+
+def tower_density():
+    cap, towers = val("cap"), val("tower_density")
+    return {"tower_scale": cap * towers, "tower_crossings": val("crossings") * towers, "tower_fringe": val("settlements") * towers,
+            "sterilised_load": cap * val("sterilised_ha")}
+
+
+def crossing_obstacles():
+    n = val("crossings")
+    return {"obstacle_density": n / (val("path_km") + EPS), "crossing_load": n * val("cap"), "crossing_poles": n * val("poles"),
+            "encircled": (val("road_km") + val("rail_km")) * n}
+
+
+def habitat_proximity():
+    ph, aw, sac = (1 / (val(f"{n}_m") + 100) for n in ("ph", "aw", "sac"))
+    lock = ph + aw + sac
+    return {"wet_habitat_near": ph * val("wet_habitat"), "coastal_habitat_near": ph * val("coastal_habitat"), "ancient_woodland": aw * val("ancient"),
+            "replanted_woodland": aw * (1 - val("ancient")), "site_extent": sac * val("sac_ha"), "triple_lock": lock, "triple_lock_load": val("cap") * lock}
+
+
+def demographic_resistance():
+    score = 3 * val("seniors") + 1.5 * val("group_u") + val("group_v")
+    amenity = F.least(val("trail_m"), val("hp_m"))
+    return {"resistance": score, "resistance_load": score * val("cap"), "amenity_defence": score / (amenity + 100), "rural_resistance": score / (val("dens") + EPS)}
+
+
+def legacy_shield():
+    km, n = F.coalesce(F.col("legacy_km"), F.lit(50.0)), val("legacy_count")
+    shield = n / (km + EPS)
+    return {"shield": shield, "shield_approval": shield * 0.5 + val("lpa_rate") * 0.5, "shielded_load": shield * val("cap"), "legacy_next_door": F.log1p(1 / (km + EPS))}
+
+
+def ecological_drag():
+    cap, d = val("cap"), val("sssi_m")
+    decay = (2000 - F.least(d, F.lit(2000.0))) / 2000
+    return {
+        "decay_score": decay, "drag_high": flag((cap > 25) & (d < 2000)) * decay * cap, "shield_low": flag((cap < 10) & (d < 500)) * decay,
+        "impact_zone": cap * 1.6 / (d + EPS), "drag_unclear": flag((cap >= 10) & (cap <= 25) & (d < 1000)), "drag_load": cap * decay,
+    }
+
+
+def best_land():
+    cap, bmv = val("cap"), val("bmv")
+    return {"poor_land_slope": (1 - bmv) * val("gradient"), "best_land_mid": flag((cap >= 15) & (cap <= 40)) * bmv, "best_land_large": flag(cap > 40) * bmv,
+            "best_land_rare": bmv * (1 - val("region_bmv_pct") / 100)}
+
+
+def authority_competence():
+    exp, cap, days = val("experience"), val("cap"), val("lpa_days")
+    return {"maturity_load": F.log1p(exp) * cap, "queue_per_case": val("queue_mw") / (exp + 1), "speed_density": val("dens") * cap / (days + EPS), "days_load": days * cap}
+
+
+def physics_and_politics():
+    n, pressure = val("crossings"), val("on_agreement") * 2 + val("bmv")
+    return {"connection_friction": val("path_km") * (1 + n * n), "property_pressure": val("wealth") * val("dens"), "land_pressure": pressure, "land_pressure_load": pressure * val("cap")}
+
+
+def uncertainty_paradox():
+    clean = flag(near_count(["sssi", "sac", "spa", "aw", "ph"], 100) == 0)
+    heritage, eco = flag((val("hp_m") < 500) | (val("trail_m") < 200)), flag((val("sssi_m") < 500) | (val("aw_m") < 500))
+    return {"clean_but_large": clean * over(val("cap"), 10), "mitigation_cost": heritage * 5 + eco * 3 + val("bmv"), "mitigation_conflict": heritage * eco}
+
+
+def sociological_friction():
+    cap, energy = val("cap"), val("seniors") + val("group_u") + val("group_v")
+    return {"resistance_energy": energy * cap, "rational_scaling": val("group_u") * over(cap, 25), "offline_small": val("group_v") * flag(cap < 10)}
+
+
+def contractual_inertia():
+    cap, on, large = val("cap"), val("on_agreement"), flag(val("cap") > 20)
+    return {"active_owner": on * flag(cap < 5), "public_money": on * large * cap, "swap_good_land": on * val("bmv"), "swap_poor_land": on * (1 - val("bmv")),
+            "scheme_depth": F.log1p(val("agreement_value")) * large}
+
+
 FAMILIES: dict[str, Expr] = {f.__name__: f for f in (
     ecological_calendar, developer_competence, grid_physics, grid_contention, constraint_hard_soft, mobilisation, political_epochs,
     constraint_severity, social_saturation, authority_regime, zoning, regional_operator, constraint_hierarchy, wayleave, black_holes,
     small_context, edge_viability, speculator, national_jurisdiction, voltage_cliff, administrative_rhythm, visual_agitation, topology_depth,
     cable_and_scarcity, mid_band, distribution_grit, hazards, edge_inertia, authority_friction, excess_over_threshold, storage_gate,
-    physical_footprint, survey_wait,
+    physical_footprint, survey_wait, storage_variance, tower_density, crossing_obstacles, habitat_proximity, demographic_resistance,
+    legacy_shield, ecological_drag, best_land, authority_competence, physics_and_politics, uncertainty_paradox, sociological_friction,
+    contractual_inertia,
 )}
 
 

@@ -268,5 +268,6 @@ def legacy_precedent(sites: DataFrame, *, cutoff: int, site: str, r: float = 100
     out = out.join(authority, "lpa", "left")
     past = old.select(F.col(site).alias("_pid"), "x", "y", "granted")
     for name, part in (("nearest_km", past), ("nearest_granted_km", past.filter("granted = 1")), ("nearest_refused_km", past.filter("granted = 0"))):
-        out = nearest(out, part, id="_pid", distance=name, how="left").drop("_pid").withColumn(name, F.col(name) / 1000)
+        found = nearest(new.select(site, "x", "y"), part, id="_pid", distance="_m")
+        out = out.join(found.select(site, (F.col("_m") / 1000).alias(name)), site, "left")
     return out.drop("x", "y", "lpa")

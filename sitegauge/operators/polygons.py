@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sitegauge.functions import geometry as geo
 from sitegauge.operators.nearest import nearest
 from sitegauge.operators.radius import pairs_within
+from sitegauge.session import cut_lineage
 
 EDGE = ("ax", "ay", "bx", "by")
 EDGES_PER_BAND = 32
@@ -353,7 +354,7 @@ def active_polygons(points: DataFrame, edges: DataFrame, radii: Sequence[float],
 
     pairs = polygons_within(points, edges, max(radii), id)
     dated = points.select("x", "y", date).distinct().join(pairs, ["x", "y"])
-    probes = dated.withColumnRenamed(date, day)
+    probes = cut_lineage(dated.withColumnRenamed(date, day))
     known = asof_values(probes, states, [id], day, values)
     met = probes.join(known, [id, day])
     aggs = []

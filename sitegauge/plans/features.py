@@ -22,6 +22,10 @@ INPUTS = {
     "wet": (271, 229, 100), "site_agri": (277, 233, 10), "region_agri": (281, 239, 1), "export_mw": (283, 241, 10), "grade": (293, 6, 1), "rail": (307, 2, 1), "settlements": (311, 5, 1),
     "utilisation": (313, 101, 1), "customers": (317, 251, 10), "idno": (331, 3, 1), "service_mw": (337, 257, 10), "constraint_m": (347, 2003, 1), "gen_ratio": (349, 263, 100),
     "deprivation": (353, 11, 1), "lpa_p90": (359, 269, 1), "slow_share": (367, 271, 1000),
+    "storage_mwh": (373, 277, 10), "industrial_share": (379, 281, 1000), "urban_share": (383, 283, 1000), "tower_density": (389, 293, 100), "sterilised_ha": (397, 307, 10),
+    "road_km": (401, 311, 10), "rail_km": (409, 313, 10), "wet_habitat": (419, 2, 1), "coastal_habitat": (421, 2, 1), "ancient": (431, 2, 1), "sac_ha": (433, 317, 1),
+    "trail_m": (439, 1409, 1), "legacy_km": (443, 331, 10), "legacy_count": (449, 9, 1), "lpa_rate": (457, 337, 1000), "region_bmv_pct": (461, 101, 1), "experience": (463, 347, 1),
+    "on_agreement": (467, 2, 1), "agreement_value": (479, 9973, 1),
 }
 
 
@@ -108,7 +112,7 @@ TWINS = {
         "farm_reach": "bmv*path_km", "density": "dens*cap", "pole_density": "poles*dens", "access": "1/(road_m+0.1)", "queue": "queue_mw/cap"}.items()},
     "distribution_grit": {"crossing_rate": "(cap<15)::INT*crossings/(path_km+1e-6)", "many_crossings": f"{b(1, 10)}*(crossings>5)::INT*10", "per_volume": f"{b(5, 7)}/(volume+1e-6)", "over_headroom": f"{b(1, 10)}*greatest(cap-headroom,0)", "micro_reach": f"{b(0.5, 1)}*path_km",
         "grit_density": f"{b(5, 10)}*dens*cap", "good_land": f"{b(1, 10)}*(grade<=2)::INT*5", "spot": f"5*{gr(b(5, 7), b(0.5, 1))}", "slope_relief": f"-{b(1, 10)}*gradient", "crowd": f"{b(1, 5)}*nearby"},
-    "hazards": {"rail_load": f"{_SMALL}*rail*cap", "flat_habitat": f"{_SMALL}*(gradient<2)::INT*(ph_m<200)::INT*5", "stretch": f"{_SMALL}*({_REACH}>2)::INT*{_REACH}", "best_land": f"{_SMALL}*(grade<=2)::INT*10", "not_roof": f"{b(0, 1)}*(cap>0.05)::INT", "settlement_rail": f"{b(1, 10)}*settlements*(rail+1)"},
+    "hazards": {"rail_load": f"{_SMALL}*rail*cap", "flat_habitat": f"{_SMALL}*(gradient<2)::INT*(ph_m<200)::INT*5", "stretch": f"{_SMALL}*({_REACH}>2)::INT*{_REACH}", "best_grade": f"{_SMALL}*(grade<=2)::INT*10", "not_roof": f"{b(0, 1)}*(cap>0.05)::INT", "settlement_rail": f"{b(1, 10)}*settlements*(rail+1)"},
     "edge_inertia": {"utilised": f"{_SMALL}*utilisation/100*cap", "customer_load": f"{_SMALL}*customers*cap", "private_network": "(cap<15)::INT*idno/(cap+0.5)", "own_voltage": f"{b(1, 10)}*cap/(service_mw+0.1)",
         "constraint_soon": "(cap<15)::INT*(constraint_m<1000 AND years_to_constraint>0 AND years_to_constraint<3)::INT*years_to_constraint", "saturated": f"{_SMALL}*(gen_ratio>1)::INT*gen_ratio", "served": f"{b(1, 10)}*customers*cap", "deprived": f"-{b(1, 10)}/(deprivation+1)"},
     "authority_friction": {"friction_queue": "lpa_p90*queue_mw", "friction_spread": "variance*cap", "friction_slow": f"slow_share*{nr('sssi sac spa aw ph', 500)}", "contention": "(queue_mw+cap)/(headroom+1e-6)"},
@@ -119,14 +123,43 @@ TWINS = {
 }
 
 
+_NEAR1 = {n: f"(1/({n}_m+100))" for n in ("ph", "aw", "sac")}
+_LOCK = "(" + "+".join(_NEAR1.values()) + ")"
+_RES = "(3*seniors+1.5*group_u+group_v)"
+_SHIELD = "(legacy_count/(legacy_km+1e-6))"
+_DECAY = "((2000-least(sssi_m,2000))/2000)"
+_LAND = "(on_agreement*2+bmv)"
+_HERITAGE, _ECO = "(hp_m<500 OR trail_m<200)::INT", "(sssi_m<500 OR aw_m<500)::INT"
+
+TWINS |= {
+    "storage_variance": {"co_location": "cap*storage_mwh", "fire_safety": "storage_mwh*settlements", "two_way_grid": "storage_mwh/(headroom+1e-6)", "volatile_storage": "storage_mwh*variance",
+        "greenfield_hub": "cap*storage_mwh*(1-(industrial_share+urban_share))"},
+    "tower_density": {"tower_scale": "cap*tower_density", "tower_crossings": "crossings*tower_density", "tower_fringe": "settlements*tower_density", "sterilised_load": "cap*sterilised_ha"},
+    "crossing_obstacles": {"obstacle_density": "crossings/(path_km+1e-6)", "crossing_load": "crossings*cap", "crossing_poles": "crossings*poles", "encircled": "(road_km+rail_km)*crossings"},
+    "habitat_proximity": {"wet_habitat_near": f"{_NEAR1['ph']}*wet_habitat", "coastal_habitat_near": f"{_NEAR1['ph']}*coastal_habitat", "ancient_woodland": f"{_NEAR1['aw']}*ancient", "replanted_woodland": f"{_NEAR1['aw']}*(1-ancient)",
+        "site_extent": f"{_NEAR1['sac']}*sac_ha", "triple_lock": _LOCK, "triple_lock_load": f"cap*{_LOCK}"},
+    "demographic_resistance": {"resistance": _RES, "resistance_load": f"{_RES}*cap", "amenity_defence": f"{_RES}/(least(trail_m,hp_m)+100)", "rural_resistance": f"{_RES}/(dens+1e-6)"},
+    "legacy_shield": {"shield": _SHIELD, "shield_approval": f"{_SHIELD}*0.5+lpa_rate*0.5", "shielded_load": f"{_SHIELD}*cap", "legacy_next_door": "ln(1+1/(legacy_km+1e-6))"},
+    "ecological_drag": {"decay_score": _DECAY, "drag_high": f"(cap>25 AND sssi_m<2000)::INT*{_DECAY}*cap", "shield_low": f"(cap<10 AND sssi_m<500)::INT*{_DECAY}", "impact_zone": "cap*1.6/(sssi_m+1e-6)",
+        "drag_unclear": "(cap>=10 AND cap<=25 AND sssi_m<1000)::INT", "drag_load": f"cap*{_DECAY}"},
+    "best_land": {"poor_land_slope": "(1-bmv)*gradient", "best_land_mid": "(cap>=15 AND cap<=40)::INT*bmv", "best_land_large": "(cap>40)::INT*bmv", "best_land_rare": "bmv*(1-region_bmv_pct/100)"},
+    "authority_competence": {"maturity_load": "ln(1+experience)*cap", "queue_per_case": "queue_mw/(experience+1)", "speed_density": "dens*cap/(lpa_days+1e-6)", "days_load": "lpa_days*cap"},
+    "physics_and_politics": {"connection_friction": "path_km*(1+crossings*crossings)", "property_pressure": "wealth*dens", "land_pressure": _LAND, "land_pressure_load": f"{_LAND}*cap"},
+    "uncertainty_paradox": {"clean_but_large": f"({_N}=0)::INT*greatest(cap-10,0)", "mitigation_cost": f"{_HERITAGE}*5+{_ECO}*3+bmv", "mitigation_conflict": f"{_HERITAGE}*{_ECO}"},
+    "sociological_friction": {"resistance_energy": "(seniors+group_u+group_v)*cap", "rational_scaling": "group_u*greatest(cap-25,0)", "offline_small": "group_v*(cap<10)::INT"},
+    "contractual_inertia": {"active_owner": "on_agreement*(cap<5)::INT", "public_money": "on_agreement*(cap>20)::INT*cap", "swap_good_land": "on_agreement*bmv", "swap_poor_land": "on_agreement*(1-bmv)",
+        "scheme_depth": "ln(1+agreement_value)*(cap>20)::INT"},
+}
+
+
 def _add(family):
     names = list(TWINS[family])
-    sql = f"{WIDE} SELECT site_id, " + ", ".join(f"{rnd(e, 4)} AS {n}" for n, e in TWINS[family].items()) + " FROM wide"
+    sql = f"{WIDE} SELECT site_id, " + ", ".join(f"{rnd(e, 6 if family == "habitat_proximity" else 4)} AS {n}" for n, e in TWINS[family].items()) + " FROM wide"
 
     @query(f"fs_{family}", sql)
     def _(t):
         out = fs.add_features(wide(t), [family]).select("site_id", *names)
-        return rounded(out, names, 4)
+        return rounded(out, names, 6 if family == "habitat_proximity" else 4)
 
 
 for _family in fs.FAMILIES:
