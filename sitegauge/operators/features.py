@@ -148,7 +148,7 @@ def authority_regime():
 
 def zoning():
     cap, urban = val("cap"), val("urban")
-    return {"residential": band_gate(0, 5) * val("residential") / (val("industrial") + 1) * cap, "mid_urban": band_gate(5, 10) * flag(urban > 15),
+    return {"residential_load": band_gate(0, 5) * val("residential") / (val("industrial") + 1) * cap, "mid_urban": band_gate(5, 10) * flag(urban > 15),
             "large_urban": -band_gate(10) * flag(urban > 50), "industrial_use": val("industrial")}
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitegauge.functions import geometry as geo
@@ -20,6 +20,7 @@ from sitegauge.session import cut_lineage
 
 EDGE = ("ax", "ay", "bx", "by")
 EDGES_PER_BAND = 32
+CHAIN = 64
 
 
 def repair_edges(edges: DataFrame, id: str) -> DataFrame:
@@ -156,10 +157,40 @@ def counts_within(points: DataFrame, edges: DataFrame, radii: Sequence[float], i
     return out.na.fill(0, [c for c in totals.columns if c not in ("x", "y")])
 
 
+def _chains(edges: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
+    """Edges numbered into runs of consecutive ones, and each run's box and two ends.
+
+    Seen from outside its box, an unbroken run turns through the same angle as the straight line
+    between its ends, so far runs stand for their edges exactly.
+    """
+    numbered = edges.select(id, "edge_no", *EDGE).withColumn("_run", F.floor(F.col("edge_no") / CHAIN))
+    order = Window.partitionBy(id, "_run").orderBy("edge_no")
+    follows = (F.lag("bx").over(order) == F.col("ax")) & (F.lag("by").over(order) == F.col("ay"))
+    linked = numbered.withColumn("_link", F.coalesce(follows, F.lit(True)))
+    xs, ys = [F.col("ax"), F.col("bx")], [F.col("ay"), F.col("by")]
+    runs = linked.groupBy(id, "_run").agg(
+        F.min_by(F.struct("ax", "ay"), "edge_no").alias("_a"), F.max_by(F.struct("bx", "by"), "edge_no").alias("_b"),
+        F.min(F.least(*xs)).alias("_x0"), F.min(F.least(*ys)).alias("_y0"),
+        F.max(F.greatest(*xs)).alias("_x1"), F.max(F.greatest(*ys)).alias("_y1"), F.bool_and("_link").alias("_whole"),
+    )
+    return numbered, runs
+
+
 def clipped_areas(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str) -> DataFrame:
-    """(x, y, id, clip_r...) area of each polygon inside each disc around each distinct place."""
+    """(x, y, id, clip_r...) area of each polygon inside each disc around each distinct place.
+
+    Only runs of edges whose box meets the largest disc are taken apart into their edges.
+    """
     pairs = polygons_within(points, edges, max(radii), id).select("x", "y", id)
-    met = pairs.join(edges.select(id, *EDGE), id)
+    numbered, runs = _chains(edges, id)
+    met = pairs.join(runs, id)
+    gap = geo.box_min_distance(F.col("x"), F.col("y"), *[F.col(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
+    apart = ~F.col("_whole") | (gap <= float(max(radii)) * (1 + 1e-9))
+    spread = -1 - F.pmod(F.xxhash64("x", "y", "_run"), F.lit(1 << 20))
+    met = met.select("x", "y", id, "_a", "_b", F.when(apart, F.col("_run")).otherwise(spread).alias("_run"))
+    met = met.join(numbered.drop("edge_no"), [id, "_run"], "left")
+    ends = {"ax": "_a.ax", "ay": "_a.ay", "bx": "_b.bx", "by": "_b.by"}
+    met = met.select("x", "y", id, *[F.coalesce(F.col(c), F.col(run)).alias(c) for c, run in ends.items()])
     terms = geo.with_disc_area_terms(
         met, F.col("x"), F.col("y"), {f"clip_{int(r)}": float(r) for r in radii}, *[F.col(c) for c in EDGE]
     )

@@ -93,7 +93,7 @@ TWINS = {
         "large_few": f"{b(10)}*(nearby<=3)::INT", "large_some": f"{b(10)}*(nearby>3 AND nearby<=10)::INT", "large_many": f"{b(10)}*(nearby>10)::INT"},
     "authority_regime": {"small_fast": f"{b(0, 5)}*{_FAST}*{_SPARE}", "mid_fast": f"{b(5, 10)}*{_FAST}*{_SPARE}*variance", "large_fast": f"{b(10)}*{_FAST}*{_SPARE}", "micro_bmv": f"{b(0, 1)}*bmv", "mid_bmv": "(cap>2 AND cap<10)::INT*bmv*cap",
         "large_bmv": f"{b(10)}*bmv*10", "low_voltage": f"{b(1, 5)}*(kv<33)::INT*cap", "mid_workload": f"{b(5, 15)}*workload"},
-    "zoning": {"residential": f"{b(0, 5)}*residential/(industrial+1)*cap", "mid_urban": f"{b(5, 10)}*(urban>15)::INT", "large_urban": f"-{b(10)}*(urban>50)::INT", "industrial_use": "industrial"},
+    "zoning": {"residential_load": f"{b(0, 5)}*residential/(industrial+1)*cap", "mid_urban": f"{b(5, 10)}*(urban>15)::INT", "large_urban": f"-{b(10)}*(urban>50)::INT", "industrial_use": "industrial"},
     "regional_operator": {"operator_score": "CASE operator WHEN 'A' THEN 0.8 WHEN 'B' THEN 0.3 ELSE 0.5 END", "operator_load": f"{_SMALL}*CASE operator WHEN 'A' THEN 0.8 WHEN 'B' THEN 0.3 ELSE 0.5 END*cap"},
     "constraint_hierarchy": {"top_constraint": gr(*[f"{w}*{nr(n, 50)}" for n, w in (("hp", 1.8), ("aonb", 1.4), ("ph", 1.1), ("sssi", 1.6), ("sac", 0.9))])},
     "wayleave": {"wayleave": "path_km*(1+5*dens)", "wayleave_crossings": "path_km*(1+5*dens)+3*crossings", "wayleave_scaled": "(path_km*(1+5*dens)+3*crossings)*ln(1+cap)"},

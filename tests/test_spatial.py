@@ -106,6 +106,29 @@ def test_disc_area_closed_forms(spark):
     assert abs(side["clip_30"] - math.pi * 450) < 1e-6
 
 
+def test_disc_area_of_a_long_ring_equals_all_edges(spark):
+    n = 1500
+    ring = [(1000 * math.cos(2 * math.pi * i / n) * (1 if i % 3 else 0.7), 1000 * math.sin(2 * math.pi * i / n) * (1 if i % 3 else 0.7)) for i in range(n)]
+    rows = [(7, i, *ring[i], *ring[(i + 1) % n]) for i in range(n)]
+    places = [(1, 0.0, 0.0), (2, 900.0, 0.0), (3, 1100.0, 300.0), (4, -700.0, -700.0), (5, 400.0, 200.0)]
+    points = spark.createDataFrame(places, "sid long, x double, y double")
+    got = {(r["x"], r["y"]): r for r in polygons.clipped_areas(points, edges(spark, rows), [150, 400], "zid").collect()}
+    for _, x, y in places:
+        for r in (150.0, 400.0):
+            total = 0.0
+            for _, _, ax, ay, bx, by in rows:
+                px, py, qx, qy, ux, uy = ax - x, ay - y, bx - x, by - y, bx - ax, by - ay
+                a, b = ux * ux + uy * uy, px * ux + py * uy
+                disc = b * b - a * (px * px + py * py - r * r)
+                cuts = [0.0, 1.0] if disc <= 0 else sorted({0.0, 1.0, *[min(1.0, max(0.0, (-b + s * math.sqrt(disc)) / a)) for s in (-1, 1)]})
+                for t0, t1 in zip(cuts, cuts[1:], strict=False):
+                    m = (t0 + t1) / 2
+                    sx, sy, ex, ey = px + t0 * ux, py + t0 * uy, px + t1 * ux, py + t1 * uy
+                    inside = (px + m * ux) ** 2 + (py + m * uy) ** 2 < r * r
+                    total += (sx * ey - sy * ex) / 2 if inside else r * r / 2 * math.atan2(sx * ey - sy * ex, sx * ex + sy * ey)
+            assert abs(got[(x, y)][f"clip_{int(r)}"] - abs(total)) < 1e-3
+
+
 def test_many_edged_polygon_uses_bands(spark):
     n = 2000
     ring = [(1000 * math.cos(2 * math.pi * i / n) * (1 if i % 2 else 0.8), 1000 * math.sin(2 * math.pi * i / n) * (1 if i % 2 else 0.8)) for i in range(n)]
