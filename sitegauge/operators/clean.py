@@ -44,7 +44,7 @@ def strip_parentheses(c: str | Column) -> Column:
 
 
 def first_number(c: str | Column) -> Column:
-    return F.expr("NULL").cast("double") if c is None else _number(F.regexp_extract(col(c), r"(-?\d+(?:\.\d+)?)", 1))
+    return _number(F.regexp_extract(col(c), r"(-?\d+(?:\.\d+)?)", 1))
 
 
 def _number(text: Column) -> Column:

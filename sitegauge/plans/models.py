@@ -284,16 +284,16 @@ def _(t):
 
 @query(
     "ml26_leak_checks",
-    """SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey%10<8 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey%10>=8)) AS shared""",
+    """SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate<TIMESTAMP '2000-01-01' INTERSECT SELECT o_custkey FROM orders WHERE o_orderdate>=TIMESTAMP '2000-01-01')) AS shared""",
 )
 def _(t):
     o = t.read("orders")
-    return ml.shared_keys(o.filter("o_orderkey % 10 < 8"), o.filter("o_orderkey % 10 >= 8"), "o_custkey")
+    return ml.shared_keys(o.filter("o_orderdate < DATE'2000-01-01'"), o.filter("o_orderdate >= DATE'2000-01-01'"), "o_custkey")
 
 
 @query("ml26_fingerprint", None)
 def _(t):
-    return ml.fingerprint(t.read("orders").filter("o_orderkey % 10 >= 8"), ["o_orderkey", "o_totalprice", "o_orderstatus"])
+    return ml.fingerprint(t.read("orders").filter("o_orderdate >= DATE'2000-01-01'"), ["o_orderkey", "o_totalprice", "o_orderstatus"])
 
 
 @query(

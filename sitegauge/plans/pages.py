@@ -100,16 +100,16 @@ def _(t):
 
 
 def _registry(t):
-    known = t.read("customer").filter("c_custkey % 3 <> 1").select(
+    known = t.read("customer").filter("c_acctbal >= 2000").select(
         F.concat(F.lit("City of "), "c_name", F.lit(" Borough Council")).alias("name"), F.col("c_name").alias("clean_name"),
-        F.when(F.col("c_custkey") % 6 != 0, F.concat(F.lit("https://"), F.lower("c_mktsegment"))).alias("portal_url"), F.lit("IDOX").alias("vendor"), F.lit("VERIFIED").alias("status"),
+        F.when(F.col("c_nationkey") >= 5, F.concat(F.lit("https://"), F.lower("c_mktsegment"))).alias("portal_url"), F.lit("IDOX").alias("vendor"), F.lit("VERIFIED").alias("status"),
     )
     names = t.read("customer").select(F.concat(F.lit("City of "), "c_name", F.lit(" Borough Council")).alias("name"))
     return pg.upsert_registry(known, names)
 
 
-_REGISTRY = """SELECT 'City of '||c_name||' Borough Council' AS name, c_name AS clean_name, CASE WHEN c_custkey%3<>1 AND c_custkey%6<>0 THEN 'https://'||lower(c_mktsegment) END AS portal_url,
- CASE WHEN c_custkey%3<>1 THEN 'IDOX' ELSE 'UNKNOWN' END AS vendor, CASE WHEN c_custkey%3<>1 THEN 'VERIFIED' ELSE 'AUTO_GENERATED' END AS status FROM customer"""
+_REGISTRY = """SELECT 'City of '||c_name||' Borough Council' AS name, c_name AS clean_name, CASE WHEN c_acctbal>=2000 AND c_nationkey>=5 THEN 'https://'||lower(c_mktsegment) END AS portal_url,
+ CASE WHEN c_acctbal>=2000 THEN 'IDOX' ELSE 'UNKNOWN' END AS vendor, CASE WHEN c_acctbal>=2000 THEN 'VERIFIED' ELSE 'AUTO_GENERATED' END AS status FROM customer"""
 
 
 @query("wb08_upsert_registry", _REGISTRY)

@@ -75,12 +75,11 @@ def _(t):
 
 @query(
     "jn06_nearest_line",
-    f"""{with_ctes('sites', 'segs')}, c AS (SELECT site_id, min({sql_segment_distance('s.x', 's.y', 'g')}) AS d FROM sites s, segs g WHERE g.asset_tag='PROMO' GROUP BY site_id)
+    f"""{with_ctes('sites', 'segs')}, c AS (SELECT site_id, min({sql_segment_distance('s.x', 's.y', 'g')}) AS d FROM sites s, segs g GROUP BY site_id)
 SELECT site_id, {rnd('d')} AS distance FROM c""",
 )
 def _(t):
-    promo = t.segments.filter("asset_tag = 'PROMO'")
-    out = nr.nearest(t.places.select("site_id", "x", "y"), promo, id="line_id", ends=ln.ENDS)
+    out = nr.nearest(t.places.select("site_id", "x", "y"), t.segments, id="line_id", ends=ln.ENDS)
     return rounded(out.select("site_id", "distance"), ["distance"])
 
 
@@ -349,12 +348,12 @@ def _(t):
 
 @query(
     "jn28_structure_to_line_gap",
-    f"""{with_ctes('sites', 'segs')}, sd AS (SELECT a.asset_id, a.x, a.y, min({sql_segment_distance('a.x', 'a.y', 'g')}) AS gap FROM assets a, segs g WHERE g.asset_tag='LARGE' GROUP BY 1,2,3),
+    f"""{with_ctes('sites', 'segs')}, sd AS (SELECT a.asset_id, a.x, a.y, min({sql_segment_distance('a.x', 'a.y', 'g')}) AS gap FROM assets a, segs g GROUP BY 1,2,3),
 r AS (SELECT site_id, gap, {sql_distance('s', 'b')} AS d, asset_id FROM sites s, sd b QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY {sql_distance('s', 'b')}, asset_id)<=10)
 SELECT site_id, {rnd('avg(gap)', 3)} AS mean_gap_m, count(*) AS structures FROM r GROUP BY 1""",
 )
 def _(t):
-    out = ln.structure_line_gap(t.places, t.assets.select("asset_id", "x", "y"), t.segments.filter("asset_tag = 'LARGE'"), "site_id", structure_id="asset_id", line_id="line_id")
+    out = ln.structure_line_gap(t.places, t.assets.select("asset_id", "x", "y"), t.segments, "site_id", structure_id="asset_id", line_id="line_id")
     return rounded(out, ["mean_gap_m"], 3)
 
 
