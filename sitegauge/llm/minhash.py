@@ -7,10 +7,10 @@ chance, estimates the similarity. Candidates far below the limit by that estimat
 confirmed on the full sets. Links are joined to classes by contracting the graph of links.
 
 Sizes. Equal sets are one node from the start, so exact copies cost one row each in a partial aggregation.
-Inside a band bucket no all-pairs join is made: in every round each bucket compares its members with one
-leader per round only; after a round, members whose class is known to be that of the bucket's other members
-need no further comparison. What is left after the rounds (members of one bucket in different classes) is
-compared in full, so no partner is dropped.
+Inside a band bucket no all-pairs join is made: in a round each bucket compares its members with one leader;
+afterwards, buckets whose members are all of one class are done. What is left after ``ROUNDS`` (members of
+one bucket in different classes) is compared in blocks of bounded size, so no partner is dropped and only
+pairs that can be links become rows.
 
 A pair at exactly 0.75 is proposed with probability 1 - (1 - 0.75**5)**40 > 0.99998 per pair, and the
 estimate rejects it with a probability below 1e-6 (``SLACK`` standard errors).
@@ -36,7 +36,8 @@ WORDS = 5
 BANDS, ROWS, BITS = 40, 5, 2
 FIELDS = 64 // BITS  # minima kept in one long
 LONGS = -(-BANDS * ROWS // FIELDS)
-ROUNDS = 3
+ROUNDS = 2
+PART, PART_BYTES = 1024, 1 << 26
 SLACK = 5.5
 BYTES_PER_STEP = 1 << 21
 
@@ -168,7 +169,6 @@ def components(links: DataFrame) -> DataFrame | None:
         up = ends.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("root", "node").alias("root"))
         moved = True
         while moved:
-            up = stored(up, "up")
             over = up.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
             jumped = up.join(over, "root").select("node", F.col("beyond").alias("root"), (F.col("beyond") != F.col("root")).alias("moved"))
             jumped = stored(jumped, "jumped")
@@ -182,31 +182,102 @@ def components(links: DataFrame) -> DataFrame | None:
         links = links.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
 
 
-def _linked(post: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rooted(post: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Postings with the class that their node has so far."""
+    if found is None:
+        return post.withColumn("root", F.col("node"))
+    return post.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _open(post: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Postings of the buckets that hold more than one class."""
+    rooted = _rooted(post, found)
+    split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    return stored(rooted.join(split, "band"), "open")
+
+
+def _block_pairs(t: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a block (two parts of one bucket, or one part with itself) that can reach the limit.
+
+    Estimated first on the packed bits; then counted on the low halves of the set's hashes, which can only
+    count too much. A pair is taken up in the first band that it shares.
+    """
+    column = lambda n: t.column(n).combine_chunks()
+    n = t.num_rows
+    node, root, size, part = (column(c).to_numpy() for c in ("node", "root", "size", "part"))
+    bits = column("bits").flatten().to_numpy().view(np.uint64).reshape(n, LONGS)
+    bands = column("bands").flatten().to_numpy().reshape(n, BANDS)
+    sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in column("low")]
+    lo, hi, band = part.min(), part.max(), t.column("band")[0].as_py()
+    rows, others = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+    least = _least_estimate(percent / 100)
+    field, chance = np.uint64(0x5555555555555555), 1 / 2**BITS
+    out_a, out_b = [], []
+    if t.column("i")[0].as_py() != t.column("j")[0].as_py() and lo == hi:
+        rows = rows[:0]
+    for a in rows.tolist():
+        other = others[others > a] if lo == hi else others
+        other = other[root[other] != root[a]]
+        x = bits[other] ^ bits[a]
+        differ = np.bitwise_count((x | (x >> np.uint64(1))) & field).sum(axis=1)
+        other = other[(1 - differ / (BANDS * ROWS) - chance) / (1 - chance) >= least]
+        if not len(other):
+            continue
+        other = other[bands[a][np.argmax(bands[other] == bands[a], axis=1)] == band]
+        if not len(other) or not len(sets[a]):
+            continue
+        many = np.concatenate([sets[b] for b in other])
+        same = sets[a][np.minimum(np.searchsorted(sets[a], many), len(sets[a]) - 1)] == many
+        shared = np.add.reduceat(same.astype(np.int64), np.cumsum([0, *(len(sets[b]) for b in other[:-1])]))
+        other = other[100 * shared >= percent * (size[a] + size[other] - shared)]
+        out_a.extend(np.minimum(node[a], node[other]).tolist())
+        out_b.extend(np.maximum(node[a], node[other]).tolist())
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("low", pa.binary())])
+    for t in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("members")]
+        yield batch(schema, node=t.column("node"), size=[len(s) for s in sets], low=[np.sort(s.astype(np.uint32)).tobytes() for s in sets])
+
+
+def _between_classes(rooted: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of all members of a bucket that are in different classes.
+
+    A bucket is dealt to parts of about ``PART`` members (fewer, if their sets are large); each two parts meet
+    in a block of their own, so a large bucket becomes many tasks of bounded size.
+    """
+    wide = sets.join(rooted.select("node").distinct(), "node", "left_semi").mapInArrow(_low, "node bigint, size bigint, low binary")
+    wide = stored(wide.join(signatures, "node"), "wide")
+    sized = rooted.join(wide.select("node", "size"), "node")
+    parts = sized.groupBy("band").agg(F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("size") * 4 / PART_BYTES)).cast("int").alias("parts"))
+    dealt = rooted.join(parts, "band").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    blocks = dealt.select("band", "node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    blocks = blocks.select("band", "node", "root", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+    return blocks.join(wide, "node").groupBy("band", "i", "j").applyInArrow(lambda t: _block_pairs(t, percent), "a bigint, b bigint").distinct()
+
+
+def _linked(post: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Classes of the nodes of band buckets: rounds of leaders, then all that is left between classes."""
     least, links, found = _least_estimate(percent / 100), None, None
-    rounds = np.random.default_rng(5).integers(-(2**62), 2**62, ROUNDS).tolist()
-    for k in range(ROUNDS + 1):
-        rooted = post.withColumn("root", F.col("node")) if found is None else post.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if k:
-            split = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-            rooted = stored(rooted.join(split, "band"), "open")
-            post = rooted.select("node", "band")
-            if post.isEmpty():
-                break
-        if k < ROUNDS:
-            lead = rooted.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.lit(rounds[k]))).bitwiseXOR(F.lit(rounds[k])).alias("a"))
-            lead = lead.withColumn("root_a", F.col("a")) if found is None else lead.join(found.withColumnsRenamed({"node": "a", "root": "root_a"}), "a", "left").withColumn("root_a", F.coalesce("root_a", "a"))
-            pairs = rooted.withColumnRenamed("node", "b").join(lead, "band").where("root <> root_a")
-        else:
-            other = rooted.withColumnsRenamed({"node": "a", "root": "root_a"})
-            pairs = rooted.withColumnRenamed("node", "b").join(other, "band").where("root_a < root")
+    bits = signatures.select("node", "bits")
+    for flip in np.random.default_rng(5).integers(-(2**62), 2**62, ROUNDS).tolist():
+        rooted = _rooted(post, found) if found is None else _open(post, found)
+        post = rooted.select("node", "band")
+        lead = rooted.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.lit(flip))).bitwiseXOR(F.lit(flip)).alias("a"))
+        lead = _rooted(lead.withColumnRenamed("a", "node"), found).withColumnsRenamed({"node": "a", "root": "root_a"})
+        pairs = rooted.withColumnRenamed("node", "b").join(lead, "band").where("root <> root_a")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        signed = pairs.join(signatures.withColumnsRenamed({"node": "a", "bits": "bits_a"}), "a").join(signatures.withColumnsRenamed({"node": "b", "bits": "bits_b"}), "b")
+        signed = pairs.join(bits.withColumnsRenamed({"node": "a", "bits": "bits_a"}), "a").join(bits.withColumnsRenamed({"node": "b", "bits": "bits_b"}), "b")
         new = confirmed(signed.where(similarity("bits_a", "bits_b") >= least).select("a", "b"), sets, percent)
         links = stored(new if links is None else links.unionAll(new), "confirmed")
         found = components(links)
-    return found
+    rooted = _open(post, found)
+    if rooted.isEmpty():
+        return found
+    new = confirmed(_between_classes(rooted, signatures, sets, percent), sets, percent)
+    return components(links.unionAll(new))
 
 
 def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -223,7 +294,7 @@ def labelled(docs: DataFrame, percent: int = 75) -> DataFrame:
     wanted = stored(post.select("node").distinct().join(signatures.select("node", "least"), "node"), "wanted")
     texts = docs.join(wanted.select("least").distinct(), F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = texts.mapInArrow(_members, "node bigint, members binary").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    found = _linked(post, signatures.select("node", "bits"), stored(sets, "sets"), percent)
+    found = _linked(post, signatures.select("node", "bits", "bands"), stored(sets, "sets"), percent)
     rooted = nodes.withColumn("root", F.col("node")) if found is None else nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stored(rooted, "rooted")
     named = rooted.select("node", "root").join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root")
