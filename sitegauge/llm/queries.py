@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import decontam, minhash
-from sitegauge.llm.common import table
+from sitegauge.llm import decontam, langid, minhash, mix, token_blocks, toxicity
+from sitegauge.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +75,32 @@ c AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+@query
+def op9_nb_linear_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document; the fifth fold of ids is never learned."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    score = toxicity.scored(docs, model, ["doc_id"])
+    return score.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of each document; the third fold of four is never learned."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 4) != 2))
+    return langid.identified(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op3_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back."""
+    return token_blocks.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
+    return mix.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
