@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import decontam, langid, minhash, mix, token_blocks, toxicity
+from sitegauge.llm import ctw, decontam, langid, minhash, mix, token_blocks, toxicity
 from sitegauge.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,12 @@ def op3_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_subset_sum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mix.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each document by context-tree weighting; the third fold of seven is never learned."""
+    held_out = fold("doc_id", 7) == 2
+    out = ctw.scored(table(spark, sf_dir, "documents"), ~held_out)
+    bits = -F.col("score") * F.lit(3.321928094887362) / F.col("n_bytes")
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
