@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import ctw, decontam, langid, minhash, mix, token_blocks, toxicity
-from sitegauge.llm.common import fold, table
+from sitegauge.llm import ctw, decontam, langid, minhash, mix, pii, telephony, token_blocks, toxicity, warc
+from sitegauge.llm.common import fold, stored, table
+from sitegauge.session import shared_scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +114,38 @@ def op6_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ctw.scored(table(spark, sf_dir, "documents"), ~held_out)
     bits = -F.col("score") * F.lit(3.321928094887362) / F.col("n_bytes")
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", bits.alias("bits_per_byte"))
+
+
+@query
+def op2_boundary_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages as WARC archives and read them back by verified boundaries."""
+    path = f"{shared_scratch(spark)}/warc"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op2_boundary_chains"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
+@query
+def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store all texts as telephony audio, read the stored bytes back and describe them."""
+    media = stored(telephony.stored_media(table(spark, sf_dir, "documents")), "media")
+    return telephony.decoded(media, keep_pcm=False)
+
+
+@query
+def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of each document."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(number, pii.KINDS[: pii.BASE]), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
