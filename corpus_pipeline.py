@@ -1,13 +1,24 @@
-"""From raw documents to token files: the corpus operators one after the other."""
+"""From raw documents to token files: five corpus operators one after the other.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return
+the columns of ``documents``; the last writes the token files and returns a row per written document.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sitegauge.llm import decontam, minhash
+from sitegauge.llm import decontam, minhash, mix, token_blocks, toxicity
 from sitegauge.llm.common import stored, table
 
 
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels of the training folds."""
+    model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
+    return toxicity.without_toxic(docs, model)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
     return minhash.one_of_each(docs)
@@ -18,9 +29,19 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("minhash near-dedup", near_duplicates), ("benchmark decontamination", benchmark)]
+def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mix.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all documents; per document its place in them."""
+    return token_blocks.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxic), ("minhash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("mixing sources", weights), ("token output", tokens)]
 
-#: No SQL can run a tokenizer, a trained classifier or the subset-sum fit; tests compare with plain Python.
+#: SQL can express neither the trained classifier nor the tokenizer; tests compare with plain Python.
 ORACLE_SQL = None
 
 
