@@ -32,9 +32,9 @@ from sitegauge.llm.common import pieces, small_batches, stored, utf8
 from sitegauge.llm.words import SPACED, word_bounds, word_hashes
 
 DEPTH = 4
-CHUNK_BYTES, BYTES_PER_STEP = 6 << 20, 1 << 20
-GRAM, WORD = 0, 1
-END_WORD = 1  # stands for the end token among word hashes
+CHUNK_BYTES, BYTES_PER_STEP = 32 << 20, 1 << 20
+IS_WORD = 1 << 62  # set in the codes of words, never in those of grams
+END_WORD = IS_WORD  # the end token
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +55,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word and the first word of each text; the end token isn't among them."""
     starts, ends, first = word_bounds(data, offsets, SPACED)
-    return word_hashes(data, starts, ends).view(np.int64), first
+    return (word_hashes(data, starts, ends) >> np.uint64(2) | np.uint64(IS_WORD)).view(np.int64), first
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +101,17 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct grams and words of each chunk, with their numbers in its training documents."""
     for b in batches:
         for k in range(b.num_rows):
-            found: dict[int, list] = {GRAM: [], WORD: []}
+            grams_, words_ = [], []
             for _, data, offsets, train in _steps(b.slice(k, 1)):
                 code, first = grams(data, offsets)
-                found[GRAM].append(_counted(code, np.repeat(train, np.diff(first))))
+                grams_.append(_counted(code, np.repeat(train, np.diff(first))))
                 words, first = _words(data, offsets)
-                found[WORD].append(_counted(words, np.repeat(train, np.diff(first))))
-                found[WORD].append((np.array([END_WORD]), np.array([np.count_nonzero(train)])))
-            for kind, parts in found.items():
-                code, n = _merged(parts)
+                words_.append(_counted(words, np.repeat(train, np.diff(first))))
+                words_.append((np.array([END_WORD]), np.array([np.count_nonzero(train)])))
+            for code, n in map(_merged, (grams_, words_)):
                 name = np.full(len(code), b.column("chunk")[k].as_py())
                 for x in range(0, len(code), 1 << 16):
-                    yield pa.RecordBatch.from_pydict({"chunk": name[x : x + (1 << 16)], "kind": pa.array(np.full(len(code[x : x + (1 << 16)]), kind), pa.int32()), "code": code[x : x + (1 << 16)], "n": n[x : x + (1 << 16)]})
+                    yield pa.RecordBatch.from_pydict({"chunk": name[x : x + (1 << 16)], "code": code[x : x + (1 << 16)], "n": n[x : x + (1 << 16)]})
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -240,7 +239,7 @@ def _values(top) -> object:
                 p1, p0 = one_1[nearest, node], one_0[node]
                 p = stop_1[nearest, node] * np.where(one, p1, 1 - p1) + (1 - stop_1[nearest, node]) * below[:, bit]
                 total += np.log10(stop_0[node] * np.where(one, p0, 1 - p0) + (1 - stop_0[node]) * p)
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(code), GRAM), pa.int32()), "code": code, "value": total})
+            yield pa.RecordBatch.from_pydict({"code": code, "value": total})
 
     return run
 
@@ -250,23 +249,20 @@ _SCORES = "doc_id bigint, n_tokens bigint, n_known bigint, n_bytes bigint, base_
 
 def _scores(chunk: pa.Table, answers: pa.Table, n_train: int, n_distinct: int) -> pa.Table:
     """Scores of a chunk's documents from the values of its grams and words."""
-    kind = answers.column("kind").to_numpy()
-    known = {}
-    for k in (GRAM, WORD):
-        code, value = (answers.column(c).to_numpy()[kind == k] for c in ("code", "value"))
-        order = np.argsort(code, kind="stable")
-        known[k] = code[order], value[order]
+    code, value = (answers.column(c).to_numpy() for c in ("code", "value"))
+    order = np.argsort(code, kind="stable")
+    code_known, value_known = code[order], value[order]
     out = []
     for row in chunk.to_batches():
         for k in range(row.num_rows):
             for ids, data, offsets, _ in _steps(row.slice(k, 1)):
                 code, first = grams(data, offsets)
-                score = np.add.reduceat(known[GRAM][1][np.searchsorted(known[GRAM][0], code)], first[:-1])
+                score = np.add.reduceat(value_known[np.searchsorted(code_known, code)], first[:-1])
                 n_bytes = np.diff(first)
                 words, first = _words(data, offsets)
                 owner = np.concatenate([np.repeat(np.arange(len(ids)), np.diff(first)), np.arange(len(ids))])
                 words = np.concatenate([words, np.full(len(ids), END_WORD)])
-                c = known[WORD][1][np.searchsorted(known[WORD][0], words)]
+                c = value_known[np.searchsorted(code_known, words)]
                 base = np.bincount(owner, np.log10((c + 1) / (n_train + 1.0 * (n_distinct + 1))), minlength=len(ids))
                 n_known = np.bincount(owner, c > 0, minlength=len(ids)).astype(np.int64)
                 out.append(pa.table({"doc_id": ids, "n_tokens": np.diff(first) + 1, "n_known": n_known, "n_bytes": n_bytes, "base_score": base, "score": score}))
@@ -282,16 +278,16 @@ def scored(docs: DataFrame, train) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), train.alias("train"))
     chunks = stored(rows.mapInArrow(_packed, "chunk bigint, doc_id array<bigint>, text array<string>, train array<boolean>"), "chunks")
-    asked = stored(chunks.mapInArrow(_asked, "chunk bigint, kind int, code bigint, n bigint"), "asked")
-    totals = stored(asked.groupBy("kind", "code").agg(F.sum("n").alias("n")), "totals")
-    words = totals.where(F.col("kind") == WORD)
+    asked = stored(chunks.mapInArrow(_asked, "chunk bigint, code bigint, n bigint"), "asked")
+    totals = stored(asked.groupBy("code").agg(F.sum("n").alias("n")), "totals")
+    words = totals.where(F.col("code") >= IS_WORD)
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("distinct")).first()
-    suffix = totals.where(F.col("kind") == GRAM).select("code", "n").repartition(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
+    suffix = totals.where(F.col("code") < IS_WORD).repartition(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
     trees = stored(suffix.mapInArrow(_suffix_trees, "code bigint, below binary, nearest int, node int, zeros double, ones double, log_mix double"), "trees")
     top = trees.where("node IS NOT NULL").groupBy("nearest", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log_mix"))).collect()
-    values = trees.where("node IS NULL").select("code", "below").mapInArrow(_values(spark.sparkContext.broadcast(_top(top))), "kind int, code bigint, value double")
-    values = stored(values.unionByName(words.select("kind", "code", F.col("n").cast("double").alias("value"))), "values")
-    answers = asked.select("chunk", "kind", "code").join(values, ["kind", "code"]).select("chunk", "kind", "code", "value")
+    values = trees.where("node IS NULL").select("code", "below").mapInArrow(_values(spark.sparkContext.broadcast(_top(top))), "code bigint, value double")
+    values = values.unionByName(words.select("code", F.col("n").cast("double").alias("value")))
+    answers = asked.select("chunk", "code").join(values, "code").select("chunk", "code", "value")
     n_train, n_distinct = sums["n"], sums["distinct"]
     out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda x, y: _scores(x, y, n_train, n_distinct), _SCORES)
     return out.withColumn("train_tokens", F.lit(n_train).cast("long"))

@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,9 @@ from sitegauge.session import shared_scratch
 BLOCK, PERCENTILE = 128, 90
 END = 0
 SECTION_IDS = 1 << 19
-MEMO, MEMO_CHARS = 400_000, 40
+MEMO, MEMO_CHARS = 1_600_000, 32
 BYTES_PER_STEP = 1 << 21
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 _HEAD = struct.Struct("<5sBIQIQ")
 
 
@@ -56,30 +58,52 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # of pieces that stand behind a space, without it
         self.unsafe, self.cut = re.compile(r" (?=\s)"), re.compile(r"(?= \S)")
 
     def ids(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u16."""
-        split = [self._pieces(t) for t in many]
         if len(self.memo) > MEMO:
             self.memo.clear()
-        memo = self.memo
-        new = list(dict.fromkeys(p for ps in split for p in ps if p not in memo))
-        long: dict[str, bytes] = {}
-        for k in range(0, len(new), 4096):
-            for p, e in zip(new[k : k + 4096], self.tokenizer.encode_batch_fast(new[k : k + 4096], add_special_tokens=False), strict=True):
-                (memo if len(p) <= MEMO_CHARS else long)[p] = np.array(e.ids, "<u2").tobytes()
-        get = {**long}.get
-        return [b"".join([memo[p] if p in memo else get(p) for p in ps]) for ps in split] if long else [b"".join(map(memo.__getitem__, ps)) for ps in split]
+        heads, out, open_, missing = [], [], [], {}
+        for text in many:
+            head, *rest = self._pieces(text)
+            found = list(map(self.memo.get, rest))
+            heads.append(head)
+            try:
+                out.append(b"".join(found))
+            except TypeError:  # some aren't in the memo
+                missing.update((p, None) for p, ids in zip(rest, found, strict=True) if ids is None)
+                open_.append((len(out), rest, found))
+                out.append(b"")
+        new = self._new(missing)
+        for k, rest, found in open_:
+            out[k] = b"".join([new[p] if ids is None else ids for p, ids in zip(rest, found, strict=True)])
+        self.memo.update((p, ids) for p, ids in new.items() if len(p) <= MEMO_CHARS)
+        return [head + tail for head, tail in zip(self._encoded(heads), out, strict=True)]
+
+    def _new(self, missing: dict[str, None]) -> dict[str, bytes]:
+        """The ids of pieces that the memo lacks; signs at the end are never merged with a letter or digit before."""
+        split = {p: (core, p[len(core) :]) for p in missing if (core := p.rstrip(_SIGNS)) != p and core and core[-1].isalnum()}
+        parts = dict.fromkeys(core for core, _ in split.values())
+        whole = [p for p in {**missing, **parts} if p not in split and p not in self.memo]
+        known = dict(zip(whole, self._encoded([" " + p for p in whole]), strict=True))
+        ends = list(dict.fromkeys(end for _, end in split.values()))
+        ends = dict(zip(ends, self._encoded(ends), strict=True))
+        return known | {p: (self.memo.get(core) or known[core]) + ends[end] for p, (core, end) in split.items()}
+
+    def _encoded(self, pieces_: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(pieces_), 4096):
+            out += [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces_[k : k + 4096], add_special_tokens=False)]
+        return out
 
     def _pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
+        """The text up to its first cut, then what stands behind the space of each cut."""
         if self.unsafe.search(text):
-            return [p for p in self.cut.split(text) if p]
-        first, *rest = text.split(" ")
-        return [first, *(" " + p for p in rest)] if first else [" " + p for p in rest]
+            head, *rest = self.cut.split(text)
+            return [head, *(p[1:] for p in rest)]
+        return text.split(" ")
 
 
 _encoders: dict[str, Encoder] = {}
