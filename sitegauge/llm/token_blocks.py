@@ -39,7 +39,7 @@ from sitegauge.session import shared_scratch
 BLOCK, PERCENTILE = 128, 90
 END = 0
 SECTION_IDS = 1 << 19
-MEMO, MEMO_CHARS = 1_600_000, 32
+MEMO, MEMO_CHARS = 2_000_000, 32
 BYTES_PER_STEP = 1 << 21
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 _HEAD = struct.Struct("<5sBIQIQ")
@@ -79,7 +79,7 @@ class Encoder:
         new = self._new(missing)
         for k, rest, found in open_:
             out[k] = b"".join([new[p] if ids is None else ids for p, ids in zip(rest, found, strict=True)])
-        self.memo.update((p, ids) for p, ids in new.items() if len(p) <= MEMO_CHARS)
+        self.memo.update((p, ids) for p, ids in new.items() if p in missing and len(p) <= MEMO_CHARS)
         return [head + tail for head, tail in zip(self._encoded(heads), out, strict=True)]
 
     def _new(self, missing: dict[str, None]) -> dict[str, bytes]:
