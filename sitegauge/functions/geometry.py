@@ -37,7 +37,7 @@ def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, b
 
 def ray_crosses(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Whether the ray from (x, y) towards +x meets the edge; an odd total means inside."""
-    return ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
+    return ((ay > y) != (by > y)) & (x < F.try_divide((bx - ax) * (y - ay), by - ay) + ax)
 
 
 def _circle_roots(x, y, r, ax, ay, bx, by):
@@ -47,8 +47,8 @@ def _circle_roots(x, y, r, ax, ay, bx, by):
     c = px * px + py * py - r * r
     disc = b * b - a * c
     root = F.sqrt(F.greatest(disc, F.lit(0.0)))
-    t1 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-b - root) / a))
-    t2 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-b + root) / a))
+    t1 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-b - root, a)))
+    t2 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-b + root, a)))
     return a, disc, t1, t2
 
 
@@ -77,8 +77,8 @@ def with_disc_area_terms(df: DataFrame, x: Column, y: Column, radii: Mapping[str
         df = df.withColumn("_g_disc", b * b - a * (c - float(r) * float(r)))
         df = df.withColumn("_g_root", F.when((disc > 0) & (a > 0), F.sqrt(disc)))
         df = df.withColumns({
-            "_g_t1": F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-b - root) / a)),
-            "_g_t2": F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-b + root) / a)),
+            "_g_t1": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-b - root, a))),
+            "_g_t2": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(-b + root, a))),
         })
         sx, sy, ex, ey = (F.col(f"_g_{n}") for n in ("sx", "sy", "ex", "ey"))
         df = df.withColumn("_g_cut", root.isNotNull() & (t2 > t1))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import col
 
-MAX_CATEGORIES = 1_000_000
 
 
 def coerce(df: DataFrame, numeric: Sequence[str] = (), dates: Sequence[str] = (), pattern: str = "dd/MM/yyyy") -> DataFrame:
@@ -148,9 +147,6 @@ def code_map(df: DataFrame, columns: Sequence[str], missing: str = "missing") ->
         for c in columns
     ])
     values = df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
-    too_many = values.groupBy("column").count().filter(F.col("count") > MAX_CATEGORIES).take(1)
-    if too_many:
-        raise ValueError(f"not a category: {too_many[0]['column']}")
     order = Window.partitionBy("column").orderBy("value")
     return values.withColumn("code", F.row_number().over(order) - 1)
 
@@ -164,15 +160,16 @@ def encode_ordinal(df: DataFrame, columns: Sequence[str], missing: str = "missin
     return df
 
 
-def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None, max_cardinality: int = 100,
+def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None, max_cardinality: int | None = None,
             synonyms: Mapping[str, str] | None = None) -> DataFrame:
-    """0/1 columns per category; with no fixed list, a column above the cardinality limit is dropped."""
+    """0/1 columns per category. Only where the caller sets ``max_cardinality``, a column with more is dropped."""
     value = F.col(column)
     for old, new in (synonyms or {}).items():
         value = F.when(F.col(column) == old, new).otherwise(value)
     if categories is None:
-        found = [r[0] for r in df.select(column).distinct().dropna().limit(max_cardinality + 1).collect()]
-        if len(found) > max_cardinality:
+        distinct = df.select(column).distinct().dropna()
+        found = [r[0] for r in (distinct if max_cardinality is None else distinct.limit(max_cardinality + 1)).collect()]
+        if max_cardinality is not None and len(found) > max_cardinality:
             return df.drop(column)
         categories = sorted(found)
     from sitegauge.operators.shape import snake

@@ -251,7 +251,7 @@ def cable_and_scarcity():
 def mid_band():
     cap, d, g = val("cap"), val("path_km"), band_gate(5, 10)
     parts = {
-        "per_kv": cap / val("kv"), "reach": d / cap, "isolated": 10 * flag((d > 3) & (val("line_density") < 0.5)), "export": cap / (val("export_mw") + 1),
+        "per_kv": F.try_divide(cap, val("kv")), "reach": d / cap, "isolated": 10 * flag((d > 3) & (val("line_density") < 0.5)), "export": cap / (val("export_mw") + 1),
         "pace": val("lpa_days") / (cap + 0.1), "farmland": 5 * val("bmv"), "neighbours": val("nearby"), "farm_reach": val("bmv") * d,
         "density": val("dens") * cap, "pole_density": val("poles") * val("dens"), "access": 1 / (val("road_m") + 0.1), "queue": val("queue_mw") / cap,
     }
@@ -310,8 +310,13 @@ def physical_footprint():
 
 def survey_wait():
     m = F.col("month")
-    windows = {"newt": (3, 6), "bat": (5, 9), "bird": (3, 8), "winter_bird": (10, 3)}
-    waits = [flag(val("cap") >= 5) * months_to_window(m, a, b) * near("sssi", 500) for a, b in windows.values()]
+    species = (  # survey window, and the habitat that asks for it
+        (3, 6, near("ph", 100) * val("wet_habitat")),
+        (5, 8, either(near("ph", 100) * flag(val("wood_habitat") == 1), near("aw", 100))),
+        (11, 2, either(near("spa", 500), near("ph", 500) * val("coastal_habitat"))),
+        (4, 7, near("sssi", 100) * flag(val("flower_habitat") == 1)),
+    )
+    waits = [flag(val("cap") >= 5) * months_to_window(m, a, b) * habitat for a, b, habitat in species]
     return {"survey_wait_months": F.greatest(*waits)}
 
 

@@ -29,23 +29,31 @@ def hash_share(id: str, salt: str = "split") -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), F.col(id).cast("string")), F.lit(1_000_000)) / 1_000_000
 
 
+#: Boosting rounds of every model unless a caller asks for others.
+ROUNDS = 20
+
+
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 
 
-def regressor(label: str, prediction: str, features: str = "features", iterations: int = 5, weight: str | None = None) -> GBTRegressor:
+def regressor(label: str, prediction: str, features: str = "features", iterations: int = ROUNDS, weight: str | None = None) -> GBTRegressor:
     model = GBTRegressor(featuresCol=features, labelCol=label, predictionCol=prediction, maxIter=iterations, maxDepth=3, maxBins=64, seed=SEED, stepSize=0.3)
     return model.setWeightCol(weight) if weight else model
 
 
 def fit_on_train_transform_all(train: DataFrame, rows: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     """Median imputation and scaling fitted on the training rows only."""
+    return _scaling(train, features, out).transform(rows).drop("_raw", *[f"_f_{c}" for c in features])
+
+
+def _scaling(train: DataFrame, features: Sequence[str], out: str):
     filled = [f"_f_{c}" for c in features]
     steps = [
         Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
         VectorAssembler(inputCols=filled, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol=out, withMean=True),
     ]
-    return Pipeline(stages=steps).fit(train).transform(rows).drop("_raw", *filled)
+    return Pipeline(stages=steps).fit(train)
 
 
 def impute_columns(df: DataFrame, targets: Sequence[str], predictors: Sequence[str], id: str, min_known: int = 150) -> tuple[DataFrame, DataFrame]:
@@ -91,15 +99,15 @@ def compress_tail(train: DataFrame, rows: DataFrame, ranked: Sequence[str], keep
 
 
 def project_regimes(train: DataFrame, rows: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:
-    scaled = fit_on_train_transform_all(train, train, features, "_regime_x")
-    model = KMeans(k=k, seed=SEED, featuresCol="_regime_x", predictionCol="regime", maxIter=10).fit(scaled)
-    return model.transform(fit_on_train_transform_all(train, rows, features, "_regime_x")).drop("_regime_x")
+    scaling, extra = _scaling(train, features, "_regime_x"), ["_raw", *[f"_f_{c}" for c in features]]
+    model = KMeans(k=k, seed=SEED, featuresCol="_regime_x", predictionCol="regime").fit(scaling.transform(train))
+    return model.transform(scaling.transform(rows)).drop("_regime_x", *extra)
 
 
 def group_oof(df: DataFrame, group: str, k: int, fit: Callable[[DataFrame], object], prediction: str, out: str) -> DataFrame:
     """Out-of-fold predictions; a whole group is always in one fold."""
     fold = F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(k))
-    folded = df.withColumn("_fold", fold)
+    folded = cut_lineage(df.withColumn("_fold", fold))  # read once, not twice a fold
     parts = None
     for i in range(k):
         model = fit(folded.filter(F.col("_fold") != i))
@@ -126,7 +134,7 @@ def residual_stack(train: DataFrame, rows: DataFrame, features: Sequence[str], l
     for name, predicate in cohorts.items():
         part = train.filter(F.expr(predicate))
         if part.take(1):
-            head = regressor("_left", f"head_{name}", iterations=3).fit(part)
+            head = regressor("_left", f"head_{name}").fit(part)
             gate = F.expr(predicate)
             train, rows = (head.transform(d).withColumn(f"head_{name}", F.when(gate, F.col(f"head_{name}")).otherwise(0.0)) for d in (train, rows))
             heads.append(f"head_{name}")
@@ -156,8 +164,8 @@ def catastrophe_classifier(train: DataFrame, rows: DataFrame, features: Sequence
     edge = group_quantiles(train, [], error, [0.9]).scalar()
     labelled = train.withColumn("_bad", (F.col(error) > edge).cast("double"))
     share = labelled.agg(F.avg("_bad")).scalar()
-    labelled = labelled.withColumn("_w", F.when(F.col("_bad") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    model = GBTClassifier(featuresCol="features", labelCol="_bad", weightCol="_w", maxIter=5, maxDepth=3, seed=SEED)
+    labelled = labelled.withColumn("_w", F.when(F.col("_bad") == 1, F.try_divide(F.lit(0.5), share)).otherwise(F.try_divide(F.lit(0.5), 1 - share)))
+    model = GBTClassifier(featuresCol="features", labelCol="_bad", weightCol="_w", maxIter=ROUNDS, maxDepth=3, seed=SEED)
     scored = model.fit(assembler(features).transform(labelled)).transform(assembler(features).transform(rows))
     return scored.withColumn("catastrophe_probability", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "features")
 
@@ -195,7 +203,7 @@ def sample_weights(df: DataFrame, error: str, age_days: str, edges: Sequence[flo
 
 
 def stratified_split(df: DataFrame, id: str, target: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """Exact shares per target quartile, rows in each taken in hash order."""
+    """Exact shares per target quartile, rows in each taken in hash order; rows without a target are a stratum too."""
     banded = quartile_band(df, target, "_q").withColumn("_h", F.xxhash64(F.col(id).cast("string")))
     placed = ordered_position(banded, ["_q"], "_h", id, "_pos")
     share = F.col("_pos") / F.col("group_size")
@@ -203,9 +211,9 @@ def stratified_split(df: DataFrame, id: str, target: str, train: float = 0.7, va
     return placed.withColumn("split", split).drop("_q", "_h", "_pos", "group_size")
 
 
-def tune(train: DataFrame, features: Sequence[str], label: str, fold: str, depths: Sequence[int], folds: int = 3) -> DataFrame:
+def tune(train: DataFrame, features: Sequence[str], label: str, fold: str, depths: Sequence[int], folds: int = 5) -> DataFrame:
     """(depth, rmse) from cross-validation over a given fold column."""
-    model = regressor(label, "prediction", iterations=3)
+    model = regressor(label, "prediction")
     grid = ParamGridBuilder().addGrid(model.maxDepth, list(depths)).build()
     search = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"), numFolds=folds, foldCol=fold, parallelism=2, seed=SEED)
     scores = search.fit(assembler(features).transform(train)).avgMetrics

@@ -37,7 +37,7 @@ def repair_edges(edges: DataFrame, id: str) -> DataFrame:
 
 
 def measures(edges: DataFrame, id: str) -> DataFrame:
-    """Area, perimeter and centroid per polygon."""
+    """Area, perimeter and centroid per polygon; no centroid where there is no area."""
     e = [F.col(c) for c in EDGE]
     cross = geo.shoelace_term(*e) * 2
     sums = edges.groupBy(id).agg(
@@ -45,7 +45,7 @@ def measures(edges: DataFrame, id: str) -> DataFrame:
         F.sum((e[0] + e[2]) * cross).alias("_cx"), F.sum((e[1] + e[3]) * cross).alias("_cy"),
     )
     return sums.select(id, F.abs(F.col("_c") / 2).alias("area"), "perimeter",
-                       (F.col("_cx") / (3 * F.col("_c"))).alias("centroid_x"), (F.col("_cy") / (3 * F.col("_c"))).alias("centroid_y"))
+                       F.try_divide(F.col("_cx"), 3 * F.col("_c")).alias("centroid_x"), F.try_divide(F.col("_cy"), 3 * F.col("_c")).alias("centroid_y"))
 
 
 def boxes(edges: DataFrame, id: str) -> DataFrame:
@@ -230,7 +230,7 @@ def area_weighted_mean(points: DataFrame, edges: DataFrame, r: float, id: str, a
 
 def _box_pairs(a: DataFrame, b: DataFrame, keep_a: Sequence[str], keep_b: Sequence[str]) -> DataFrame:
     """Pairs of boxes that meet. Each box lies on cells of its own size and of every larger size in
-    use; a pair is found on the larger of its two sizes only."""
+    use; a pair is found on the larger of its two sizes, so of two boxes in a cell one is of its size."""
     scales = sorted({r[0] for r in a.select("_scale").union(b.select("_scale")).distinct().collect()})
 
     def spread(df: DataFrame, tag: str) -> DataFrame:
@@ -241,10 +241,11 @@ def _box_pairs(a: DataFrame, b: DataFrame, keep_a: Sequence[str], keep_b: Sequen
                           *[F.col(c).alias(f"{c}_{tag}") for c in ("_minx", "_miny", "_maxx", "_maxy")],
                           *(keep_a if tag == "a" else keep_b))
 
-    met = spread(a, "a").join(spread(b, "b"), ["_scale", "_gx", "_gy"])
+    wide_a, wide_b, cell = spread(a, "a"), spread(b, "b"), ["_scale", "_gx", "_gy"]
+    met = wide_a.filter("_own_a = _scale").join(wide_b, cell)
+    met = met.unionByName(wide_a.filter("_own_a < _scale").join(wide_b.filter("_own_b = _scale"), cell))
     met = met.filter(
-        (F.col("_scale") == F.greatest("_own_a", "_own_b"))
-        & (F.col("_minx_a") <= F.col("_maxx_b")) & (F.col("_minx_b") <= F.col("_maxx_a"))
+        (F.col("_minx_a") <= F.col("_maxx_b")) & (F.col("_minx_b") <= F.col("_maxx_a"))
         & (F.col("_miny_a") <= F.col("_maxy_b")) & (F.col("_miny_b") <= F.col("_maxy_a"))
     )
     # The pair is reported by the one shared cell holding the lower corner of the common box.
@@ -333,12 +334,17 @@ def overlap_areas(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame
 
 
 def polygon_coverage(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
-    """Per polygon of a: its area, the share covered by layer b and the count of b per 100 km2."""
+    """Per polygon of a: its area, the share covered by layer b, and the count of b within it, also per 100 km2.
+
+    A polygon of b is within when all of its area is. Polygons of b that overlap each other count twice in the share.
+    """
     overlaps = overlap_areas(a, b, a_id, b_id).filter(F.col("area") > 1e-6)
-    covered = overlaps.groupBy("id_a").agg(F.sum("area").alias("_covered"), F.count(F.lit(1)).alias("n_b"))
+    whole = measures(b, b_id).select(F.col(b_id).alias("id_b"), F.col("area").alias("_whole"))
+    overlaps = overlaps.join(whole, "id_b").withColumn("_within", F.col("area") >= F.col("_whole") * (1 - 1e-9) - 1e-6)
+    covered = overlaps.groupBy("id_a").agg(F.sum("area").alias("_covered"), F.count(F.when(F.col("_within"), 1)).alias("n_b"))
     out = measures(a, a_id).select(a_id, "area").join(covered.withColumnRenamed("id_a", a_id), a_id, "left")
-    return out.select(a_id, "area", (F.coalesce("_covered", F.lit(0.0)) / F.col("area")).alias("covered_share"),
-                      F.coalesce("n_b", F.lit(0)).alias("n_b"), (F.coalesce("n_b", F.lit(0)) / (F.col("area") / 1e8)).alias("n_per_100km2"))
+    return out.select(a_id, "area", F.try_divide(F.coalesce("_covered", F.lit(0.0)), F.col("area")).alias("covered_share"),
+                      F.coalesce("n_b", F.lit(0)).alias("n_b"), F.try_divide(F.coalesce("n_b", F.lit(0)), F.col("area") / 1e8).alias("n_per_100km2"))
 
 
 def polygon_intersects(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
@@ -358,20 +364,25 @@ def polygon_intersects(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> Data
 
 
 def hex_grid(edges: DataFrame, id: str, size: float) -> DataFrame:
-    """Centres of a pointy-top hexagon grid that lie in the zones: cell id, q, r, x, y and the lowest zone id.
+    """Cells of a pointy-top hexagon grid that meet the zones: cell id, q, r, centre x, y and the lowest zone id.
 
     Axial rows are spread as tasks over each zone's own box, so no list of cells is built on the driver.
     """
     w, h = size * math.sqrt(3), size * 1.5
     boxed = boxes(edges, id).select(id, "_minx", "_miny", "_maxx", "_maxy")
-    rows = boxed.withColumn("r", F.explode(F.sequence(F.floor(F.col("_miny") / h), F.ceil(F.col("_maxy") / h))))
+    rows = boxed.withColumn("r", F.explode(F.sequence(F.floor((F.col("_miny") - size) / h), F.ceil((F.col("_maxy") + size) / h))))
     shift = F.pmod(F.col("r"), F.lit(2)) * (w / 2)
-    cells = rows.withColumn("q", F.explode(F.sequence(F.floor((F.col("_minx") - shift) / w), F.ceil((F.col("_maxx") - shift) / w))))
+    cells = rows.withColumn("q", F.explode(F.sequence(F.floor((F.col("_minx") - shift - w / 2) / w), F.ceil((F.col("_maxx") - shift + w / 2) / w))))
     cells = cells.select("q", "r").distinct().withColumns({
         "x": F.col("q") * w + F.pmod(F.col("r"), F.lit(2)) * (w / 2), "y": F.col("r") * h,
         "cell_id": F.concat_ws("_", F.lit("h"), F.col("q").cast("string"), F.col("r").cast("string")),
     })
-    return point_in_polygon(cells, edges, id, how="inner", first=True)
+    x, y = F.col("x"), F.col("y")
+    ring = [(x, y + size), (x - w / 2, y + size / 2), (x - w / 2, y - size / 2), (x, y - size), (x + w / 2, y - size / 2), (x + w / 2, y + size / 2)]
+    sides = [F.struct(F.lit(i).alias("edge_no"), *(c.alias(n) for n, c in zip(EDGE, (*p, *q), strict=True))) for i, (p, q) in enumerate(zip(ring, ring[1:] + ring[:1], strict=True))]
+    outline = cells.select("cell_id", F.explode(F.array(*sides)).alias("e")).select("cell_id", "e.*")
+    met = polygon_intersects(outline, edges, "cell_id", id).groupBy(F.col("id_a").alias("cell_id")).agg(F.min("id_b").alias(id))
+    return cells.join(met, "cell_id")
 
 
 def active_polygons(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str, states: DataFrame,

@@ -121,7 +121,7 @@ def error_metrics(actual: str, predicted: str) -> dict[str, Column]:
     a, e = F.col(actual), F.col(predicted) - F.col(actual)
     return {
         "n": F.count(e), "rmse": F.sqrt(F.avg(e * e)), "mae": F.avg(F.abs(e)),
-        "r2": 1 - F.sum(e * e) / (F.var_pop(F.when(e.isNotNull(), a)) * F.count(e)),
+        "r2": 1 - F.try_divide(F.sum(e * e), F.var_pop(F.when(e.isNotNull(), a)) * F.count(e)),  # null where all are equal
         "mape": F.avg(F.when(a != 0, F.abs(e / a))) * 100, "bias": F.avg(e),
     }
 

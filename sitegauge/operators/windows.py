@@ -19,7 +19,7 @@ RANGES = 32
 
 def trailing(df: DataFrame, keys: Sequence[str], date: str, days: int, aggs: Mapping[str, Column],
              count: str | None = None) -> DataFrame:
-    """Sums over rows of the same key in [t - days, t), by day; 0 when there are none."""
+    """Sums over rows of the same key in [t - days, t), by day; 0 when there are none, null for a null key or date."""
     keys = list(keys)
     daily = df.filter(F.col(date).isNotNull()).groupBy(*keys, date).agg(
         *[F.sum(c).alias(n) for n, c in aggs.items()], *([F.count(F.lit(1)).alias(count)] if count else [])
@@ -66,10 +66,9 @@ def ordered_position(df: DataFrame, keys: Sequence[str], score: str, id: str, ou
     themselves. Rows are ranked inside a range and the exact sizes of the earlier ranges added, so the
     sketch affects balance only.
     """
-    keys = list(keys)
     cuts = [i / RANGES for i in range(1, RANGES)]
-    group = keys or ["_all"]
-    df = df if keys else df.withColumn("_all", F.lit(0))
+    group = ["_group"]  # a struct: rows whose key is null are a group of their own
+    df = df.withColumn("_group", F.struct(*keys) if keys else F.struct(F.lit(0)))
     edges = df.groupBy(*group).agg(F.percentile_approx(F.col(score).cast("double"), cuts, 1000).alias("_edges"))
     edges = edges.withColumn("_hot", F.array_distinct(F.filter(
         F.col("_edges"), lambda e: F.size(F.filter(F.col("_edges"), lambda o: o == e)) > 1
@@ -90,7 +89,7 @@ def ordered_position(df: DataFrame, keys: Sequence[str], score: str, id: str, ou
     }).drop("_size")
     inside = Window.partitionBy(*group, "_band", "_part").orderBy(score, id)
     ranked = cut.withColumn("_in", F.row_number().over(inside)).join(sizes, [*group, "_band", "_part"])
-    return ranked.withColumn(out, F.col("_before") + F.col("_in")).drop("_band", "_part", "_before", "_in", "_all")
+    return ranked.withColumn(out, F.col("_before") + F.col("_in")).drop("_band", "_part", "_before", "_in", "_group")
 
 
 # Quartile labels and colours, best first.
@@ -144,11 +143,12 @@ def quartile_band(df: DataFrame, value: str, out: str = "quartile") -> DataFrame
 
 
 def trim_by_group(df: DataFrame, key: str, value: str, low: float = 0.02, high: float = 0.98, min_rows: int = 10) -> DataFrame:
-    """Drop each group's tails; groups below ``min_rows`` stay whole."""
+    """Drop each group's tails; groups below ``min_rows`` stay whole, as do rows whose group or value is null."""
     edges = group_quantiles(df, [key], value, [low, high], ["_lo", "_hi"])
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     marked = df.join(edges, key, "left").join(sizes, key, "left")
-    return marked.filter((F.col("_n") < min_rows) | F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "_n")
+    unknown = F.col(key).isNull() | F.col(value).isNull()
+    return marked.filter(unknown | (F.col("_n") < min_rows) | F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi", "_n")
 
 
 def top_drivers(df: DataFrame, id: str, contributions: Mapping[str, Column], n: int = 3) -> DataFrame:

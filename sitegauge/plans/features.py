@@ -25,7 +25,7 @@ INPUTS = {
     "storage_mwh": (373, 277, 10), "industrial_share": (379, 281, 1000), "urban_share": (383, 283, 1000), "tower_density": (389, 293, 100), "sterilised_ha": (397, 307, 10),
     "road_km": (401, 311, 10), "rail_km": (409, 313, 10), "wet_habitat": (419, 2, 1), "coastal_habitat": (421, 2, 1), "ancient": (431, 2, 1), "sac_ha": (433, 317, 1),
     "trail_m": (439, 1409, 1), "legacy_km": (443, 331, 10), "legacy_count": (449, 9, 1), "lpa_rate": (457, 337, 1000), "region_bmv_pct": (461, 101, 1), "experience": (463, 347, 1),
-    "on_agreement": (467, 2, 1), "agreement_value": (479, 9973, 1),
+    "wood_habitat": (487, 3, 1), "flower_habitat": (491, 5, 1), "on_agreement": (467, 2, 1), "agreement_value": (479, 9973, 1),
 }
 
 
@@ -119,7 +119,9 @@ TWINS = {
     "excess_over_threshold": {"over_10": "greatest(cap-10,0)", "over_25": "greatest(cap-25,0)", "over_50": "greatest(nearby_mw-50,0)", "first_20": "least(nearby_mw,20)", "log_cap": "ln(1+cap)"},
     "storage_gate": {"storage_score": "CASE WHEN cap<1 THEN 0 ELSE storage*cap*1.5 END"},
     "physical_footprint": {"log_area": "ln(2+site_agri)", "mw_per_ha": "cap/(site_agri+1)", "sprawl": "(site_agri+1)/(cap+1)*dens"},
-    "survey_wait": {"survey_wait_months": f"{b(5)}*{nr('sssi', 500)}*" + gr(*[_WAIT.format(i=i, s=s) for i, s in (("month BETWEEN 3 AND 6", 3), ("month BETWEEN 5 AND 9", 5), ("month BETWEEN 3 AND 8", 3), ("(month>=10 OR month<=3)", 10))])},
+    "survey_wait": {"survey_wait_months": f"{b(5)}*" + gr(*[f"({_WAIT.format(i=i, s=s)})*({h})::INT" for i, s, h in (
+        ("month BETWEEN 3 AND 6", 3, "ph_m<100 AND wet_habitat=1"), ("month BETWEEN 5 AND 8", 5, "(ph_m<100 AND wood_habitat=1) OR aw_m<100"),
+        ("(month>=11 OR month<=2)", 11, "spa_m<500 OR (ph_m<500 AND coastal_habitat=1)"), ("month BETWEEN 4 AND 7", 4, "sssi_m<100 AND flower_habitat=1"))])},
 }
 
 

@@ -49,11 +49,11 @@ def _(t):
 
 @query(
     "src04_union_shards",
-    f"{with_ctes('assets')} SELECT asset_id, voltage, rating, CASE WHEN voltage='33kv' THEN asset_tag END AS asset_tag FROM assets WHERE voltage IN ('11kv','33kv')",
+    f"{with_ctes('assets')} SELECT asset_id, voltage, rating, CASE WHEN voltage='33kv' THEN asset_tag END AS asset_tag FROM assets",
 )
 def _(t):
     paths = []
-    for voltage in ("11kv", "33kv"):
+    for voltage in ("11kv", "33kv", "66kv", "132kv"):
         shard = t.assets.filter(F.col("voltage") == voltage).select(F.col("asset_id").alias("AssetId"), "voltage", F.col("rating").alias("Rating"), F.col("asset_tag").alias("AssetTag"))
         paths.append(shared_scratch(t.spark))
         writers.write_table(shard if voltage == "33kv" else shard.drop("AssetTag"), paths[-1])

@@ -76,7 +76,7 @@ def _(t):
 
 def _oof(t):
     m = ml.assembler(FEATURES).transform(matrix(t))
-    return ml.group_oof(m, "lpa", 3, ml.regressor("days", "prediction").fit, "prediction", "oof").drop("features")
+    return ml.group_oof(m, "lpa", 5, ml.regressor("days", "prediction").fit, "prediction", "oof").drop("features")
 
 
 @query("ml05_group_oof", None)
@@ -166,8 +166,8 @@ def _(t):
 
 @query("ml15_tune", None)
 def _(t):
-    m = matrix(t).withColumn("fold", (F.col("lpa") % 3).cast("int"))
-    return ml.tune(m, FEATURES, "days", "fold", [2, 4])
+    m = matrix(t).withColumn("fold", (F.col("lpa") % 5).cast("int"))
+    return ml.tune(m, FEATURES, "days", "fold", [2, 3, 4])
 
 
 @query("ml16_rank_features", None)

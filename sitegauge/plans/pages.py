@@ -182,11 +182,13 @@ def _(t):
 
 @query(
     "src05_tag_and_unify",
-    f"""{with_ctes('assets')} SELECT asset_id, '11kv' AS voltage, 'pole' AS asset_tag, 5e0 AS buffer_m FROM assets WHERE voltage='11kv' UNION ALL SELECT asset_id, '33kv', 'tower', 20e0 FROM assets WHERE voltage='33kv'""",
+    f"""{with_ctes('assets')} SELECT asset_id, '11kv' AS voltage, 'pole' AS asset_tag, 5e0 AS buffer_m FROM assets WHERE voltage='11kv' UNION ALL SELECT asset_id, '33kv', 'tower', 20e0 FROM assets WHERE voltage='33kv'
+ UNION ALL SELECT asset_id, '66kv', 'tower', 25e0 FROM assets WHERE voltage='66kv' UNION ALL SELECT asset_id, '132kv', 'tower', 30e0 FROM assets WHERE voltage='132kv'""",
 )
 def _(t):
     a = t.assets.select("asset_id", F.col("voltage").alias("v"))
-    return readers.tag_and_unify({("11kv", "pole", 5): a.filter("v = '11kv'").drop("v"), ("33kv", "tower", 20): a.filter("v = '33kv'").drop("v")})
+    layers = (("11kv", "pole", 5), ("33kv", "tower", 20), ("66kv", "tower", 25), ("132kv", "tower", 30))
+    return readers.tag_and_unify({layer: a.filter(F.col("v") == layer[0]).drop("v") for layer in layers})
 
 
 @query(

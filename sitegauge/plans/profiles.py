@@ -87,11 +87,11 @@ def _(t):
 
 @query(
     "ag08_pivot_wide",
-    "SELECT user_id, " + ", ".join(f"{rnd(f'sum(value) FILTER (event_type={chr(39)}{e}{chr(39)})', 3)} AS sum_{e}" for e in ("click", "view", "purchase", "error")) + " FROM events WHERE event_type IN ('click','view','purchase','error') GROUP BY user_id",
+    "SELECT user_id, " + ", ".join(f"{rnd(f'sum(value) FILTER (event_type={chr(39)}{e}{chr(39)})', 3)} AS sum_{e}" for e in ("click", "view", "purchase", "error", "signup")) + " FROM events GROUP BY user_id",
 )
 def _(t):
-    kinds = ["click", "view", "purchase", "error"]
-    out = pf.pivot_wide(t.read("events").filter(F.col("event_type").isin(kinds)), ["user_id"], "event_type", kinds, F.sum("value"), "sum_")
+    kinds = ["click", "view", "purchase", "error", "signup"]
+    out = pf.pivot_wide(t.read("events"), ["user_id"], "event_type", kinds, F.sum("value"), "sum_")
     return rounded(out, [f"sum_{k}" for k in kinds], 3)
 
 

@@ -257,8 +257,9 @@ def _(t):
     "jn16_polygon_coverage",
     """WITH z AS (SELECT CAST((s_suppkey*7919)%100000 AS DOUBLE) AS cx, CAST((s_suppkey*104729)%100000 AS DOUBLE) AS cy, CAST(1500+(s_suppkey*37)%4000 AS DOUBLE) AS w, s_suppkey AS zone_id FROM supplier),
 a AS (SELECT n_nationkey AS lpa, CAST(n_nationkey%5*20000 AS DOUBLE) AS x0, floor(n_nationkey/5)*20000e0 AS y0 FROM nation),
-o AS (SELECT lpa, zone_id, greatest(0,least(cx+w,x0+20000)-greatest(cx-w,x0))*greatest(0,least(cy+w,y0+20000)-greatest(cy-w,y0)) AS area FROM a, z)
-SELECT lpa, 4e8 AS area, """ + rnd("sum(area)/4e8", 6) + " AS covered_share, count(*) FILTER (area>0) AS n_b, " + rnd("count(*) FILTER (area>0)/4e0", 6) + " AS n_per_100km2 FROM o GROUP BY lpa",
+o AS (SELECT lpa, zone_id, greatest(0,least(cx+w,x0+20000)-greatest(cx-w,x0))*greatest(0,least(cy+w,y0+20000)-greatest(cy-w,y0)) AS area,
+ cx-w>=x0 AND cx+w<=x0+20000 AND cy-w>=y0 AND cy+w<=y0+20000 AS inside FROM a, z)
+SELECT lpa, 4e8 AS area, """ + rnd("sum(area)/4e8", 6) + " AS covered_share, count(*) FILTER (inside) AS n_b, " + rnd("count(*) FILTER (inside)/4e0", 6) + " AS n_per_100km2 FROM o GROUP BY lpa",
 )
 def _(t):
     from sitegauge.plans.bindings import explode_ring

@@ -110,13 +110,14 @@ EVENTS = ("1997-05-01", "1999-05-06", "2001-06-07")
     f"""{S}, e AS (SELECT unnest([{','.join(f"DATE '{d}'" for d in EVENTS)}]) AS d), n AS (SELECT site_id, submission_date AS sd, (SELECT min(d) FROM e WHERE d>submission_date) AS nx,
  (SELECT count(*) FROM e WHERE d>=submission_date AND d<=submission_date+250) AS hits FROM sites)
 SELECT site_id, CAST(coalesce(date_diff('day',sd,nx),1500) AS INTEGER) AS days_to_event, CASE WHEN hits>0 THEN 1 ELSE 0 END AS crosses, coalesce(date_diff('day',sd,nx),1500)<45 AS purdah,
- CASE WHEN year(sd)<=1996 THEN 0 WHEN year(sd)<=1998 THEN 1 WHEN year(sd)<=2000 THEN 2 ELSE 3 END AS era FROM n""",
+ coalesce(date_diff('day',sd,nx),1500)<180 AS pre_election,
+ CASE WHEN year(sd)+18<2015 THEN 0 WHEN year(sd)+18<2020 THEN 1 WHEN year(sd)+18<2022 THEN 2 WHEN year(sd)+18<2024 THEN 3 ELSE 4 END AS era FROM n""",
 )
 def _(t):
     day = F.col("submission_date")
     out = t.places.select("site_id", tm.next_event_days(day, EVENTS).alias("days_to_event"), tm.crosses_event(day, EVENTS).alias("crosses"),
-                          wn.band(F.year(day), [0, 1997, 1999, 2001], [0, 1, 2, 3]).cast("int").alias("era"))
-    return out.withColumn("purdah", F.col("days_to_event") < 45)
+                          tm.policy_era(F.year(day) + 18).alias("era"))
+    return out.withColumns({"purdah": F.col("days_to_event") < 45, "pre_election": F.col("days_to_event") < 180})
 
 
 _D = "date_diff('day', DATE '1970-01-01', submission_date)"
