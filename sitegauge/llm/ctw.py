@@ -117,7 +117,7 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Logarithm of the gamma function for x >= 1/2, by Stirling's series eight steps above."""
     y = x + 8
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - sum(np.log(x + k) for k in range(8))
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7) + 1 / (1188 * y**9) - sum(np.log(x + k) for k in range(8))
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
