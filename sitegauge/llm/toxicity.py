@@ -24,8 +24,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from sitegauge.llm.common import fold, pieces, small_batches, utf8
 from sitegauge.llm.grams import characters, present
 
-SIZES, SLOTS, FEATURES = (2, 3, 4, 5), 1 << 18, 1 << 14
-FIT_ROWS, RIDGE = 12_000, 1e-4
+SIZES, SLOTS, FEATURES = (2, 3, 4, 5), 1 << 18, 1 << 12
+FIT_ROWS, RIDGE = 6_000, 1e-4
 #: Slots whose presence differs less between the labels, as a chi-squared value, are noise.
 LEAST_CHI2 = 20
 BYTES_PER_STEP = 1 << 19
@@ -76,7 +76,7 @@ def _rows_of_features(feature: np.ndarray):
 def _logistic(owner: np.ndarray, slot: np.ndarray, scale: np.ndarray, label: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression with a ridge, by gradient steps scaled per feature (Adam)."""
     w, bias = np.zeros(len(scale)), float(np.log((label.mean() + 1e-6) / (1 - label.mean() + 1e-6)))
-    x, m, v = scale[slot], np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
+    x, m, v = scale[slot].astype(np.float32), np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, steps + 1):
         error = (_sigmoid(bias + np.bincount(owner, x * w[slot], minlength=len(label))) - label) / len(label)
         g = np.append(np.bincount(slot, x * error[owner], minlength=len(scale)) + 1e-5 * w, error.sum())
@@ -118,8 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     if len(np.unique(label)) < 2 or not len(best):
         return Classifier(feature, ratio[best], float(np.log(n[1] / n[0])))
     lists = [np.frombuffer(f, np.uint16) for f in got["features"]]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    slot = np.concatenate(lists).astype(np.int64)
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    slot = np.concatenate(lists)
+    del got, lists
     w, bias = _logistic(owner, slot, ratio[best], label)
     return Classifier(feature, ratio[best] * w, bias)
 
