@@ -13,6 +13,10 @@ from sitegauge.llm import decontam, minhash, mix, token_blocks, toxicity
 from sitegauge.llm.common import stored, table
 
 
+#: Pieces that the tokenizer's processes remember; they hold the memory of the other stages too.
+MEMO = 400_000
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it learns from the labels of the training folds."""
     model = toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
@@ -36,7 +40,7 @@ def weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of all documents; per document its place in them."""
-    return token_blocks.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_blocks.digests(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=MEMO)
 
 
 STAGES = [("toxicity", toxic), ("minhash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("mixing sources", weights), ("token output", tokens)]

@@ -39,7 +39,7 @@ from sitegauge.session import shared_scratch
 BLOCK, PERCENTILE = 128, 90
 END = 0
 SECTION_IDS = 1 << 19
-MEMO, MEMO_CHARS = 2_000_000, 32
+MEMO, MEMO_CHARS = 1_600_000, 32
 BYTES_PER_STEP = 1 << 21
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 _HEAD = struct.Struct("<5sBIQIQ")
@@ -49,22 +49,24 @@ class Encoder:
     """A byte-level tokenizer with a memo of short pieces.
 
     Byte-level BPE never merges across a space that a visible character follows, so a text may be cut there.
-    The memo holds at most ``MEMO`` pieces and starts anew when it is full.
+    The memo takes pieces as they come until it holds ``size``, and starts anew once it has then missed as many.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}  # of pieces that stand behind a space, without it
+        self.size, self.missed = size, 0  # missed since it is full
         self.unsafe, self.cut = re.compile(r" (?=\s)"), re.compile(r"(?= \S)")
 
     def ids(self, many: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u16."""
-        if len(self.memo) > MEMO:
+        if self.missed > self.size:
             self.memo.clear()
+            self.missed = 0
         heads, out, open_, missing = [], [], [], {}
         for text in many:
             head, *rest = self._pieces(text)
@@ -79,7 +81,10 @@ class Encoder:
         new = self._new(missing)
         for k, rest, found in open_:
             out[k] = b"".join([new[p] if ids is None else ids for p, ids in zip(rest, found, strict=True)])
-        self.memo.update((p, ids) for p, ids in new.items() if p in missing and len(p) <= MEMO_CHARS)
+        if len(self.memo) < self.size:
+            self.memo.update((p, ids) for p, ids in new.items() if p in missing and len(p) <= MEMO_CHARS)
+        else:
+            self.missed += len(missing)
         return [head + tail for head, tail in zip(self._encoded(heads), out, strict=True)]
 
     def _new(self, missing: dict[str, None]) -> dict[str, bytes]:
@@ -106,14 +111,14 @@ class Encoder:
         return text.split(" ")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo: int = MEMO) -> Encoder:
     """The task process's encoder for a vocabulary file; kept while the process lives."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, memo) not in _encoders:
+        _encoders[path, memo] = Encoder(path, memo)
+    return _encoders[path, memo]
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
@@ -136,8 +141,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes]:
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         if w:
-            bits = (value[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            packed = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+            bits = np.unpackbits(value[rows].astype("<u2").view(np.uint8).reshape(len(rows), BLOCK, 2), axis=2, count=int(w), bitorder="little")
+            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
             body[at[rows][:, None] + 4 + np.arange(w * BLOCK // 8)] = packed
     row, place = np.nonzero(over)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(misses) - misses, misses)
@@ -161,7 +166,9 @@ def unpack(starts: np.ndarray, body: np.ndarray, blocks: np.ndarray | None = Non
         if w:
             packed = body[at[rows][:, None] + 4 + np.arange(w * BLOCK // 8)]
             bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
-            value[rows] = (bits.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            wide = np.zeros((len(rows), BLOCK, 16), np.uint8)
+            wide[:, :, :w] = bits
+            value[rows] = np.packbits(wide, axis=2, bitorder="little").view("<u2")[:, :, 0]
     row = np.repeat(np.arange(len(at)), misses)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(misses) - misses, misses)
     base = at[row] + 4 + width[row] * BLOCK // 8
@@ -201,14 +208,17 @@ def sections(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.
         at += 1
 
 
-def write(docs: DataFrame, path: str, vocabulary: str) -> None:
-    """Encode ``docs`` (doc_id, text) and write the files, one per range of doc_id, through Spark's committer."""
+def write(docs: DataFrame, path: str, vocabulary: str, memo: int = MEMO) -> None:
+    """Encode ``docs`` (doc_id, text) and write the files, one per range of doc_id, through Spark's committer.
+
+    ``memo`` bounds the pieces that a task process remembers, at about 200 bytes each.
+    """
     small_batches(docs.sparkSession)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     ordered = ranged.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary), np.array([END], "<u2").tobytes()
+        encode, end = encoder(vocabulary, memo), np.array([END], "<u2").tobytes()
         doc_ids, ids, size = [], [], 0
         for b in pieces(batches, "text", BYTES_PER_STEP):
             for d, i in zip(b.column("doc_id").to_pylist(), encode.ids(texts(b.column("text"))), strict=True):
@@ -254,11 +264,11 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ahead), "file").withColumn("start", F.col("before") + F.col("ahead")).drop("ahead", "before", "file", "place")
 
 
-def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: str, memo: int = MEMO) -> DataFrame:
     """Write the token files and describe each document from them: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     path = f"{shared_scratch(spark)}/tokens"
-    write(docs, path, vocabulary)
+    write(docs, path, vocabulary, memo)
     rows = read(spark, path).select("file", "place", "doc_id", "before", "n_tokens", F.crc32("ids").alias("ids_crc32"))
     return placed(stored(rows, "token-rows")).select("doc_id", "start", "n_tokens", "ids_crc32")
 

@@ -28,7 +28,7 @@ SIZES, SLOTS, FEATURES = (2, 3, 4, 5), 1 << 18, 1 << 12
 FIT_ROWS, RIDGE = 6_000, 1e-4
 #: Slots whose presence differs less between the labels, as a chi-squared value, are noise.
 LEAST_CHI2 = 20
-BYTES_PER_STEP = 1 << 19
+BYTES_PER_STEP = 1 << 18
 
 
 @dataclass
