@@ -91,7 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     small_batches(docs.sparkSession)
     known = labels.where("toxic IN (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    joined = docs.select("doc_id", "text").join(known, "doc_id")
+    # Labels grow with the documents: shuffled at any size, never broadcast.
+    joined = docs.select("doc_id", "text").join(known.hint("merge"), "doc_id")
     total = sum(n.values())
     if len(n) < 2:
         share = n.get(1, 0) / max(total, 1)
@@ -111,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     feature[best] = np.arange(len(best))
     part = min(1.0, fit_rows / total)
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id").select("toxic", "text")
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")  # about fit_rows rows
     got = sample.mapInArrow(_rows_of_features(feature), "toxic bigint, features binary").toPandas()
     got = got.sort_values(["toxic", "features"], ignore_index=True)
     label = got["toxic"].to_numpy(float)
