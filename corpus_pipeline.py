@@ -14,7 +14,7 @@ from sitegauge.llm.common import stored, table
 
 
 #: Pieces that the tokenizer's processes remember; they hold the memory of the other stages too.
-MEMO = 400_000
+MEMO = 100_000
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
