@@ -14,7 +14,8 @@ places (u8 each) and their bits above the width (u16 each). The width is the lea
 ``PERCENTILE`` of the block's values; values beyond it are the exceptions.
 
 Documents are written in ascending order of doc_id (null first, equal ids by text), one file per range of
-ids, so a document's start is the ids in files before plus those before it in its file.
+ids, so a document's start is the ids in files before plus those before it in its file. The number of ranges
+follows the bytes of all texts, ``FILE_BYTES`` of text a file, so files stay small whatever the input.
 
 Defined results. A null or empty text has the end id alone. Rows repeated are written as often as they come.
 An empty table gives no rows. Special tokens' strings in a text are ordinary text.
@@ -39,6 +40,7 @@ from sitegauge.session import shared_scratch
 BLOCK, PERCENTILE = 128, 90
 END = 0
 SECTION_IDS = 1 << 19
+FILE_BYTES = 1 << 24
 MEMO, MEMO_CHARS = 1_600_000, 32
 BYTES_PER_STEP = 1 << 21
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
@@ -215,7 +217,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, memo: int = MEMO) -> None
     """
     small_batches(docs.sparkSession)
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
-    ordered = ranged.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    files = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // FILE_BYTES
+    ordered = ranged.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(vocabulary, memo), np.array([END], "<u2").tobytes()
