@@ -60,7 +60,10 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose ``column`` holds about ``size`` bytes; a longer text comes alone."""
+    """Slices of the batches whose ``column`` holds about ``size`` bytes; a longer text comes alone.
+
+    At the end Arrow's free memory goes back to the system: task processes live on between stages.
+    """
     for b in batches:
         lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = np.cumsum(lengths) // size
@@ -68,3 +71,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterato
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()
