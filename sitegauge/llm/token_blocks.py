@@ -39,7 +39,7 @@ from sitegauge.session import shared_scratch
 
 BLOCK, PERCENTILE = 128, 90
 END = 0
-SECTION_IDS = 1 << 19
+SECTION_IDS = 1 << 17
 FILE_BYTES = 1 << 24
 MEMO, MEMO_CHARS = 1_600_000, 32
 BYTES_PER_STEP = 1 << 18
