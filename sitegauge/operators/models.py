@@ -26,7 +26,12 @@ SEED = 42
 
 def hash_share(id: str, salt: str = "split") -> Column:
     """A fixed number in [0, 1) per id."""
-    return F.pmod(F.xxhash64(F.lit(salt), F.col(id).cast("string")), F.lit(1_000_000)) / 1_000_000
+    return hash_number(F.concat(F.lit(salt + "|"), F.col(id).cast("string")), 8) / 2**32
+
+
+def hash_number(text: Column, digits: int = 15) -> Column:
+    """The first hex digits of the text's md5 as a whole number, the same in any engine; null counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, digits), 16, 10).cast("long")
 
 
 #: Boosting rounds of every model unless a caller asks for others.
@@ -204,7 +209,7 @@ def sample_weights(df: DataFrame, error: str, age_days: str, edges: Sequence[flo
 
 def stratified_split(df: DataFrame, id: str, target: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Exact shares per target quartile, rows in each taken in hash order; rows without a target are a stratum too."""
-    banded = quartile_band(df, target, "_q").withColumn("_h", F.xxhash64(F.col(id).cast("string")))
+    banded = quartile_band(df, target, "_q").withColumn("_h", hash_number(F.col(id).cast("string")))
     placed = ordered_position(banded, ["_q"], "_h", id, "_pos")
     share = F.col("_pos") / F.col("group_size")
     split = F.when(share <= train, "train").when(share <= train + validation, "validation").otherwise("test")

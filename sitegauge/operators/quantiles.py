@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitegauge.functions.scalar import only_row
+
 ACCURACY = 10000
 MARGIN = 4.0 / ACCURACY
 SMALL_GROUP = 3 / MARGIN
@@ -18,21 +20,26 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     A mergeable sketch brackets each quantile within a proven rank error; rows below the bracket are
     counted, and only the few values inside it are ordered. Groups too small for the margin to span
-    whole rows (7,500) are ordered directly.
+    whole rows (7,500) are ordered directly. Without keys, one row comes back, null for no values.
+
+    A quantile with no value in its bracket, which the sketch's bound rules out, fails the job.
     """
     names = list(names or [f"p{round(p * 100)}" for p in probs])
     keys = list(keys)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    if not keys:
-        data, keys = data.withColumn("_all", F.lit(0)), ["_all"]
     marks = [m for p in probs for m in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
     sketch = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
     )
     small = F.col("_n") < SMALL_GROUP
-    whole_line = F.array(*[F.lit(float(s)) for _ in probs for s in ("-inf", "inf")])
+    # NaN sorts after every number.
+    whole_line = F.array(*[F.lit(float(s)) for _ in probs for s in ("-inf", "nan")])
     sketch = sketch.withColumn("_marks", F.when(small, whole_line).otherwise(F.col("_marks")))
-    bracketed = data.join(sketch, keys)
+    if keys:
+        bracketed = data.join(sketch, keys)
+    else:
+        overall = only_row(sketch)
+        bracketed = data.withColumns({"_n": overall["_n"], "_marks": overall["_marks"]})
     n = range(len(probs))
     below = bracketed.groupBy(*keys).agg(
         *[F.count(F.when(F.col("_v") < F.col("_marks")[2 * i], 1)).alias(f"_b{i}") for i in n]
@@ -43,7 +50,12 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     inside = bracketed.select(*keys, "_n", "_v", F.explode(which).alias("_i"))
     inside = inside.groupBy(*keys, "_i", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
     running = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("_cum", F.sum("_c").over(running)).join(below, keys)
+    inside = inside.withColumn("_cum", F.sum("_c").over(running))
+    if keys:
+        inside = inside.join(below, keys)
+    else:
+        counts = only_row(below)
+        inside = inside.withColumns({f"_b{i}": counts[f"_b{i}"] for i in n})
     aggs = []
     for i, (p, name) in enumerate(zip(probs, names, strict=True)):
         at = (F.col("_n") - 1) * F.lit(float(p))
@@ -53,5 +65,7 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
             return (F.col("_i") == i) & (rank < end) & (rank >= end - F.col("_c"))
 
         lo, hi = (F.max(F.when(holds(rank), F.col("_v"))) for rank in (F.floor(at), F.ceil(at)))
-        aggs.append((lo + (hi - lo) * F.max(at - F.floor(at))).alias(name))
-    return inside.groupBy(*keys).agg(*aggs).drop("_all")
+        found = lo + (hi - lo) * F.max(at - F.floor(at))
+        missed = F.max("_n").isNotNull() & found.isNull()
+        aggs.append(F.when(missed, F.raise_error(F.lit(f"no value in the bracket of {name}"))).otherwise(found).alias(name))
+    return inside.groupBy(*keys).agg(*aggs)

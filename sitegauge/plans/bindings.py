@@ -179,6 +179,20 @@ def with_ctes(*names: str) -> str:
     return "WITH " + ",\n".join(CTES[n] for n in out)
 
 
+def sql_turn(a, b, c) -> str:
+    return f"sign(({b[0]}-{a[0]})*({c[1]}-{a[1]})-({b[1]}-{a[1]})*({c[0]}-{a[0]}))"
+
+
+def sql_meeting(a: str, b: str, on: str, keys: str) -> str:
+    """SQL for the ``keys`` of polygons of edge tables a and b that touch: edges that meet, or a corner inside."""
+    p, q, c, d = (("p.ax", "p.ay"), ("p.bx", 'p."by"'), ("e.ax", "e.ay"), ("e.bx", 'e."by"'))
+    near = " AND ".join(f"greatest({x[0]},{x[1]})>=least({y[0]},{y[1]})" for u, v in (((p, q), (c, d)), ((c, d), (p, q))) for i in (0, 1) for x, y in [((u[0][i], u[1][i]), (v[0][i], v[1][i]))])
+    straddle = f"{sql_turn(p, q, c)}*{sql_turn(p, q, d)}<=0 AND {sql_turn(c, d, p)}*{sql_turn(c, d, q)}<=0"
+    return f"""SELECT DISTINCT {keys} FROM {a} p JOIN {b} e ON {on} WHERE {near} AND {straddle}
+UNION SELECT {keys} FROM {a} p JOIN {b} e ON {on} WHERE p.edge_no=0 GROUP BY {keys}, p.ax, p.ay HAVING sum({sql_crosses('p.ax', 'p.ay', 'e')})%2=1
+UNION SELECT {keys} FROM {a} p JOIN {b} e ON {on} WHERE e.edge_no=0 GROUP BY {keys}, e.ax, e.ay HAVING sum({sql_crosses('e.ax', 'e.ay', 'p')})%2=1"""
+
+
 def sql_distance(a: str, b: str) -> str:
     return f"sqrt(({a}.x-{b}.x)*({a}.x-{b}.x)+({a}.y-{b}.y)*({a}.y-{b}.y))"
 

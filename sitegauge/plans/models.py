@@ -51,13 +51,24 @@ def _(t):
     return ml.impute_columns(gappy, ["grid_km"], ["capacity_mw", "days", "lpa"], "site_id")[1]
 
 
-@query("ml02_fit_on_train_transform_all", None)
+def _hash(text, digits):
+    return f"CAST('0x'||substr(md5({text}),1,{digits}) AS BIGINT)"
+
+
+_ML02 = {"capacity_mw": "capacity_mw", "grid_km": "site_id%89/10e0", "slope": "site_id%31/2e0"}
+
+
+@query(
+    "ml02_fit_on_train_transform_all",
+    f"""{S}, m AS (SELECT site_id, {', '.join(f'{e} AS {n}' for n, e in _ML02.items())}, {_hash("'split|'||site_id", 8)}/4294967296e0 AS share FROM sites),
+f AS (SELECT {', '.join(f'avg({n}) AS m_{n}, stddev_samp({n}) AS s_{n}' for n in _ML02)} FROM m WHERE share<0.7) SELECT site_id, {', '.join(f'{rnd(f"({n}-m_{n})/s_{n}", 6)} AS {n}' for n in _ML02)} FROM m, f""",
+)
 def _(t):
     from pyspark.ml.functions import vector_to_array
 
     m = matrix(t)
-    out = ml.fit_on_train_transform_all(split(m)[0], m, ["capacity_mw", "grid_km", "slope"])
-    return out.select("site_id", vector_to_array("features").alias("scaled"))
+    out = ml.fit_on_train_transform_all(split(m)[0], m, list(_ML02))
+    return rounded(out.select("site_id", *[vector_to_array("features")[i].alias(n) for i, n in enumerate(_ML02)]), list(_ML02), 6)
 
 
 @query("ml03_compress_tail", None)
@@ -159,9 +170,16 @@ def _(t):
     return rounded(out, ["frequency_weight", "maturity_weight", "weight"], 6)
 
 
-@query("ml14_stratified_split", None)
+@query(
+    "ml14_stratified_split",
+    f"""{S}, m AS (SELECT site_id, CAST(90+4*capacity_mw+12*(site_id%89/10e0)+CASE WHEN lpa%5=0 THEN 60 ELSE 0 END+site_id%31/2e0*2+site_id*31%61 AS DOUBLE) AS days FROM sites),
+q AS (SELECT quantile_cont(days,0.25) AS a, quantile_cont(days,0.5) AS b, quantile_cont(days,0.75) AS c FROM m),
+p AS (SELECT site_id, days, (days>a)::INT+(days>b)::INT+(days>c)::INT AS band FROM m, q),
+r AS (SELECT site_id, days, row_number() OVER (PARTITION BY band ORDER BY {_hash('CAST(site_id AS VARCHAR)', 15)}, site_id)/CAST(count(*) OVER (PARTITION BY band) AS DOUBLE) AS share FROM p)
+SELECT site_id, {rnd('days')} AS days, CASE WHEN share<=0.7e0 THEN 'train' WHEN share<=0.85e0 THEN 'validation' ELSE 'test' END AS split FROM r""",
+)
 def _(t):
-    return ml.stratified_split(matrix(t).select("site_id", "days"), "site_id", "days")
+    return rounded(ml.stratified_split(matrix(t).select("site_id", "days"), "site_id", "days"), ["days"])
 
 
 @query("ml15_tune", None)
@@ -255,10 +273,19 @@ def _(t):
     return ml.variance_filter(s, ["s_acctbal", "constant"])
 
 
-@query("ml22_yeo_johnson", None)
+_POWER = """CASE WHEN x>=0 THEN CASE WHEN abs(lam)<1e-9 THEN ln(1+abs(x)) ELSE (pow(abs(x)+1,lam)-1)/lam END
+ ELSE CASE WHEN abs(lam-2)<1e-9 THEN -ln(1+abs(x)) ELSE -(pow(abs(x)+1,2-lam)-1)/(2-lam) END END"""
+
+
+@query(
+    "ml22_yeo_johnson",
+    f"""WITH v AS (SELECT c_custkey, c_acctbal AS x FROM customer), g AS (SELECT i/10e0 AS lam FROM range(-20,41,2) r(i)),
+s AS (SELECT lam, -count(*)/2e0*ln(var_pop({_POWER}))+(lam-1)*sum(sign(x)*ln(1+abs(x))) AS likelihood FROM v, g GROUP BY lam),
+b AS (SELECT arg_max(lam, likelihood) AS lam FROM s) SELECT c_custkey, x AS c_acctbal, {rnd(_POWER)} AS transformed, lam AS exponent FROM v, b""",
+)
 def _(t):
     out, lam = ml.yeo_johnson(t.read("customer").select("c_custkey", "c_acctbal"), "c_acctbal", "transformed")
-    return out.withColumn("exponent", F.lit(lam))
+    return rounded(out.withColumn("exponent", F.lit(lam)), ["transformed"])
 
 
 @query("ml24_ridge_arbiter", None)

@@ -8,7 +8,7 @@ from sitegauge.functions import projection
 from sitegauge.operators import clean, pages as pg
 from sitegauge.operators import nearest as nr
 from sitegauge.operators import polygons as poly
-from sitegauge.plans.bindings import rnd, rounded, sql_distance, with_ctes
+from sitegauge.plans.bindings import rnd, rounded, sql_distance, sql_meeting, with_ctes
 from sitegauge.plans.registry import query
 from sitegauge.sources import readers, writers
 
@@ -239,7 +239,12 @@ def _(t):
     return writers.skip_completed(t.read("orders").select("o_orderkey", "o_totalprice"), done, "o_orderkey")
 
 
-@query("jn17_boundary_vertices", None)
+@query(
+    "jn17_boundary_vertices",
+    f"""{with_ctes('edges')}, side(edge_no, fx, fy) AS (VALUES (0,0e0,0e0),(1,1e0,0e0),(2,1e0,1e0),(3,0e0,1e0)),
+tiles AS (SELECT n_nationkey AS lpa, a.edge_no, 20000*(n_nationkey%5+a.fx) AS ax, 20000*(n_nationkey//5+a.fy) AS ay, 20000*(n_nationkey%5+b.fx) AS bx, 20000*(n_nationkey//5+b.fy) AS "by" FROM nation, side a JOIN side b ON b.edge_no=(a.edge_no+1)%4)
+SELECT lpa AS id_a, zone_id AS id_b FROM ({sql_meeting('tiles', 'edges', 'true', 'p.lpa, e.zone_id')})""",
+)
 def _(t):
     """Authorities meeting each protected area."""
     return poly.polygon_intersects(t.authority_edges, t.zone_edges, "lpa", "zone_id")

@@ -9,7 +9,7 @@ from sitegauge.operators import nearest as nr
 from sitegauge.operators import polygons as pg
 from sitegauge.operators import radius as rd
 from sitegauge.operators import temporal as tm
-from sitegauge.plans.bindings import num, rnd, rounded, sql_crosses, sql_distance, sql_segment_distance, with_ctes
+from sitegauge.plans.bindings import num, rnd, rounded, sql_crosses, sql_distance, sql_meeting, sql_segment_distance, sql_turn, with_ctes
 from sitegauge.plans.registry import query
 
 VOLTAGES = ("11kv", "33kv", "66kv", "132kv")
@@ -233,12 +233,8 @@ def _(t):
     return rounded(out.select("site_id", "corridor_m", "in_corridor"), ["corridor_m"], 3)
 
 
-def _turn(a, b, c):
-    return f"sign(({b[0]}-{a[0]})*({c[1]}-{a[1]})-({b[1]}-{a[1]})*({c[0]}-{a[0]}))"
-
-
 _P, _Q, _A, _B = ("px", "py"), ("qx", "qy"), ("ax", "ay"), ("bx", '"by"')
-_MEET = f"{_turn(_P, _Q, _A)}*{_turn(_P, _Q, _B)}<=0 AND {_turn(_A, _B, _P)}*{_turn(_A, _B, _Q)}<=0"
+_MEET = f"{sql_turn(_P, _Q, _A)}*{sql_turn(_P, _Q, _B)}<=0 AND {sql_turn(_A, _B, _P)}*{sql_turn(_A, _B, _Q)}<=0"
 
 
 @query(
@@ -274,7 +270,7 @@ def _(t):
 @query(
     "jn17_polygon_intersects",
     f"""{with_ctes('edges')}, a AS (SELECT a.zone_id AS id_a, b.zone_id AS id_b FROM edges a JOIN edges b ON a.zone_id<b.zone_id AND greatest(a.ax,a.bx)>=least(b.ax,b.bx) AND least(a.ax,a.bx)<=greatest(b.ax,b.bx) AND greatest(a.ay,a."by")>=least(b.ay,b."by") AND least(a.ay,a."by")<=greatest(b.ay,b."by")
- WHERE """ + f"{_turn(('a.ax', 'a.ay'), ('a.bx', 'a.\"by\"'), ('b.ax', 'b.ay'))}*{_turn(('a.ax', 'a.ay'), ('a.bx', 'a.\"by\"'), ('b.bx', 'b.\"by\"'))}<=0 AND {_turn(('b.ax', 'b.ay'), ('b.bx', 'b.\"by\"'), ('a.ax', 'a.ay'))}*{_turn(('b.ax', 'b.ay'), ('b.bx', 'b.\"by\"'), ('a.bx', 'a.\"by\"'))}<=0"
+ WHERE """ + f"{sql_turn(('a.ax', 'a.ay'), ('a.bx', 'a.\"by\"'), ('b.ax', 'b.ay'))}*{sql_turn(('a.ax', 'a.ay'), ('a.bx', 'a.\"by\"'), ('b.bx', 'b.\"by\"'))}<=0 AND {sql_turn(('b.ax', 'b.ay'), ('b.bx', 'b.\"by\"'), ('a.ax', 'a.ay'))}*{sql_turn(('b.ax', 'b.ay'), ('b.bx', 'b.\"by\"'), ('a.bx', 'a.\"by\"'))}<=0"
     + f"""), v AS (SELECT p.zone_id AS pid, e.zone_id AS eid FROM edges p JOIN edges e ON p.zone_id<>e.zone_id WHERE p.edge_no=0 GROUP BY p.zone_id, p.ax, p.ay, e.zone_id HAVING sum({sql_crosses('p.ax', 'p.ay', 'e')})%2=1)
 SELECT id_a, id_b FROM a UNION SELECT least(pid,eid), greatest(pid,eid) FROM v""",
 )
@@ -424,6 +420,17 @@ def _(t):
     return read_bbox(t.segments, 50000, 50000, 10000).select("line_id")
 
 
-@query("ml23_hex_grid", None)
+_HEX = "1220e0*sqrt(3e0)"
+
+
+@query(
+    "ml23_hex_grid",
+    f"""{with_ctes('edges')}, rows_ AS (SELECT zone_id, cx, w, unnest(range(CAST(floor((cy-w)/1830) AS BIGINT)-2, CAST((cy+w)/1830 AS BIGINT)+4)) AS r FROM shapes),
+cells AS (SELECT zone_id, r, unnest(range(CAST(floor((cx-w)/({_HEX})) AS BIGINT)-3, CAST((cx+w)/({_HEX}) AS BIGINT)+4)) AS q FROM rows_),
+placed AS (SELECT zone_id, q, r, q*{_HEX}+(abs(r)%2)*({_HEX}/2) AS x, r*1830e0 AS y FROM cells),
+corner(edge_no, fx, fy) AS (VALUES (0,0e0,1e0),(1,-1e0,0.5e0),(2,-1e0,-0.5e0),(3,0e0,-1e0),(4,1e0,-0.5e0),(5,1e0,0.5e0)),
+hexes AS (SELECT zone_id, q, r, x, y, a.edge_no, x+a.fx*{_HEX}/2 AS ax, y+a.fy*1220 AS ay, x+b.fx*{_HEX}/2 AS bx, y+b.fy*1220 AS "by" FROM placed, corner a JOIN corner b ON b.edge_no=(a.edge_no+1)%6)
+SELECT 'h_'||q||'_'||r AS cell_id, q, r, {rnd('any_value(x)', 3)} AS x, {rnd('any_value(y)', 3)} AS y, min(zone_id) AS zone_id FROM ({sql_meeting('hexes', 'edges', 'p.zone_id=e.zone_id', 'p.zone_id, p.q, p.r, p.x, p.y')}) GROUP BY q, r""",
+)
 def _(t):
-    return pg.hex_grid(t.zone_edges, "zone_id", 1220.0)
+    return rounded(pg.hex_grid(t.zone_edges, "zone_id", 1220.0), ["x", "y"], 3)

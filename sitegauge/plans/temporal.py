@@ -241,7 +241,12 @@ def _(t):
     return out.withColumn("longest", F.greatest("summer", "winter"))
 
 
-@query("wn09_error_quartiles", None)
+@query(
+    "wn09_error_quartiles",
+    f"""{S}, e AS (SELECT abs((site_id*17)%101-45) AS error FROM sites), q AS (SELECT quantile_cont(error,0.25) AS a, quantile_cont(error,0.5) AS b, quantile_cont(error,0.75) AS c FROM e)
+SELECT (error>a)::INT+(error>b)::INT+(error>c)::INT+1 AS error_quartile, count(*) AS n, {rnd('avg(error)', 6)} AS mean_error FROM e, q GROUP BY 1""",
+)
 def _(t):
     s = scored(t).withColumn("error", F.abs(F.col("predicted") - F.col("duration_days")))
-    return wn.quartile_band(s.select("site_id", "error"), "error", "error_quartile").groupBy("error_quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_error"))
+    out = wn.quartile_band(s.select("site_id", "error"), "error", "error_quartile")
+    return rounded(out.groupBy("error_quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("error").alias("mean_error")), ["mean_error"], 6)
