@@ -67,3 +67,26 @@ def test_trailing_window_excludes_today(spark):
     df = spark.createDataFrame(rows, "id int, d string").select("id", F.lit("A").alias("lpa"), F.to_date("d").alias("submission_date"))
     got = {r["id"]: r["queue_depth"] for r in windows.queue_depth(df).collect()}
     assert got == {1: 0, 2: 0, 3: 2, 4: 1}
+
+
+def test_quantiles_of_a_whole_column(spark):
+    df = spark.range(20000).select(((F.col("id") * 7919) % 10007).cast("double").alias("v"))
+    out = quantiles.group_quantiles(df, [], "v", [0.25, 0.9])
+    assert "Cartesian" not in out._jdf.queryExecution().toString()
+    want = df.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.9)))).first()[0]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(out.first(), want, strict=True))
+
+
+def test_quantiles_without_values_and_of_nan(spark):
+    df = spark.createDataFrame([("a", None), ("b", float("nan")), ("b", float("nan"))], "g string, v double")
+    assert quantiles.group_quantiles(df.filter("v is null"), [], "v", [0.5]).first()["p50"] is None
+    rows = quantiles.group_quantiles(df, ["g"], "v", [0.5]).collect()
+    assert [r["g"] for r in rows] == ["b"] and rows[0]["p50"] != rows[0]["p50"]
+
+
+def test_rows_of_null_groups_stay(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "g", float(i)) for i in range(30)], "id long, g string, v double")
+    ranked = windows.ordered_position(df, ["g"], "v", "id").collect()
+    assert len(ranked) == 30 and sorted(r["position"] for r in ranked if r["g"] is None) == list(range(1, 11))
+    kept = windows.trim_by_group(df, "g", "v").filter("g is null").count()
+    assert kept == 10
