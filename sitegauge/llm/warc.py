@@ -3,12 +3,13 @@
 Writing. A page is a ``response`` record (HTTP head and payload) or, where an equal payload of at least
 ``LEAST`` bytes has a smaller page_id, a ``revisit`` record that refers to that page. Files are written by
 Spark's text writer, so they appear only when a task commits. A file has so many records that it stays near
-``FILE_BYTES`` even if all payloads were as long as the longest.
+``FILE_BYTES`` even if all payloads and URLs were as long as the longest.
 
 Reading. Payloads may hold the magic of a record. Each task lists, for every magic in its files, the offset of
 the record and of its successor, where header, length and closing blank lines agree. From offset 0 of
 each file pointers are then followed by pointer jumping: in each round the reached offsets double, and the
-pointers jump twice as far. Only records that are reached count; a magic inside a payload never is.
+pointers jump twice as far. Only records that are reached count; a magic inside a payload never is. A chain that
+does not end at the end of its file is an error. Heads may have any length.
 
 Defined results. Null html is an empty payload. Pages of equal page_id are records of their own; of equal
 payloads all that have the smallest page_id are responses. A page without an id is a response only if no page
@@ -31,8 +32,8 @@ LEAST = 100
 FILE_BYTES, MOST_RECORDS = 1 << 26, 4096
 SMALL_JOIN = 100_000
 DATE = "2024-01-01T00:00:00Z"
-_MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-_HEAD_BYTES = 1 << 16
+#: At the start of a file or after the blank lines of the record before: heads of candidates don't overlap, so all are read once.
+_MAGIC = re.compile(rb"(?:\A|(?<=\r\n\r\n))WARC/1\.[01]\r\n")
 
 
 def write(pages: DataFrame, path: str) -> None:
@@ -40,8 +41,8 @@ def write(pages: DataFrame, path: str) -> None:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.regexp_replace("url", r"[\r\n]+", " "), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html")})
-    slim = stored(rows.select("page_id", "digest", "size"), "payloads")
-    longest = slim.agg(F.max("size")).first()[0] or 0
+    slim = stored(rows.select("page_id", "digest", "size", F.octet_length("url").alias("url_size")), "payloads")
+    longest = slim.agg(F.max(F.col("size") + F.col("url_size"))).first()[0] or 0
     first = slim.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     refs = slim.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull())
     refs = stored(refs.select(F.col("page_id").alias("ref_id"), F.col("digest").alias("ref_digest"), "refers_to").distinct(), "references")
@@ -86,7 +87,7 @@ def _fields(head: bytes) -> dict[str, str]:
 def _candidates(file: str, content: bytes) -> Iterator[dict]:
     """Each magic of a file that a whole record can begin with."""
     for m in _MAGIC.finditer(content):
-        end = content.find(b"\r\n\r\n", m.end() - 2, m.end() + _HEAD_BYTES)
+        end = content.find(b"\r\n\r\n", m.end() - 2)
         if end < 0:
             continue
         fields = _fields(content[m.start() : end])
@@ -96,7 +97,7 @@ def _candidates(file: str, content: bytes) -> Iterator[dict]:
         body, after = end + 4, end + 8 + length
         if after > len(content) or content[after - 4 : after] != b"\r\n\r\n":
             continue
-        http = content.find(b"\r\n\r\n", body, body + min(length, _HEAD_BYTES))
+        http = content.find(b"\r\n\r\n", body, body + length)
         payload = http + 4 if http >= 0 else body
         stated = _number(_fields(content[body:http]).get("content-length")) if http >= 0 else None
         is_response = fields.get("warc-type") == "response"
@@ -107,10 +108,15 @@ def _candidates(file: str, content: bytes) -> Iterator[dict]:
         }
 
 
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """The files of a folder: path, length, content."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Candidate records of all files: offset, successor and what the record says."""
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = archives(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -137,6 +143,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Per record of the archives: page_id, url, type, payload size and digest (those of the page referred to, for revisits)."""
     found = stored(candidates(spark, path), "candidates")
     kept = stored(found.join(reachable(found.select("file", "at", "next")), ["file", "at"]), "records")
+    ends = kept.groupBy(F.col("file").alias("path")).agg(F.max("next").alias("end"))
+    broken = archives(spark, path).select("path", "length").join(ends, "path", "left").where(F.coalesce("end", F.lit(0)) != F.col("length")).head(3)
+    if broken:
+        raise ValueError("records can't be followed to the end of " + ", ".join(f"{r.path} ({r.end or 0} of {r.length} bytes)" for r in broken))
     responses = kept.where("type = 'response'")
     revisits = kept.where("type = 'revisit'")
     named = responses.where("page_id IS NOT NULL").groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest")).agg(F.max("payload_bytes").alias("of_bytes"))

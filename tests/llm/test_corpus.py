@@ -155,6 +155,26 @@ def test_warc_empty(spark):
     assert warc.read(spark, path).count() == 0
 
 
+def test_warc_long_urls(spark):
+    """Heads above 64 KiB are found, a URL that ends like a magic is none, and the pages behind them stay."""
+    urls = ["http://a/1", "http://a/" + "x" * 70_000, "http://a/?WARC/1.1", "http://a/" + "é" * 200_000, "http://a/5"]
+    path = f"{shared_scratch(spark)}/warc"
+    warc.write(spark.createDataFrame([(k, u, f"page {k} " * 20) for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1), path)
+    assert sorted((r.page_id, r.url) for r in warc.read(spark, path).collect()) == list(enumerate(urls))
+
+
+def test_warc_broken_chain(spark, tmp_path):
+    path = f"{shared_scratch(spark)}/warc"
+    warc.write(spark.createDataFrame([(k, "http://a", f"page {k} " * 20) for k in range(9)], "page_id long, url string, html string").coalesce(1), path)
+    whole = spark.read.format("binaryFile").load(path).first().content
+    at = [m.start() for m in re.finditer(rb"WARC/1\.1\r\n", whole)]
+    for name, content in (("cut", whole[:-9]), ("middle", whole[: at[4]] + b"X" + whole[at[4] + 1 :]), ("first", b"X" + whole[1:])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0").write_bytes(content)
+        with pytest.raises(ValueError, match="followed to the end"):
+            warc.read(spark, str(tmp_path / name))
+
+
 # 3 ------------------------------------------------------------------------------------------------
 
 def test_blocks_round_trip():
