@@ -1,9 +1,10 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the n-grams (2 to 5 characters) present in the whole text, hashed to ``SLOTS``. Presence counts
-by label cover every labelled training row; they give each slot its log-count ratio. Slots that differ between
-the labels (chi-squared above ``LEAST_CHI2``, the best ``FEATURES`` of them) are kept, and a logistic regression on ratio-scaled presence is fitted on a
-sample of about ``FIT_ROWS`` training rows, drawn by a hash of the id.
+by label cover every labelled training row; they give each slot its log-count ratio. All slots that differ between
+the labels (chi-squared above ``LEAST_CHI2``) are kept, and a logistic regression on ratio-scaled presence is fitted on a
+sample of about ``FIT_ROWS`` training rows, drawn by a hash of the id. Its gradients are summed over Spark's
+partitions; rows never come to the driver.
 
 Defined results. Null or empty text has no n-grams and scores the intercept. Null labels teach nothing, a
 label repeated for one id counts each time. Without training rows of both labels every score is the share
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from sitegauge.llm.common import fold, pieces, small_batches, utf8
+from sitegauge.llm.common import fold, pieces, small_batches, stored, utf8
 from sitegauge.llm.grams import characters, present
 
-SIZES, SLOTS, FEATURES = (2, 3, 4, 5), 1 << 18, 1 << 12
-FIT_ROWS, RIDGE = 6_000, 1e-4
+SIZES, SLOTS = (2, 3, 4, 5), 1 << 18
+FIT_ROWS, RIDGE, STEPS = 12_000, 1e-4, 30
+#: Partitions of the fitting sample: each sends one gradient to the driver.
+PARTS = 12
 #: Slots whose presence differs less between the labels, as a chi-squared value, are noise.
 LEAST_CHI2 = 20
 BYTES_PER_STEP = 1 << 18
@@ -67,23 +70,62 @@ def _rows_of_features(feature: np.ndarray):
         for b in pieces(batches, "text", BYTES_PER_STEP):
             owner, slot = present(*characters(*utf8(b.column("text"))), SIZES, SLOTS, feature)
             at = np.searchsorted(owner, np.arange(b.num_rows + 1))
-            packed = [slot[x:y].astype(np.uint16).tobytes() for x, y in zip(at, at[1:], strict=False)]
+            packed = [slot[x:y].astype(np.uint32).tobytes() for x, y in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic").cast(pa.int64()), "features": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _logistic(owner: np.ndarray, slot: np.ndarray, scale: np.ndarray, label: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge, by gradient steps scaled per feature (Adam)."""
-    w, bias = np.zeros(len(scale)), float(np.log((label.mean() + 1e-6) / (1 - label.mean() + 1e-6)))
-    x, m, v = scale[slot].astype(np.float32), np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
-    for t in range(1, steps + 1):
-        error = (_sigmoid(bias + np.bincount(owner, x * w[slot], minlength=len(label))) - label) / len(label)
-        g = np.append(np.bincount(slot, x * error[owner], minlength=len(scale)) + 1e-5 * w, error.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, bias = w - step[:-1], bias - step[-1]
-    return w, float(bias)
+def _sums_of_rows(size: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Loss and its gradient by bias and by summed feature, over the rows of the task."""
+        weight, bias = shared.value
+        loss, by_bias, by_feature = 0.0, 0.0, np.zeros(size)
+        for b in batches:
+            lists, label = b.column("features").to_pylist(), b.column("toxic").to_numpy(zero_copy_only=False)
+            owner, slot = np.repeat(np.arange(len(lists)), [len(x) // 4 for x in lists]), np.frombuffer(b"".join(lists), np.uint32)
+            z = bias + np.bincount(owner, weight[slot], minlength=len(lists))
+            error = _sigmoid(z) - label
+            loss, by_bias = loss + float((np.logaddexp(0, z) - label * z).sum()), by_bias + float(error.sum())
+            by_feature += np.bincount(slot, error[owner], minlength=size)
+        yield pa.RecordBatch.from_pydict({"loss": [loss], "by_bias": [by_bias], "by_feature": pa.array([by_feature.tobytes()], pa.binary())})
+
+    return run
+
+
+def _logistic(rows: DataFrame, n: int, scale: np.ndarray, start: float) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge over (toxic, features), by limited-memory BFGS; a Spark job sums each gradient."""
+
+    def at(point: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = rows.sparkSession.sparkContext.broadcast((scale * point[:-1], float(point[-1])))
+        loss, by = 0.0, np.zeros(len(point))
+        for r in rows.mapInArrow(_sums_of_rows(len(scale), shared), "loss double, by_bias double, by_feature binary").collect():
+            loss, by = loss + r.loss, by + np.append(scale * np.frombuffer(r.by_feature), r.by_bias)
+        shared.unpersist()
+        w = np.append(point[:-1], 0.0)
+        return loss / n + RIDGE / 2 * float(w @ w), by / n + RIDGE * w
+
+    point, past = np.append(np.zeros(len(scale)), start), []
+    value, slope = at(point)
+    for _ in range(STEPS):
+        way, used = -slope, []
+        for s, y in reversed(past):
+            used.append((s @ way) / (s @ y))
+            way = way - used[-1] * y
+        way = way * ((past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(np.abs(slope).sum(), 1e-12))
+        for (s, y), k in zip(past, reversed(used), strict=True):
+            way = way + (k - (y @ way) / (s @ y)) * s
+        length, down = 1.0, float(slope @ way)
+        while (there := at(point + length * way))[0] > value + 1e-4 * length * down and length > 1e-3:
+            length /= 2
+        if there[0] >= value:
+            break
+        s, y, gain = length * way, there[1] - slope, value - there[0]
+        past = [*past, (s, y)][-10:] if s @ y > 1e-12 else past
+        point, (value, slope) = point + s, there
+        if gain < 1e-4 * value or value < 1e-3:
+            break
+    return point[:-1], float(point[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
@@ -106,23 +148,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     pooled = counts.sum(axis=0) / total
     spread = pooled * (1 - pooled) * (1 / n[0] + 1 / n[1])
     use = (counts[1] / n[1] - counts[0] / n[0]) ** 2 / np.maximum(spread, 1e-12)
-    best = np.argsort(-use, kind="stable")[:FEATURES]
-    best = np.sort(best[use[best] > LEAST_CHI2])
+    best = np.flatnonzero(use > LEAST_CHI2)
     feature = np.full(SLOTS, -1)
     feature[best] = np.arange(len(best))
     part = min(1.0, fit_rows / total)
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")  # about fit_rows rows
-    got = sample.mapInArrow(_rows_of_features(feature), "toxic bigint, features binary").toPandas()
-    got = got.sort_values(["toxic", "features"], ignore_index=True)
-    label = got["toxic"].to_numpy(float)
-    if len(np.unique(label)) < 2 or not len(best):
+    got = sample.mapInArrow(_rows_of_features(feature), "toxic bigint, features binary")
+    got = stored(got.repartition(PARTS).sortWithinPartitions("toxic", "features"), "features")
+    drawn_n = {r.toxic: r["count"] for r in got.groupBy("toxic").count().collect()}
+    if len(drawn_n) < 2 or not len(best):
         return Classifier(feature, ratio[best], float(np.log(n[1] / n[0])))
-    lists = [np.frombuffer(f, np.uint16) for f in got["features"]]
-    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
-    slot = np.concatenate(lists)
-    del got, lists
-    w, bias = _logistic(owner, slot, ratio[best], label)
+    w, bias = _logistic(got, sum(drawn_n.values()), ratio[best], float(np.log(drawn_n[1] / drawn_n[0])))
     return Classifier(feature, ratio[best] * w, bias)
 
 

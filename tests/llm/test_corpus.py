@@ -286,6 +286,21 @@ def test_toxicity(spark, docs, empty):
     assert all(r.score < 0.5 for r in toxicity.scored(docs, none, ["doc_id"]).collect())
 
 
+def test_toxicity_of_rare_wording(spark):
+    """Wording of few toxic texts has features, however many slots the common toxic wording fills."""
+    rng = np.random.default_rng(9)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    common, rows = letters(4000), []
+    for k in range(1000):
+        text, toxic = letters(60), int(k % 4 == 0)
+        rows.append((k, text + (("" if not toxic else " §¶¤±" if k % 32 == 0 else common)), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert len(model.weight) > 4096
+    got = {r.doc_id: r.score for r in toxicity.scored(df, model, ["doc_id"]).collect()}
+    assert all((got[k] >= 0.5) == bool(toxic) for k, _, toxic in rows)
+
+
 # 6 ------------------------------------------------------------------------------------------------
 
 def kt(zeros, ones):
