@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import ctw, decontam, langid, minhash, mix, pii, telephony, token_blocks, toxicity, warc
+from sitegauge.llm import ctw, decontam, langid, merkle, minhash, mix, pii, telephony, token_blocks, toxicity, warc
 from sitegauge.llm.common import fold, stored, table
 from sitegauge.session import shared_scratch
 
@@ -149,3 +149,57 @@ def op1_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     number = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, pii.KINDS[: pii.BASE]), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query
+def op11_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of each document, and the root folded from rows of which a seventh is tampered with."""
+    fields = [F.col(f) + 1 if f == "n_chars" else F.col(f) for f in merkle.FIELDS]
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    keep = F.struct("doc_id", F.when(changed, merkle.leaf(fields)).alias("tampered"))
+    found = merkle.proofs(table(spark, sf_dir, "documents"), "lang", ["doc_id"], merkle.FIELDS, keep)
+    folded = merkle.folded(F.coalesce("keep.tampered", "leaf"), F.col("proof"), F.col("bits"))
+    found = found.withColumn("folded_root", folded)
+    return found.select(
+        "keep.doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+_CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, c: list_reduce(list_concat([xor(r, c)], range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in merkle.FIELDS) + ")"
+
+SQL["op11_merkle_proofs"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, coalesce('=' || lang, '') AS tree, {_LEAF} AS leaf,
+         CASE WHEN {_CRC32.format('doc_id::VARCHAR')} % 7 = 0 THEN {_LEAF.replace('n_chars', '(n_chars + 1)')} ELSE {_LEAF} END AS changed
+  FROM documents),
+numbers AS (SELECT doc_id, tree, leaf, changed, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS place FROM leaves),
+levels AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY place) AS h FROM numbers GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, len(h), 2), lambda i: sha256(h[i + 1] || coalesce(h[i + 2], ''))) FROM levels WHERE len(h) > 1),
+subroots AS (SELECT tree, h[1] AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank FROM levels WHERE len(h) = 1),
+upper AS (
+  SELECT 0 AS level, list(subroot ORDER BY rank) AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(h), 2), lambda i: sha256(h[i + 1] || coalesce(h[i + 2], ''))) FROM upper WHERE len(h) > 1),
+top AS (SELECT h[1] AS root FROM upper WHERE len(h) = 1),
+steps AS (
+  SELECT n.tree, n.place, l.level AS step, (n.place >> l.level) & 1 AS side, coalesce(l.h[xor(n.place >> l.level, 1) + 1], '') AS sibling
+  FROM numbers n JOIN levels l USING (tree) WHERE len(l.h) > 1
+  UNION ALL
+  SELECT n.tree, n.place, 1000 + u.level, (s.rank >> u.level) & 1, coalesce(u.h[xor(s.rank >> u.level, 1) + 1], '')
+  FROM numbers n JOIN subroots s USING (tree), upper u WHERE len(u.h) > 1),
+proofs AS (SELECT tree, place, list(sibling ORDER BY step) AS siblings, list(side ORDER BY step) AS sides FROM steps GROUP BY tree, place),
+fold AS (
+  SELECT n.tree, n.place, 0 AS k, changed AS node FROM numbers n
+  UNION ALL
+  SELECT f.tree, f.place, k + 1, sha256(CASE WHEN sides[k + 1] = 1 THEN siblings[k + 1] || node ELSE node || siblings[k + 1] END)
+  FROM fold f JOIN proofs p USING (tree, place) WHERE k < len(siblings)),
+ends AS (SELECT tree, place, arg_max(node, k) AS folded_root FROM fold GROUP BY tree, place)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(siblings, ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM numbers n JOIN subroots USING (tree) JOIN ends USING (tree, place) LEFT JOIN proofs USING (tree, place), top
+"""
