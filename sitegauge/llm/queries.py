@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import ctw, decontam, langid, merkle, minhash, mix, pii, telephony, token_blocks, toxicity, warc
+from sitegauge.llm import audit, ctw, decontam, langid, merkle, minhash, mix, pii, telephony, token_blocks, toxicity, warc
 from sitegauge.llm.common import fold, stored, table
 from sitegauge.session import shared_scratch
 
@@ -203,3 +204,46 @@ ends AS (SELECT tree, place, arg_max(node, k) AS folded_root FROM fold GROUP BY
 SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(siblings, ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM numbers n JOIN subroots USING (tree) JOIN ends USING (tree, place) LEFT JOIN proofs USING (tree, place), top
 """
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each order of them, by language."""
+    found = audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+_PERMUTED = "SELECT a || b || c || d || e AS filter_order FROM " + ", ".join(f"(SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS {x}) AS t{x}" for x in "abcde")
+_PERMUTED += " WHERE " + " AND ".join(f"{x} <> {y}" for x, y in itertools.combinations("abcde", 2))
+
+SQL["op12_filter_audit"] = f"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_SPACED}') AS words FROM t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(words) < 100)::INT AS a, (100 * len(list_distinct(words)) < 80 * len(words))::INT AS b,
+         (100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text))::INT AS c,
+         regexp_matches(text, '[#$%&*|]')::INT AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS e
+  FROM w LEFT JOIN l USING (doc_id)),
+fails AS (
+  SELECT part, CASE WHEN a = 1 THEN 'A' ELSE '' END || CASE WHEN b = 1 THEN 'B' ELSE '' END || CASE WHEN c = 1 THEN 'C' ELSE '' END
+               || CASE WHEN d = 1 THEN 'D' ELSE '' END || CASE WHEN e = 1 THEN 'E' ELSE '' END AS failed,
+         count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f GROUP BY ALL),
+o AS ({_PERMUTED}),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+p AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1 : step - 1] AS before FROM s),
+x AS (
+  SELECT part, filter_order, step, own, n, good, toxic, contains(failed, own) AS fails,
+         before <> '' AND regexp_matches(failed, '[' || coalesce(nullif(before, ''), '-') || ']') AS gone, failed = own AS alone
+  FROM fails, p),
+r AS (
+  SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed,
+         coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
