@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegauge.llm import audit, ctw, decontam, langid, merkle, minhash, mix, pii, telephony, token_blocks, toxicity, warc
+from sitegauge.llm import audit, ctw, debruijn, decontam, langid, merkle, minhash, mix, pii, telephony, token_blocks, toxicity, warc
 from sitegauge.llm.common import fold, stored, table
 from sitegauge.session import shared_scratch
 
@@ -247,3 +247,23 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
        good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
 FROM r
 """
+
+
+@query
+def op13_debruijn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document has."""
+    found = debruijn.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op13_debruijn_spans"] = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+k AS (SELECT doc_id, i, hash(array_to_string(w[i : i + 12], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM k JOIN f USING (h) WHERE first < doc_id),
+x AS (SELECT doc_id, list(p) AS gone, count(*) AS n FROM g GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

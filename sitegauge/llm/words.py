@@ -10,6 +10,7 @@ import numpy as np
 
 _random = np.random.default_rng(20240607)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CASED = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 1 << 21
@@ -52,7 +53,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, byte_values: np.ndarray = _BYTE) -> np.ndarray:
     """A 64-bit hash of each word; worked off in steps, so that memory doesn't grow with the batch."""
     out = np.empty(len(starts), np.uint64)
     total = np.concatenate([np.zeros(1, np.int64), np.cumsum(ends - starts)])
@@ -61,12 +62,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         j = max(i + 1, int(np.searchsorted(total, total[i] + _STEP, "right")) - 1)
         sizes, at = ends[i:j] - starts[i:j], total[i:j] - total[i]
         place = np.arange(total[j] - total[i]) - np.repeat(at, sizes)
-        value = _BYTE[data[np.repeat(starts[i:j], sizes) + place]] * _power(int(sizes.max()))[place]
+        value = byte_values[data[np.repeat(starts[i:j], sizes) + place]] * _power(int(sizes.max()))[place]
         out[i:j] = mixed(np.add.reduceat(value, at))
         i = j
     return out
 
 
+def exact_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word that tells upper from lower case."""
+    return word_hashes(data, starts, ends, _CASED)
+
+
 _MULTIPLIERS = _random.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
