@@ -25,13 +25,18 @@ def box_max_distance(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y
     return F.sqrt(dx * dx + dy * dy)
 
 
-def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Distance from a point to a segment; a zero-length segment counts as its start point."""
+def nearest_place(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Where along a segment (0 to 1) it is nearest to a point; a zero-length segment counts as its start point."""
     ux, uy = bx - ax, by - ay
     len2 = ux * ux + uy * uy
     t = F.when(len2 > 0, ((x - ax) * ux + (y - ay) * uy) / len2).otherwise(0.0)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-    dx, dy = ax + t * ux - x, ay + t * uy - y
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+
+
+def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Distance from a point to a segment."""
+    t = nearest_place(x, y, ax, ay, bx, by)
+    dx, dy = ax + t * (bx - ax) - x, ay + t * (by - ay) - y
     return F.sqrt(dx * dx + dy * dy)
 
 
@@ -124,3 +129,18 @@ def segment_gap(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
 
 def shoelace_term(ax, ay, bx, by) -> Column:
     return (ax * by - bx * ay) / 2
+
+
+def ray_segment_distance(x, y, bearing, ax, ay, bx, by) -> Column:
+    """Distance along a ray from (x, y) to a segment, null where it misses; bearings are degrees clockwise from +y.
+
+    A segment along the ray counts from its nearest point ahead.
+    """
+    dx, dy = F.sin(F.radians(bearing)), F.cos(F.radians(bearing))
+    ux, uy, px, py = bx - ax, by - ay, ax - x, ay - y
+    turn = dx * uy - dy * ux
+    t, s = F.try_divide(px * uy - py * ux, turn), F.try_divide(px * dy - py * dx, turn)
+    hit = F.when((t >= 0) & (s >= 0) & (s <= 1), t)
+    a, b = px * dx + py * dy, (bx - x) * dx + (by - y) * dy
+    along = F.when((px * dy - py * dx == 0) & (F.greatest(a, b) >= 0), F.greatest(F.least(a, b), F.lit(0.0)))
+    return F.when(turn == 0, along).otherwise(hit)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import col
+from sitegauge.operators.ranges import numbered
 
 
 
@@ -147,8 +148,7 @@ def code_map(df: DataFrame, columns: Sequence[str], missing: str = "missing") ->
         for c in columns
     ])
     values = df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
-    order = Window.partitionBy("column").orderBy("value")
-    return values.withColumn("code", F.row_number().over(order) - 1)
+    return numbered(values, ["column"], ["value"], "code").withColumn("code", F.col("code").cast("int"))
 
 
 def encode_ordinal(df: DataFrame, columns: Sequence[str], missing: str = "missing") -> DataFrame:
@@ -162,14 +162,16 @@ def encode_ordinal(df: DataFrame, columns: Sequence[str], missing: str = "missin
 
 def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None, max_cardinality: int | None = None,
             synonyms: Mapping[str, str] | None = None) -> DataFrame:
-    """0/1 columns per category. Only where the caller sets ``max_cardinality``, a column with more is dropped."""
+    """0/1 columns per category. Without a list of them ``max_cardinality`` must be set: a column with more is dropped."""
+    if categories is None and max_cardinality is None:
+        raise ValueError("one_hot needs categories or max_cardinality")
     value = F.col(column)
     for old, new in (synonyms or {}).items():
         value = F.when(F.col(column) == old, new).otherwise(value)
     if categories is None:
         distinct = df.select(column).distinct().dropna()
-        found = [r[0] for r in (distinct if max_cardinality is None else distinct.limit(max_cardinality + 1)).collect()]
-        if max_cardinality is not None and len(found) > max_cardinality:
+        found = [r[0] for r in distinct.limit(max_cardinality + 1).collect()]
+        if len(found) > max_cardinality:
             return df.drop(column)
         categories = sorted(found)
     from sitegauge.operators.shape import snake

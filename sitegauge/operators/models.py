@@ -179,7 +179,7 @@ def interval_by_band(oof: DataFrame, rows: DataFrame, actual: str, predicted: st
     """p10 and p90 from the out-of-fold residual quantiles of the row's band."""
     residuals = oof.withColumn("_res", F.col(actual) - F.col(predicted))
     edges = group_quantiles(residuals, [band], "_res", [low, high], ["_lo", "_hi"])
-    out = rows.join(edges, band, "left")
+    out = rows.join(edges.withColumnRenamed(band, "_band"), F.col(band).eqNullSafe(F.col("_band")), "left").drop("_band")
     return out.withColumns({"p10": F.col(predicted) + F.col("_lo"), "p90": F.col(predicted) + F.col("_hi")}).drop("_lo", "_hi")
 
 
@@ -287,11 +287,14 @@ def two_factor_calibrator(validation: DataFrame, rows: DataFrame, actual: str, p
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Order-free hash of a set of rows: count and sums of row hashes, digested."""
-    h = F.xxhash64(*columns)
-    wide = h.cast("decimal(38,0)")
-    sums = df.agg(F.count(F.lit(1)).alias("n"), F.sum(wide).alias("s"), F.bit_xor(h).alias("x"))
-    return sums.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("s").cast("string"), F.col("x").cast("string")), 256).alias("fingerprint"))
+    """Order-free hash of a set of rows: their number and the sums of two numbers from each row's md5, digested.
+
+    Columns are read as text, null as ``-``; the same rows give the same fingerprint in any engine.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
+    halves = df.select(hash_number(text).alias("a"), hash_number(F.concat(text, F.lit("|"))).alias("b"))
+    sums = halves.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(F.col(c).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(c) for c in "ab"])
+    return sums.select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), "a", "b"), 256).alias("fingerprint"))
 
 
 def shared_keys(train: DataFrame, holdout: DataFrame, key: str) -> DataFrame:
@@ -314,6 +317,13 @@ def compare_models(df: DataFrame, id: str, actual: str, old: str, new: str) -> D
     )
 
 
+def importance_risers(old: DataFrame, new: DataFrame, k: int = 5) -> DataFrame:
+    """Features whose importance rose most between two models (feature, importance); one that a model lacks counts 0."""
+    both = old.select("feature", F.col("importance").alias("old")).join(new.select("feature", F.col("importance").alias("new")), "feature", "full")
+    both = both.select("feature", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("old", "new")])
+    return both.withColumn("change", F.col("new") - F.col("old")).orderBy(F.desc("change"), "feature").limit(k)
+
+
 def conditional_expert(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str, fires: str) -> DataFrame:
     """A model of the failure regime, scored only where the classifier fires; 0 elsewhere."""
     model = regressor(label, "expert").fit(assembler(features).transform(train.filter(F.expr(fires))))

@@ -88,19 +88,20 @@ def knn(
     if ends:
         ax, ay, bx, by_ = (F.col(c).cast("double") for c in ends)
         items = items.withColumns({"_ax": ax, "_ay": ay, "_bx": bx, "_by": by_})
-        items = items.withColumns({"_mx": (F.col("_ax") + F.col("_bx")) / 2, "_my": (F.col("_ay") + F.col("_by")) / 2})
-        x, y = "_mx", "_my"
-        reach = geo.distance(F.col("_ax"), F.col("_ay"), F.col("_bx"), F.col("_by")) / 2
+        x, y, reach = "_mx", "_my", F.col("_half")
         metric = metric or SEGMENT
         place = ["_ax", "_ay", "_bx", "_by"]
     else:
         metric, reach, place = metric or PLANAR, None, [x, y]
-    keep = list(dict.fromkeys([*by, *place, x, y, id, *attrs, *([before[1]] if before else [])]))
+    keep = list(dict.fromkeys([*by, *place, *([] if ends else [x, y]), id, *attrs, *([before[1]] if before else [])]))
     items = items.select(*keep)
     if before:
         place = [*place, before[1]]
     copies = Window.partitionBy(*by, *place).orderBy(id)
     items = items.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") <= want).drop("_copy")
+    if ends:
+        # A piece's distance is its whole line's, so pieces tie with themselves only; k of them may be one line.
+        items = pyr.filed_pieces(items, ("_ax", "_ay", "_bx", "_by"), split=want == 1)
 
     index = pyr.build(items, x, y, reach=reach, by=by, leaf_rows=max(32, 2 * want),
                       nth_key=(before[1], want) if before else None)
@@ -215,6 +216,13 @@ def knn_in_years(sites: DataFrame, items: DataFrame, k: int, *, years: Sequence[
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def count_in_years(sites: DataFrame, items: DataFrame, k: int, span: int, *, date: str, item_year: str, site: str, id: str) -> DataFrame:
+    """Of the k items nearest to each site, how many have a year in [year(date), year(date) + span)."""
+    found = knn(sites.select(site, "x", "y", date), items, k, id=id, attrs=[item_year])
+    soon = (F.col(item_year) >= F.year(date)) & (F.col(item_year) < F.year(date) + span)
+    return found.groupBy(site).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(soon, 1)).alias("n_in_years"))
+
+
 def precedents(sites: DataFrame, history: DataFrame, *, site: str, k: int, submitted: str, special: tuple[str, str],
                missing_km: float = 999.0) -> DataFrame:
     """Statistics of the k nearest applications decided before each submission; null below k of them.

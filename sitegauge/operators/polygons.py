@@ -8,7 +8,7 @@ at most four cells, and parity is tested only against the edges in the point's h
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,12 +55,12 @@ def boxes(edges: DataFrame, id: str) -> DataFrame:
         F.max(F.greatest(*xs)).alias("_maxx"), F.max(F.greatest(*ys)).alias("_maxy"), F.count(F.lit(1)).alias("_n"),
     )
     return out.withColumns({
-        "_scale": _scale(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny")),
+        "_scale": box_scale(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny")),
         "_bands": F.greatest(F.lit(1), F.ceil(F.col("_n") / EDGES_PER_BAND)).cast("long"),
     })
 
 
-def _scale(w: Column, h: Column) -> Column:
+def box_scale(w: Column, h: Column) -> Column:
     """Power of two whose cells are no smaller than the box."""
     return F.ceil(F.log2(F.greatest(w, h, F.lit(1e-3)))).cast("int")
 
@@ -142,61 +142,85 @@ def polygons_within(points: DataFrame, edges: DataFrame, r: float, id: str) -> D
     return edge_pairs.unionByName(inside).groupBy("x", "y", id).agg(F.min("distance").alias("distance"))
 
 
-def counts_within(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str, attributes: DataFrame) -> DataFrame:
-    """Count and full (unclipped) area of polygons within each radius.
+def counts_within(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str, attributes: DataFrame,
+                  class_col: str | None = None, classes: Sequence = ()) -> DataFrame:
+    """Count and full (unclipped) area of polygons within each radius, with ``class_col`` also per class.
 
-    ``attributes`` carries (id, area).
+    ``attributes`` carries (id, area) and the class, if asked for. A null or unlisted class counts in the totals only.
     """
-    pairs = polygons_within(points, edges, max(radii), id).join(attributes.select(id, "area"), id)
+    pairs = polygons_within(points, edges, max(radii), id).join(attributes.select(id, "area", *([class_col] if class_col else [])), id)
     aggs = []
     for r in radii:
         near = F.col("distance") <= float(r)
         aggs += [F.count(F.when(near, 1)).alias(f"count_{int(r)}"), F.sum(F.when(near, F.col("area"))).alias(f"area_{int(r)}")]
+        for k in classes:
+            mine = near & (F.col(class_col) == k)
+            aggs += [F.count(F.when(mine, 1)).alias(f"count_{int(r)}_{k}"), F.sum(F.when(mine, F.col("area"))).alias(f"area_{int(r)}_{k}")]
     totals = pairs.groupBy("x", "y").agg(*aggs)
     out = points.join(totals, ["x", "y"], "left")
     return out.na.fill(0, [c for c in totals.columns if c not in ("x", "y")])
 
 
-def _chains(edges: DataFrame, id: str) -> tuple[DataFrame, DataFrame]:
-    """Edges numbered into runs of consecutive ones, and each run's box and two ends.
+def _run_tree(edges: DataFrame, id: str) -> list[DataFrame]:
+    """Edges, runs of ``CHAIN`` consecutive edges, runs of as many runs, and so on up to one run a polygon.
 
-    Seen from outside its box, an unbroken run turns through the same angle as the straight line
-    between its ends, so far runs stand for their edges exactly.
+    Each node has its number, its parent's, its box and its two ends. Seen from outside its box, an unbroken
+    run turns through the same angle as the straight line between its ends, so far runs stand for their
+    edges exactly.
     """
-    numbered = edges.select(id, "edge_no", *EDGE).withColumn("_run", F.floor(F.col("edge_no") / CHAIN))
-    order = Window.partitionBy(id, "_run").orderBy("edge_no")
-    follows = (F.lag("bx").over(order) == F.col("ax")) & (F.lag("by").over(order) == F.col("ay"))
-    linked = numbered.withColumn("_link", F.coalesce(follows, F.lit(True)))
     xs, ys = [F.col("ax"), F.col("bx")], [F.col("ay"), F.col("by")]
-    runs = linked.groupBy(id, "_run").agg(
-        F.min_by(F.struct("ax", "ay"), "edge_no").alias("_a"), F.max_by(F.struct("bx", "by"), "edge_no").alias("_b"),
-        F.min(F.least(*xs)).alias("_x0"), F.min(F.least(*ys)).alias("_y0"),
-        F.max(F.greatest(*xs)).alias("_x1"), F.max(F.greatest(*ys)).alias("_y1"), F.bool_and("_link").alias("_whole"),
-    )
-    return numbered, runs
-
-
-def clipped_areas(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str) -> DataFrame:
-    """(x, y, id, clip_r...) area of each polygon inside each disc around each distinct place.
-
-    Only runs of edges whose box meets the largest disc are taken apart into their edges.
+    no = F.col("edge_no").cast("long")
+    level = edges.select(
+        id, no.alias("_no"), F.struct("ax", "ay").alias("_a"), F.struct(F.col("bx").alias("ax"), F.col("by").alias("ay")).alias("_b"),
+        F.least(*xs).alias("_x0"), F.least(*ys).alias("_y0"), F.greatest(*xs).alias("_x1"), F.greatest(*ys).alias("_y1"), F.lit(True).alias("_whole"))
+    most, out = edges.agg(F.max(no)).first()[0] or 0, []
+    while True:
+        level = level.withColumn("_parent", F.floor(F.col("_no") / CHAIN))
+        out.append(level)
+        if len(out) > 1 and most < CHAIN ** (len(out) - 1):
+            return out
+        order = Window.partitionBy(id, "_parent").orderBy("_no")
+        linked = level.withColumn("_link", F.col("_whole") & F.coalesce(F.lag("_b").over(order) == F.col("_a"), F.lit(True)))
+        level = linked.groupBy(id, F.col("_parent").alias("_no")).agg(
+            F.min_by("_a", F.col("_no")).alias("_a"), F.max_by("_b", F.col("_no")).alias("_b"), F.min("_x0").alias("_x0"), F.min("_y0").alias("_y0"),
+            F.max("_x1").alias("_x1"), F.max("_y1").alias("_y1"), F.bool_and("_link").alias("_whole"))
+
+
+def clip_pairs(pairs: DataFrame, edges: DataFrame, radii: Sequence[float], id: str) -> DataFrame:
+    """(x, y, id, clip_r...) area of the pair's polygon inside each disc around its place.
+
+    The tree of runs is descended from each polygon's one uppermost run: only runs whose box meets the largest
+    disc are taken apart, so the rows formed follow the edges that the disc cuts, not the ring's length.
     """
-    pairs = polygons_within(points, edges, max(radii), id).select("x", "y", id)
-    numbered, runs = _chains(edges, id)
-    met = pairs.join(runs, id)
-    gap = geo.box_min_distance(F.col("x"), F.col("y"), *[F.col(f"_{c}") for c in ("x0", "y0", "x1", "y1")])
-    apart = ~F.col("_whole") | (gap <= float(max(radii)) * (1 + 1e-9))
-    spread = -1 - F.pmod(F.xxhash64("x", "y", "_run"), F.lit(1 << 20))
-    met = met.select("x", "y", id, "_a", "_b", F.when(apart, F.col("_run")).otherwise(spread).alias("_run"))
-    met = met.join(numbered.drop("edge_no"), [id, "_run"], "left")
-    ends = {"ax": "_a.ax", "ay": "_a.ay", "bx": "_b.bx", "by": "_b.by"}
-    met = met.select("x", "y", id, *[F.coalesce(F.col(c), F.col(run)).alias(c) for c, run in ends.items()])
+    tree = _run_tree(edges, id)
+
+    def judged(level: DataFrame) -> DataFrame:
+        return level.select(F.col(id).alias("_poly"), "_parent", *[F.col(c).alias(f"_k{c}") for c in ("_no", "_a", "_b", "_x0", "_y0", "_x1", "_y1", "_whole")])
+
+    met = pairs.select("x", "y", id).withColumns({"_no": F.lit(0).cast("long"), "_done": F.lit(False)})
+    met = met.withColumns({"_a": F.lit(None).cast("struct<ax:double,ay:double>"), "_b": F.lit(None).cast("struct<ax:double,ay:double>")})
+    for level in reversed(tree):
+        kids = judged(level)
+        # Settled runs pass on spread keys that match nothing.
+        probe = F.when(F.col("_done"), -1 - F.pmod(F.xxhash64("x", "y", "_no"), F.lit(1 << 20))).otherwise(F.col("_no"))
+        met = met.withColumn("_probe", probe).join(kids, (F.col(id) == F.col("_poly")) & (F.col("_probe") == F.col("_parent")), "left")
+        gap = geo.box_min_distance(F.col("x"), F.col("y"), *[F.col(f"_k_{c}") for c in ("x0", "y0", "x1", "y1")])
+        far = F.col("_k_whole") & (gap > float(max(radii)) * (1 + 1e-9))
+        opened = F.col("_poly").isNotNull()
+        met = met.select("x", "y", id, F.when(opened, F.col("_k_no")).otherwise(F.col("_no")).alias("_no"), F.when(opened, F.col("_k_a")).otherwise(F.col("_a")).alias("_a"),
+                         F.when(opened, F.col("_k_b")).otherwise(F.col("_b")).alias("_b"), (F.col("_done") | F.coalesce(far, F.lit(False))).alias("_done"))
+    met = met.select("x", "y", id, F.col("_a.ax").alias("ax"), F.col("_a.ay").alias("ay"), F.col("_b.ax").alias("bx"), F.col("_b.ay").alias("by"))
     terms = geo.with_disc_area_terms(
         met, F.col("x"), F.col("y"), {f"clip_{int(r)}": float(r) for r in radii}, *[F.col(c) for c in EDGE]
     )
     return terms.groupBy("x", "y", id).agg(*[F.abs(F.sum(f"clip_{int(r)}")).alias(f"clip_{int(r)}") for r in radii])
 
 
+def clipped_areas(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str) -> DataFrame:
+    """(x, y, id, clip_r...) area of each polygon inside each disc around each distinct place."""
+    return clip_pairs(polygons_within(points, edges, max(radii), id), edges, radii, id)
+
+
 def clipped_area_by_class(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str,
                           class_col: str, classes: Sequence) -> DataFrame:
     """Clipped area, count and share of the disc per radius, and clipped area per class."""
@@ -228,7 +252,7 @@ def area_weighted_mean(points: DataFrame, edges: DataFrame, r: float, id: str, a
 
 # --- polygon against polygon ---------------------------------------------------------------------
 
-def _box_pairs(a: DataFrame, b: DataFrame, keep_a: Sequence[str], keep_b: Sequence[str]) -> DataFrame:
+def box_pairs(a: DataFrame, b: DataFrame, keep_a: Sequence[str], keep_b: Sequence[str]) -> DataFrame:
     """Pairs of boxes that meet. Each box lies on cells of its own size and of every larger size in
     use; a pair is found on the larger of its two sizes, so of two boxes in a cell one is of its size."""
     scales = sorted({r[0] for r in a.select("_scale").union(b.select("_scale")).distinct().collect()})
@@ -260,13 +284,13 @@ def _edge_boxes(edges: DataFrame, id: str, tag: str) -> DataFrame:
     out = edges.select(F.col(id).alias(f"id_{tag}"), F.col("edge_no").alias(f"no_{tag}"), *[F.col(c).alias(f"{c}_{tag}") for c in EDGE])
     ax, ay, bx, by = (F.col(f"{c}_{tag}") for c in EDGE)
     out = out.withColumns({"_minx": F.least(ax, bx), "_miny": F.least(ay, by), "_maxx": F.greatest(ax, bx), "_maxy": F.greatest(ay, by)})
-    return out.withColumn("_scale", _scale(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny")))
+    return out.withColumn("_scale", box_scale(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny")))
 
 
 def _edge_pairs(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame:
     keep_a = ["id_a", "no_a", *[f"{c}_a" for c in EDGE]]
     keep_b = ["id_b", "no_b", *[f"{c}_b" for c in EDGE]]
-    return _box_pairs(_edge_boxes(a, a_id, "a"), _edge_boxes(b, b_id, "b"), keep_a, keep_b)
+    return box_pairs(_edge_boxes(a, a_id, "a"), _edge_boxes(b, b_id, "b"), keep_a, keep_b)
 
 
 def _cut_points(pairs: DataFrame, tag: str, other: str) -> DataFrame:
@@ -280,16 +304,18 @@ def _cut_points(pairs: DataFrame, tag: str, other: str) -> DataFrame:
     len2 = ux * ux + uy * uy
     collinear = (det == 0) & ((cx - px) * uy - (cy - py) * ux == 0)
     meets = F.when(det != 0, F.array(F.when(s.between(-1e-12, 1 + 1e-12), t))).when(
-        collinear, F.array(((cx - px) * ux + (cy - py) * uy) / len2, ((dx - px) * ux + (dy - py) * uy) / len2)
+        collinear, F.array(F.try_divide((cx - px) * ux + (cy - py) * uy, len2), F.try_divide((dx - px) * ux + (dy - py) * uy, len2))
     )
     inner = F.filter(meets, lambda v: v.isNotNull() & (v > 1e-12) & (v < 1 - 1e-12))
     return pairs.select(f"id_{tag}", f"no_{tag}", f"id_{other}", F.explode(inner).alias("_t")).distinct()
 
 
-def _kept_terms(edges: DataFrame, id: str, pairs: DataFrame, cuts: DataFrame, tag: str, other_edges: DataFrame,
-                other_id: str, other: str, keep_shared: bool) -> DataFrame:
-    """Shoelace terms of the tagged polygon's sub-edges lying inside the other polygon."""
-    mine = edges.select(F.col(id).alias(f"id_{tag}"), F.col("edge_no").alias("no"), *EDGE).join(pairs, f"id_{tag}")
+def _kept_terms(near: DataFrame, cuts: DataFrame, tag: str, other_edges: DataFrame, other_id: str, other: str, keep_shared: bool) -> DataFrame:
+    """Shoelace terms of the tagged polygon's sub-edges lying inside the other polygon.
+
+    ``near`` holds edges with the polygons whose box they meet: no other edge can lie inside.
+    """
+    mine = near.withColumnsRenamed({f"no_{tag}": "no", **{f"{c}_{tag}": c for c in EDGE}})
     grouped = cuts.groupBy(f"id_{tag}", f"no_{tag}", f"id_{other}").agg(F.collect_list("_t").alias("_ts"))
     mine = mine.join(grouped.withColumnRenamed(f"no_{tag}", "no"), [f"id_{tag}", "no", f"id_{other}"], "left")
     stops = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("_ts", F.array().cast("array<double>"))))
@@ -325,10 +351,12 @@ def overlap_areas(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> DataFrame
     Edges are cut where the other ring meets them; pieces inside the other polygon bound the overlap.
     A stretch both rings share counts once, and only where they run the same way.
     """
-    pairs = _box_pairs(boxes(a, a_id).withColumnRenamed(a_id, "id_a"), boxes(b, b_id).withColumnRenamed(b_id, "id_b"), ["id_a"], ["id_b"])
     edge_pairs = _edge_pairs(a, b, a_id, b_id)
-    terms = _kept_terms(a, a_id, pairs, _cut_points(edge_pairs, "a", "b"), "a", b, b_id, "b", True).unionByName(
-        _kept_terms(b, b_id, pairs, _cut_points(edge_pairs, "b", "a"), "b", a, a_id, "a", False)
+    edge = lambda tag: [f"id_{tag}", f"no_{tag}", *[f"{c}_{tag}" for c in EDGE]]
+    near_a = box_pairs(_edge_boxes(a, a_id, "a"), boxes(b, b_id).withColumnRenamed(b_id, "id_b"), edge("a"), ["id_b"])
+    near_b = box_pairs(_edge_boxes(b, b_id, "b"), boxes(a, a_id).withColumnRenamed(a_id, "id_a"), edge("b"), ["id_a"])
+    terms = _kept_terms(near_a, _cut_points(edge_pairs, "a", "b"), "a", b, b_id, "b", True).unionByName(
+        _kept_terms(near_b, _cut_points(edge_pairs, "b", "a"), "b", a, a_id, "a", False)
     )
     return terms.groupBy("id_a", "id_b").agg(F.abs(F.sum("_term")).alias("area"))
 
@@ -363,6 +391,18 @@ def polygon_intersects(a: DataFrame, b: DataFrame, a_id: str, b_id: str) -> Data
     return crossing.unionByName(a_in_b).unionByName(b_in_a).distinct()
 
 
+def nearest_with_restrictions(points: DataFrame, edges: DataFrame, id: str, layers: Mapping[str, DataFrame]) -> DataFrame:
+    """Nearest polygon per point, and for each restriction layer whether that polygon touches any of the layer's polygons.
+
+    ``layers`` are directed edges with a ``part`` id and ``edge_no``. Flags are found once a polygon, not once a point.
+    """
+    out = nearest_polygon(points, edges, id)
+    for name, layer in layers.items():
+        hit = polygon_intersects(edges, layer, id, "part").select(F.col("id_a").alias(id), F.lit(1).alias(name)).distinct()
+        out = out.join(hit, id, "left").withColumn(name, F.when(F.col(id).isNotNull(), F.coalesce(name, F.lit(0))))
+    return out
+
+
 def hex_grid(edges: DataFrame, id: str, size: float) -> DataFrame:
     """Cells of a pointy-top hexagon grid that meet the zones: cell id, q, r, centre x, y and the lowest zone id.
 
@@ -385,6 +425,15 @@ def hex_grid(edges: DataFrame, id: str, size: float) -> DataFrame:
     return cells.join(met, "cell_id")
 
 
+def _active_pairs(points: DataFrame, edges: DataFrame, r: float, id: str, states: DataFrame, date: str, day: str, values: Sequence[str]) -> DataFrame:
+    """(x, y, day, id, distance) of polygons near a dated place, with their running totals at that date."""
+    from sitegauge.operators.temporal import asof_values
+
+    dated = points.select("x", "y", date).distinct().join(polygons_within(points, edges, r, id), ["x", "y"])
+    probes = cut_lineage(dated.withColumnRenamed(date, day))
+    return probes.join(asof_values(probes, states, [id], day, values), [id, day])
+
+
 def active_polygons(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str, states: DataFrame,
                     date: str, day: str, values: Sequence[str]) -> DataFrame:
     """What dated agreements held on polygons near a site were active on the site's own date.
@@ -392,16 +441,48 @@ def active_polygons(points: DataFrame, edges: DataFrame, radii: Sequence[float],
     ``states`` has running totals per (id, day) of change; sums per site, on the site itself and
     within each radius, weight each polygon's running totals at the site's date.
     """
-    from sitegauge.operators.temporal import asof_values
-
-    pairs = polygons_within(points, edges, max(radii), id)
-    dated = points.select("x", "y", date).distinct().join(pairs, ["x", "y"])
-    probes = cut_lineage(dated.withColumnRenamed(date, day))
-    known = asof_values(probes, states, [id], day, values)
-    met = probes.join(known, [id, day])
+    met = _active_pairs(points, edges, max(radii), id, states, date, day, values)
     aggs = []
     for label, near in [("on_site", F.col("distance") == 0), *[(str(int(r)), F.col("distance") <= float(r)) for r in radii]]:
         aggs += [F.coalesce(F.sum(F.when(near, F.col(v))), F.lit(0)).alias(f"{v}_{label}") for v in values]
     totals = met.groupBy("x", "y", day).agg(*aggs).withColumnRenamed(day, date)
     out = points.join(totals, ["x", "y", date], "left")
     return out.na.fill(0, [c for c in totals.columns if c not in ("x", "y", date)])
+
+
+def active_agreements(points: DataFrame, edges: DataFrame, radii: Sequence[float], id: str, agreements: DataFrame, *, date: str,
+                      start: str, end: str, value: str, tier: str, tiers: Sequence[str]) -> DataFrame:
+    """Agreements active on a site's own date: on the site itself and within each radius.
+
+    On site: flag, total value and the highest tier (``tiers`` lists them from the lowest; none: null). Per radius:
+    count, clipped area, its density over the disc, mean value and counts per tier. Several agreements on one
+    polygon count each. Each polygon's agreements are first swept into running totals by day; only polygons with
+    anything active on the date go on, and each is clipped once a place, however many agreements and dates meet it.
+    ``value`` is a whole number (pence), so sums don't depend on their order; null counts as 0 in the mean. A null
+    date, or no active agreement near, gives 0 and null.
+    """
+    from sitegauge.operators.temporal import active_states
+
+    one = F.lit(1).cast("long")
+    measures_ = {"_n": one, "_value": F.coalesce(F.col(value), F.lit(0)).cast("long"), **{f"_tier_{t}": (F.col(tier) == t).cast("long") for t in tiers}}
+    spans = agreements.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) < F.col(end)))
+    states = active_states(spans, [id], start, end, "_day", measures_)
+    met = cut_lineage(_active_pairs(points, edges, max(radii), id, states, date, "_day", list(measures_)).where("_n > 0"))
+    clips = clip_pairs(met.select("x", "y", id).distinct(), edges, radii, id)
+    met = met.join(clips, ["x", "y", id])
+    on_site = F.col("distance") == 0
+    highest = F.greatest(*[F.max(F.when(on_site & (F.col(f"_tier_{t}") > 0), k)) for k, t in enumerate(tiers)], F.lit(None).cast("int"))
+    aggs = [F.max(on_site.cast("int")).alias("on_site"), F.sum(F.when(on_site, F.col("_value"))).alias("value_on_site"), highest.alias("_highest")]
+    for r in radii:
+        near, label = F.col("distance") <= float(r), str(int(r))
+        clip = F.sum(F.when(near, F.col(f"clip_{label}") * F.col("_n")))
+        aggs += [
+            F.sum(F.when(near, F.col("_n"))).alias(f"count_{label}"), clip.alias(f"area_{label}"), (clip / geo.disc_area(float(r))).alias(f"density_{label}"),
+            F.try_divide(F.sum(F.when(near, F.col("_value"))), F.sum(F.when(near, F.col("_n")))).alias(f"mean_value_{label}"),
+            *[F.sum(F.when(near, F.col(f"_tier_{t}"))).alias(f"count_{label}_{t}") for t in tiers],
+        ]
+    totals = met.groupBy("x", "y", "_day").agg(*aggs).withColumnRenamed("_day", date)
+    names = F.array(*[F.lit(t) for t in tiers])
+    totals = totals.withColumn("highest_tier", F.get(names, F.col("_highest"))).drop("_highest")
+    out = points.join(totals, ["x", "y", date], "left")
+    return out.na.fill(0, [c for c in totals.columns if c not in ("x", "y", date, "highest_tier") and not c.startswith("mean_value")])

@@ -91,13 +91,26 @@ def hotspot_concentration(df: DataFrame, keys: Sequence[str], value: str) -> Dat
     return df.groupBy(*keys).agg((F.max(value) / (F.sum(value) + 1)).alias("concentration"))
 
 
+def reconciliation_deltas(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Totals of one measure in two sources, side by side: value_a, value_b, delta (a less b) and its share of b.
+
+    Keys of either source are kept, null keys too; a source without the key counts 0, and a share of nothing is null.
+    """
+    totals = [df.groupBy(*keys).agg(F.sum(value).alias(f"value_{n}")).select(F.struct(*keys).alias("_key"), f"value_{n}") for n, df in (("a", a), ("b", b))]
+    both = totals[0].join(totals[1], "_key", "full").select("_key.*", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("value_a", "value_b")])
+    delta = F.col("value_a") - F.col("value_b")
+    return both.withColumns({"delta": delta, "delta_share": safe_divide(delta, F.col("value_b"))})
+
+
 def shrunk_stats(df: DataFrame, key: str, days: str, m: float = 10.0) -> DataFrame:
     """Mean and 90 % quantile pulled to the overall ones by m pseudo-rows; spread, IQR and slow share."""
     n = F.count(days)
+    edges = group_quantiles(df, [key], days, [0.25, 0.75, 0.9], ["q25", "q75", "q90"]).withColumnRenamed(key, "_key")
     stats = df.groupBy(key).agg(
         n.alias("n"), F.avg(days).alias("mean"), F.stddev_samp(days).alias("std"),
         F.avg((F.col(days) > 180).cast("int")).alias("slow_share"),
-    ).join(group_quantiles(df, [key], days, [0.25, 0.75, 0.9], ["q25", "q75", "q90"]), key)
+    )
+    stats = stats.join(edges, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
     mean, q90 = df.agg(F.avg(days)).scalar(), group_quantiles(df, [], days, [0.9]).scalar()
     w = F.col("n") + m
     return stats.select(
@@ -234,6 +247,19 @@ def top_correlations(df: DataFrame, target: str, columns: Sequence[str], k: int
     return out.withColumn("abs_corr", F.abs("corr")).orderBy(F.desc("abs_corr"), "feature").limit(k)
 
 
+def ordered_group_medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact median, mean and count of a value by group, and the group's place: lowest median first, then by group.
+
+    Null groups are one; values that are null don't count, and a group without any has no median and comes last.
+    """
+    from sitegauge.operators.ranges import numbered
+
+    medians = group_quantiles(df, [group], value, [0.5], ["median"]).withColumnRenamed(group, "_group")
+    stats = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    stats = stats.join(medians, F.col(group).eqNullSafe(F.col("_group")), "left").drop("_group")
+    return numbered(stats, [], [F.col("median").asc_nulls_last(), group], "_at").withColumn("place", F.col("_at") + 1).drop("_at")
+
+
 def expert_spread(df: DataFrame, experts: Sequence[str]) -> DataFrame:
     """Mean, population deviation, largest absolute output and its expert, per row."""
     outputs = F.array(*[F.col(e).cast("double") for e in experts])

@@ -146,11 +146,33 @@ def build(
     placed = (
         items.withColumn("_lvl", F.explode(F.sequence(F.lit(1), F.lit(deepest))))
         .withColumn("_cell", _cell_at(F.col("_lvl")))
-        .join(leaves, [*by, "_cell"]).drop("_ix", "_iy", "_lvl", "_reach")
+        .join(leaves, [*by, "_cell"]).drop("_ix", "_iy", "_lvl", "_reach", "_half")
     )
     return Pyramid(placed, steps, deepest, by, tuple(stats))
 
 
+def filed_pieces(lines: DataFrame, ends: Sequence[str], split: bool = True) -> DataFrame:
+    """Lines cut into pieces no longer than the mean length, to be filed one by one.
+
+    A cell reaches as far as half its longest item, so one long line in a cell would open it to queries far
+    away. Pieces are at most twice as many as lines, whatever the lengths. ``_mx``, ``_my`` is a piece's middle,
+    ``_half`` half its length, ``_piece`` its number of ``_pieces``; the line's own columns stay.
+    """
+    ax, ay, bx, by = (F.col(c) for c in ends)
+    length = geo.distance(ax, ay, bx, by)
+    mean = lines.agg(F.avg(length)).first()[0] if split else None
+    n = F.greatest(F.lit(1), F.ceil(length / mean)).cast("int") if mean else F.lit(1)
+    out = lines.withColumn("_pieces", F.coalesce(n, F.lit(1)))
+    out = out.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    middle = (F.col("_piece") + 0.5) / F.col("_pieces")
+    return out.withColumns({"_mx": ax + (bx - ax) * middle, "_my": ay + (by - ay) * middle, "_half": length / 2 / F.col("_pieces")})
+
+
+def piece_at(t: Column, pieces: Column) -> Column:
+    """Number of the piece that holds the line's place at ``t`` (0 to 1)."""
+    return F.greatest(F.lit(0), F.least(F.floor(t * pieces), pieces - 1))
+
+
 def start(points: DataFrame, x: str, y: str, places: Sequence[str]) -> DataFrame:
     """Distinct places to search, at the root.
 

@@ -20,13 +20,13 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
 
     A mergeable sketch brackets each quantile within a proven rank error; rows below the bracket are
     counted, and only the few values inside it are ordered. Groups too small for the margin to span
-    whole rows (7,500) are ordered directly. Without keys, one row comes back, null for no values.
+    whole rows (7,500) are ordered directly. Null keys are a group. Without keys, one row comes back, null for no values.
 
     A quantile with no value in its bracket, which the sketch's bound rules out, fails the job.
     """
-    names = list(names or [f"p{round(p * 100)}" for p in probs])
-    keys = list(keys)
-    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    names, groups = list(names or [f"p{round(p * 100)}" for p in probs]), list(keys)
+    keys = ["_key"] if groups else []  # a struct: rows whose key is null are a group of their own
+    data = df.select(*([F.struct(*groups).alias("_key")] if groups else []), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     marks = [m for p in probs for m in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
     sketch = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, ACCURACY).alias("_marks")
@@ -68,4 +68,5 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
         found = lo + (hi - lo) * F.max(at - F.floor(at))
         missed = F.max("_n").isNotNull() & found.isNull()
         aggs.append(F.when(missed, F.raise_error(F.lit(f"no value in the bracket of {name}"))).otherwise(found).alias(name))
-    return inside.groupBy(*keys).agg(*aggs)
+    found = inside.groupBy(*keys).agg(*aggs)
+    return found.select(*[F.col("_key")[g].alias(g) for g in groups], *names) if groups else found

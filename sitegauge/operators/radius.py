@@ -111,14 +111,17 @@ def length_within(
 
 
 def index_segments(segments: DataFrame, ends: Sequence[str], by: Sequence[str] = (), keep: Sequence[str] = (),
-                   with_length: bool = False) -> pyr.Pyramid | None:
+                   with_length: bool = False, width: str | None = None) -> pyr.Pyramid | None:
+    """Lines filed by their pieces; ``width`` names a column by which each line reaches further."""
     named = dict(zip(("_ax", "_ay", "_bx", "_by"), ends, strict=True))
-    lines = segments.select(*dict.fromkeys([*by, *keep]), *[F.col(c).cast("double").alias(n) for n, c in named.items()])
-    length = geo.distance(*[F.col(c) for c in ("_ax", "_ay", "_bx", "_by")])
-    lines = lines.withColumns({"_mx": (F.col("_ax") + F.col("_bx")) / 2, "_my": (F.col("_ay") + F.col("_by")) / 2,
-                               "_len": length})
-    return pyr.build(lines, "_mx", "_my", reach=F.col("_len") / 2, by=by,
-                     sums={"length": F.col("_len")} if with_length else None)
+    lines = segments.select(*dict.fromkeys([*by, *keep, *([width] if width else [])]), *[F.col(c).cast("double").alias(n) for n, c in named.items()])
+    pieces = pyr.filed_pieces(lines.dropna(subset=list(named)), list(named))
+    if with_length:
+        s, e = F.col("_piece") / F.col("_pieces"), (F.col("_piece") + 1) / F.col("_pieces")
+        dx, dy = F.col("_bx") - F.col("_ax"), F.col("_by") - F.col("_ay")
+        pieces = pieces.withColumns({"_ax": F.col("_ax") + dx * s, "_ay": F.col("_ay") + dy * s, "_bx": F.col("_ax") + dx * e, "_by": F.col("_ay") + dy * e, "_len": F.col("_half") * 2})
+    reach = F.col("_half") + F.col(width) if width else F.col("_half")
+    return pyr.build(pieces, "_mx", "_my", reach=reach, by=by, sums={"length": F.col("_len")} if with_length else None)
 
 
 def _aggregate(points, index, radii, names, stage, total: Total, x, y, by, labels=None) -> DataFrame:
@@ -156,9 +159,11 @@ def pairs_within(
         index = index_segments(items, ends, keep=keep)
         e = [F.col(f"_i__{c}") for c in ("ax", "ay", "bx", "by")]
         d = geo.segment_distance(F.col("_qx"), F.col("_qy"), *e)
+        # Of a line's pieces only the one with the place nearest to the point forms the pair.
+        own = F.col("_i__piece") == pyr.piece_at(geo.nearest_place(F.col("_qx"), F.col("_qy"), *e), F.col("_i__pieces"))
     else:
         index = pyr.build(items.select(*dict.fromkeys([*keep, ix, iy])), ix, iy)
-        d = geo.distance(F.col("_qx"), F.col("_qy"), F.col("_i__px"), F.col("_i__py"))
+        d, own = geo.distance(F.col("_qx"), F.col("_qy"), F.col("_i__px"), F.col("_i__py")), F.lit(True)
     if index is None:
         return points.select(x, y).join(items.select(*keep), F.lit(False)).withColumn("distance", F.lit(0.0))
     frontier = pyr.start(points, x, y, [x, y])
@@ -166,5 +171,5 @@ def pairs_within(
     for level in range(1, index.depth + 1):
         frontier = pyr.step(frontier, index, level).filter(lo <= F.lit(float(r) * (1 + 1e-9)))
     rows = _leaf_join(frontier, index, "inner")
-    rows = rows.withColumn("_d", d).filter(F.col("_d") <= float(r))
+    rows = rows.filter(own).withColumn("_d", d).filter(F.col("_d") <= float(r))
     return rows.select(x, y, *[F.col(f"_i_{c}").alias(c) for c in keep], F.col("_d").alias("distance"))

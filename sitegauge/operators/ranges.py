@@ -16,6 +16,8 @@ from sitegauge.session import cut_lineage
 
 #: Rows of a range lie in one task; monotonically_increasing_id puts the task above this bit.
 _TASK_BITS = 33
+#: Up to so many ranges and groups their sizes are sent to all tasks.
+BROADCAST_RANGES = 20_000
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], at: str = "at", size: str | None = None) -> DataFrame:
@@ -35,6 +37,7 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column],
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     if size:
         sizes = sizes.withColumn(size, F.sum("__n").over(Window.partitionBy("__group")))
-    out = ranged.join(sizes.drop("__n"), ["__task", "__group"])
+    sizes = cut_lineage(sizes.drop("__n"))
+    out = ranged.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_RANGES else sizes, ["__task", "__group"])
     out = out.withColumn(at, F.col("__before") + F.col("__row") - F.col("__first"))
     return out.select(*[f"`{n}`" for n in names], at, *([size] if size else []))

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from sitegauge.functions.scalar import only_row
 from sitegauge.operators.quantiles import group_quantiles
-
-RANGES = 32
+from sitegauge.operators.ranges import numbered
 
 
 def trailing(df: DataFrame, keys: Sequence[str], date: str, days: int, aggs: Mapping[str, Column],
@@ -62,34 +61,10 @@ def national_queue(df: DataFrame, capacity: str, date: str = "submission_date",
 def ordered_position(df: DataFrame, keys: Sequence[str], score: str, id: str, out: str = "position") -> DataFrame:
     """1-based rank by (score, id) within each key, for groups of any size; ``id`` is a whole number.
 
-    Sketched quantiles cut every group into ranges, and ids cut scores that fill whole ranges by
-    themselves. Rows are ranked inside a range and the exact sizes of the earlier ranges added, so the
-    sketch affects balance only.
+    Rows whose key is null are a group of their own. Also adds ``group_size``.
     """
-    cuts = [i / RANGES for i in range(1, RANGES)]
-    group = ["_group"]  # a struct: rows whose key is null are a group of their own
-    df = df.withColumn("_group", F.struct(*keys) if keys else F.struct(F.lit(0)))
-    edges = df.groupBy(*group).agg(F.percentile_approx(F.col(score).cast("double"), cuts, 1000).alias("_edges"))
-    edges = edges.withColumn("_hot", F.array_distinct(F.filter(
-        F.col("_edges"), lambda e: F.size(F.filter(F.col("_edges"), lambda o: o == e)) > 1
-    )))
-    cut = df.join(edges, group)
-    value = F.col(score).cast("double")
-    cut = cut.withColumn("_is_hot", F.coalesce(F.array_contains("_hot", value), F.lit(False)))
-    cut = cut.withColumn("_band", F.when(value.isNull(), -1).otherwise(F.size(F.filter("_edges", lambda e: e < value))))
-    splits = cut.filter("_is_hot").groupBy(*group, "_band").agg(F.percentile_approx(F.col(id), cuts, 1000).alias("_ids"))
-    cut = cut.drop("_edges", "_hot").join(splits, [*group, "_band"], "left")
-    part = F.when(F.col("_is_hot"), 1 + F.size(F.filter("_ids", lambda e: e < F.col(id)))).otherwise(0)
-    cut = cut.withColumn("_part", part).drop("_ids", "_is_hot")
-    sizes = cut.groupBy(*group, "_band", "_part").agg(F.count(F.lit(1)).alias("_size"))
-    ordered = Window.partitionBy(*group).orderBy("_band", "_part")
-    sizes = sizes.withColumns({
-        "_before": F.coalesce(F.sum("_size").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        "group_size": F.sum("_size").over(Window.partitionBy(*group)),
-    }).drop("_size")
-    inside = Window.partitionBy(*group, "_band", "_part").orderBy(score, id)
-    ranked = cut.withColumn("_in", F.row_number().over(inside)).join(sizes, [*group, "_band", "_part"])
-    return ranked.withColumn(out, F.col("_before") + F.col("_in")).drop("_band", "_part", "_before", "_in", "_group")
+    ranked = numbered(df, keys, [score, id], "_at", "group_size")
+    return ranked.withColumn(out, F.col("_at") + 1).drop("_at")
 
 
 # Quartile labels and colours, best first.

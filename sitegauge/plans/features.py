@@ -168,10 +168,13 @@ for _family in fs.FAMILIES:
     _add(_family)
 
 
-@query("fs_all_families", None)
+_EVERY = {n: e for f in fs.FAMILIES for n, e in TWINS[f].items()}
+
+
+@query("fs_all_families", f"{WIDE} SELECT site_id, " + ", ".join(f"{rnd(e, 4)} AS {n}" for n, e in _EVERY.items()) + " FROM wide")
 def _(t):
     """Every family in one projection over the wide table, as the scoring job uses it."""
-    return fs.add_features(wide(t))
+    return rounded(fs.add_features(wide(t)).select("site_id", *_EVERY), list(_EVERY))
 
 
 @query(

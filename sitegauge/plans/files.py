@@ -47,6 +47,28 @@ def _(t):
     return points.select(F.col("properties")["site_id"].cast("long").alias("site_id"), "x", "y", F.col("capacity_mw").cast("int").alias("capacity_mw"))
 
 
+@query(
+    "src03_read_collections",
+    f"""{with_ctes('segs', 'edges')} SELECT 'line' AS kind, line_id AS id, 0 AS edge_no, ax, ay, bx, "by" FROM segs UNION ALL SELECT 'zone', zone_id, edge_no, ax, ay, bx, "by" FROM edges""",
+)
+def _(t):
+    """Whole feature collections of lines and polygons, written and read back as edges."""
+    base = shared_scratch(t.spark)
+    point = lambda x, y: F.array(F.col(x), F.col(y))
+    line = F.struct(F.lit("LineString").alias("type"), F.array(point("ax", "ay"), point("bx", "by")).alias("coordinates"))
+    writers.write_collections(t.segments, f"{base}/lines", "line_id", line, ["line_id"])
+    corners = F.transform(F.array_sort(F.collect_list(F.struct("edge_no", "ax", "ay"))), lambda e: F.array(e["ax"], e["ay"]))
+    rings = t.zone_edges.groupBy("zone_id").agg(corners.alias("ring")).withColumn("ring", F.concat("ring", F.array(F.col("ring")[0])))
+    writers.write_collections(rings, f"{base}/zones", "zone_id", F.struct(F.lit("Polygon").alias("type"), F.array("ring").alias("coordinates")), ["zone_id"])
+
+    def back(name, id, parse, no):
+        features = readers.read_geojson(t.spark, f"{base}/{name}")
+        keys = features.select("feature_id", F.col("properties")[id].cast("long").alias("id"))
+        return parse(features).join(keys, "feature_id").select(F.lit(name[:-1]).alias("kind"), "id", F.col(no).cast("int").alias("edge_no"), "ax", "ay", "bx", "by")
+
+    return back("lines", "line_id", readers.geojson_segments, "segment_no").unionByName(back("zones", "zone_id", readers.geojson_edges, "edge_no"))
+
+
 @query(
     "src04_union_shards",
     f"{with_ctes('assets')} SELECT asset_id, voltage, rating, CASE WHEN voltage='33kv' THEN asset_tag END AS asset_tag FROM assets",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitegauge.operators import chain as ch
 from sitegauge.operators import dossier as ds
 from sitegauge.operators import feature_space as sp
 from sitegauge.operators import models as ml
@@ -73,10 +74,12 @@ def _(t):
 
 @query("ml03_compress_tail", None)
 def _(t):
-    m = matrix(t).select("site_id", "days", *[F.col(c).cast("double").alias(c) for c in FEATURES])
-    train = split(m)[0]
-    ranked = [r["feature"] for r in ml.rank_features(train, FEATURES, "days").collect()]
-    return ml.compress_tail(train, m, ranked, 3, 2)
+    key = F.col("site_id")
+    wide = {f"measure_{i}": (key * (31 + 6 * i) % (97 + 10 * i) / 7.0 + F.col(FEATURES[i % len(FEATURES)])) for i in range(30)}
+    m = matrix(t).select("site_id", "days", *[F.col(c).cast("double").alias(c) for c in FEATURES], *[c.cast("double").alias(n) for n, c in wide.items()])
+    train, names = split(m)[0], [*FEATURES, *wide]
+    ranked = [r["feature"] for r in ml.rank_features(train, names, "days").collect()]
+    return ml.compress_tail(train, m, ranked, 6, 20)
 
 
 @query("ml04_project_regimes", None)
@@ -111,6 +114,20 @@ def _(t):
     return out.select("site_id", "days", "base", "head_north", "head_large", "corrector", "prediction")
 
 
+#: What the chain's stages learn from, beside the cohorts above.
+CASCADE = {"cohorts": COHORTS, "band": "band", "bands": ["small", "mid", "large"], "scale": "capacity_mw", "regime_features": ["capacity_mw", "grid_km", "slope"]}
+
+
+def cascade(t):
+    train, validation, test = split(matrix(t))
+    return ch.cascade(train.unionByName(validation), test, FEATURES, "days", "lpa", **CASCADE)
+
+
+@query("ml07_gated_cascade", None)
+def _(t):
+    return cascade(t).select("site_id", "lpa", "fold", "days", "base", "head_north", "head_large", "risk", "expert", "arbiter", "stratified", "corrector", "prediction")
+
+
 @query("ml08_stratified_models", None)
 def _(t):
     m = matrix(t)
@@ -188,6 +205,12 @@ def _(t):
     return ml.tune(m, FEATURES, "days", "fold", [2, 3, 4])
 
 
+@query("ml15_halving_search", None)
+def _(t):
+    m = matrix(t).withColumn("fold", (F.col("lpa") % 3).cast("int"))
+    return ch.halving_search(m, FEATURES, "days", "fold", depths=[2, 3, 4], steps=[0.1, 0.3], folds=3)
+
+
 @query("ml16_rank_features", None)
 def _(t):
     return ml.rank_features(split(matrix(t))[0], FEATURES, "days")
@@ -208,6 +231,15 @@ def _(t):
     return wn.top_drivers(matrix(t), "site_id", parts, 2).drop("text")
 
 
+@query("ml17_local_surrogate", None)
+def _(t):
+    m = matrix(t).select("site_id", "days", *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    train, _, test = split(m)
+    model = ml.regressor("days", "prediction", "_x").fit(ml.assembler(FEATURES, "_x").transform(train))
+    out = ch.local_surrogate(model, train, test, FEATURES, "site_id")
+    return out.select("site_id", "prediction", "mean_prediction", F.inline("contributions"))
+
+
 @query(
     "ml18_local_benchmark",
     f"""{with_ctes('sites', 'subs')}, e AS (SELECT site_id AS pid, x, y, (site_id*17)%101-45 AS err FROM sites), c AS (SELECT sub_id, err, pid, sqrt((e.x-b.x)*(e.x-b.x)+(e.y-b.y)*(e.y-b.y)) AS d FROM subs b, e QUALIFY row_number() OVER (PARTITION BY sub_id ORDER BY sqrt((e.x-b.x)*(e.x-b.x)+(e.y-b.y)*(e.y-b.y)), pid)<=25)
@@ -220,6 +252,34 @@ def _(t):
     return rounded(out, ["rmse", "mae"])
 
 
+_BAND = "CASE WHEN capacity_mw<10 THEN 'small' WHEN capacity_mw<40 THEN 'mid' ELSE 'large' END"
+
+
+@query(
+    "ml18_fitted_benchmark",
+    f"""{S}, m AS (SELECT site_id, capacity_mw, -6+x/100000*8 AS lon, 50+y/100000*8 AS lat, {_BAND} AS band, CAST(90+4*capacity_mw+12*(site_id%89/10e0)+CASE WHEN lpa%5=0 THEN 60 ELSE 0 END+site_id%31/2e0*2+site_id*31%61 AS DOUBLE) AS days, {_hash("'split|'||site_id", 8)}/4294967296e0 AS share FROM sites),
+fit AS (SELECT regr_slope(days, capacity_mw) AS b1, regr_intercept(days, capacity_mw) AS b0 FROM m WHERE share<0.7),
+b AS (SELECT site_id AS pid, lon, lat, band, b0+b1*capacity_mw-days AS err FROM m, fit WHERE share>=0.7 AND share<0.85 AND capacity_mw<45), a AS (SELECT site_id, lon, lat, band FROM m WHERE share>=0.85),
+sz AS (SELECT band, count(*) AS size FROM b GROUP BY 1),
+c AS (SELECT a.site_id, a.band, b.pid, b.err, size, 2*6371*asin(least(1e0,sqrt(pow(sin((radians(b.lat)-radians(a.lat))/2),2)+cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2)))) AS km
+ FROM a LEFT JOIN sz ON sz.band=a.band JOIN b ON b.band=a.band OR coalesce(size,0)<20 QUALIFY row_number() OVER (PARTITION BY a.site_id ORDER BY km, b.pid)<=20)
+SELECT site_id, count(*) AS n, {rnd('sqrt(avg(err*err))')} AS rmse, {rnd('avg(abs(err))')} AS mae, {rnd('avg(km)', 3)} AS mean_km, CASE WHEN coalesce(any_value(size),0)>=20 THEN 'band' ELSE 'all' END AS rule FROM c GROUP BY 1""",
+)
+def _(t):
+    from pyspark.ml.regression import LinearRegression
+
+    m = matrix(t).withColumns({
+        "lon": -6 + F.col("site_id") * 7919 % 100000 / 100000 * 8, "lat": 50 + F.col("site_id") * 104729 % 100000 / 100000 * 8,
+        "band": F.when(F.col("capacity_mw") < 10, "small").when(F.col("capacity_mw") < 40, "mid").otherwise("large"),
+    })
+    m = ml.assembler(["capacity_mw"], "_x").transform(m)
+    train, validation, test = split(m)
+    line = LinearRegression(featuresCol="_x", labelCol="days", predictionCol="predicted", solver="normal").fit(train)
+    history = line.transform(validation.filter("capacity_mw < 45")).withColumnRenamed("site_id", "pid")
+    out = ch.local_benchmark(test, history, "days", "predicted", site="site_id", id="pid", band="band")
+    return rounded(out.select("site_id", "n", "rmse", "mae", "mean_km", "rule"), {"rmse": 4, "mae": 4, "mean_km": 3})
+
+
 @query("ml19_typological_benchmark", None)
 def _(t):
     s = t.sites.select("site_id", "duration_days", "capacity_mw", (F.col("site_id") % 89 / 10.0).alias("grid_km"), ((F.col("site_id") * 17) % 101 - 45 + F.col("duration_days")).alias("predicted"))
@@ -257,7 +317,22 @@ def _(t):
     return rounded(out, {"predicted_days": 3, "shorter_share": 6, "p10": 3, "p90": 3})
 
 
-@query("snk05_flatten_dossier", None)
+_DRIVERS = {"capacity_mw": "4*(mw-25)", "grid_km": "12*(site_id%89/10e0-4.4)", "slope": "2*(site_id%31/2e0-7.5)", "month": "-(m-6.5)"}
+_R1 = lambda e, d=1: f"round({e}, {d})"
+
+
+@query(
+    "snk05_flatten_dossier",
+    f"""{S}, {_SIM}, b AS (SELECT site_id, coalesce(max(mw) FILTER (days<=300), arg_min(mw, days)) AS mw FROM sim GROUP BY 1),
+h AS (SELECT b.site_id, b.mw, s.days, x/1000 AS lon, y/1000 AS lat, month(submission_date) AS m, least(0.5,b.site_id%89/10e0/20) AS o FROM b JOIN sim s ON s.site_id=b.site_id AND s.mw=b.mw JOIN sites t ON t.site_id=b.site_id),
+p AS (SELECT site_id, list_sort([{', '.join(f"{{'o': -abs({e}), 'f': '{n}', 'd': {e}}}" for n, e in _DRIVERS.items())}]) AS d FROM h)
+SELECT h.site_id, lon AS centroid_lon, lat AS centroid_lat, h.mw AS optimal_capacity_mw, {_R1('days')} AS predicted_days, CASE WHEN days<250 THEN 'Green' WHEN days<350 THEN 'Amber' ELSE 'Red' END AS risk_category,
+ {_R1('(SELECT count(*) FROM sim s WHERE s.site_id=h.site_id AND s.days<h.days)/14e0')} AS shorter_share, {_R1('greatest(days-greatest(30,greatest(days*0.1,40)),0)')} AS p10_days, {_R1('days+greatest(45,greatest(days*0.1,40))')} AS p90_days,
+ {_R1('0.2e0', 3)} AS error_prob_under, {_R1('0.8e0-o', 3)} AS error_prob_accurate, {_R1('o', 3)} AS error_prob_over,
+ {', '.join(f"d[{i}].f AS driver_{i}_feature, CASE WHEN d[{i}].d>=0 THEN '+' ELSE '-' END||CAST(round(abs(d[{i}].d)) AS INTEGER)||' days' AS driver_{i}_impact" for i in (1, 2, 3))},
+ {', '.join(f"(SELECT {_R1('s.days')} FROM sim s WHERE s.site_id=h.site_id AND s.mw={float(c)}e0) AS sim_{str(c).replace('.', '_')}mw_days" for c in CAPACITIES)}
+FROM h JOIN p ON p.site_id=h.site_id""",
+)
 def _(t):
     return writers.flatten_dossier(dossiers(t), CAPACITIES)
 
@@ -309,6 +384,21 @@ def _(t):
     return rounded(ml.two_factor_grid(s, "duration_days", "predicted", "po", "pu", _GRID1, _GRID2), ["rmse"])
 
 
+@query(
+    "ml25_calibrated_rows",
+    f"""{S}, p AS (SELECT site_id, (site_id*17)%101-45 AS e, duration_days+(site_id*17)%101-45 AS predicted, (site_id%20)/20e0 AS po, (site_id*7%20)/20e0 AS pu, {_hash("'split|'||site_id", 8)}/4294967296e0 AS share FROM sites),
+g AS (SELECT a AS f1, b AS f2 FROM (SELECT unnest([{','.join(f'{v}e0' for v in _GRID1)}]) AS a), (SELECT unnest([{','.join(f'{v}e0' for v in _GRID2)}]) AS b)),
+best AS (SELECT f1, f2 FROM p, g WHERE share>=0.7 AND share<0.85 GROUP BY 1,2 ORDER BY sqrt(avg((e+po*f1-pu*f2)*(e+po*f1-pu*f2))), f1, f2 LIMIT 1)
+SELECT site_id, f1 AS factor_over, f2 AS factor_under, {rnd('predicted+po*f1-pu*f2')} AS calibrated FROM p, best WHERE share>=0.85""",
+)
+def _(t):
+    k = F.col("site_id")
+    s = t.places.select("site_id", "duration_days", (F.col("duration_days") + (k * 17) % 101 - 45).alias("predicted"), (k % 20 / 20.0).alias("po"), (k * 7 % 20 / 20.0).alias("pu"))
+    _, validation, test = split(s)
+    out = ml.two_factor_calibrator(validation, test, "duration_days", "predicted", "po", "pu", _GRID1, _GRID2)
+    return rounded(out.select("site_id", "factor_over", "factor_under", "calibrated"), ["calibrated"])
+
+
 @query(
     "ml26_leak_checks",
     """SELECT (SELECT count(*) FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate<TIMESTAMP '2000-01-01' INTERSECT SELECT o_custkey FROM orders WHERE o_orderdate>=TIMESTAMP '2000-01-01')) AS shared""",
@@ -318,7 +408,14 @@ def _(t):
     return ml.shared_keys(o.filter("o_orderdate < DATE'2000-01-01'"), o.filter("o_orderdate >= DATE'2000-01-01'"), "o_custkey")
 
 
-@query("ml26_fingerprint", None)
+_ROW = "'='||o_orderkey||'|='||o_totalprice||'|='||o_orderstatus"
+
+
+@query(
+    "ml26_fingerprint",
+    f"""WITH h AS (SELECT {_hash(_ROW, 15)} AS a, {_hash(_ROW + "||'|'", 15)} AS b FROM orders WHERE o_orderdate>=TIMESTAMP '2000-01-01')
+SELECT count(*) AS n, sha256(count(*)||'|'||sum(CAST(a AS HUGEINT))||'|'||sum(CAST(b AS HUGEINT))) AS fingerprint FROM h""",
+)
 def _(t):
     return ml.fingerprint(t.read("orders").filter("o_orderdate >= DATE'2000-01-01'"), ["o_orderkey", "o_totalprice", "o_orderstatus"])
 
@@ -343,6 +440,21 @@ def _(t):
     return rounded(ml.compare_models(s, "site_id", "duration_days", "old", "new"), ["mean_gain", "improved_share"], 6)
 
 
+_RISERS = {"capacity_mw": "capacity_mw", "month": "month(submission_date)", "grid_km": "site_id%89/10e0", "slope": "site_id%31/2e0", "lpa": "lpa", "granted": "granted", "x": "x"}
+
+
+@query(
+    "ml27_importance_risers",
+    f"{S}, r AS (" + " UNION ALL ".join(f"SELECT '{n}' AS feature, abs(corr({e}, duration_days) FILTER (year(submission_date)<1998)) AS old, abs(corr({e}, duration_days) FILTER (year(submission_date)>=1998)) AS new FROM sites" for n, e in _RISERS.items())
+    + f") SELECT feature, {rnd('old', 6)} AS old, {rnd('new', 6)} AS new, {rnd('new-old', 6)} AS change FROM r ORDER BY new-old DESC, feature LIMIT 5",
+)
+def _(t):
+    key = F.col("site_id")
+    s = t.sites.select("lpa", "capacity_mw", "granted", "x", "duration_days", F.month("submission_date").alias("month"), (key % 89 / 10.0).alias("grid_km"), (key % 31 / 2.0).alias("slope"), F.year("submission_date").alias("year"))
+    old, new = (pf.top_correlations(d, "duration_days", list(_RISERS), len(_RISERS)).select("feature", F.col("abs_corr").alias("importance")) for d in (s.filter("year < 1998"), s.filter("year >= 1998")))
+    return rounded(ml.importance_risers(old, new), ["old", "new", "change"], 6)
+
+
 @query("ml28_conditional_expert", None)
 def _(t):
     m = matrix(t)

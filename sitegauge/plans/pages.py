@@ -224,6 +224,19 @@ def _(t):
     return writers.theme_features(s, "cap", writers.point_geometry(F.col("x"), F.col("y")), {"prediction": ["site_id", "duration_days"], "outcome": ["site_id", "granted"]})
 
 
+@query(
+    "snk02_styled_features",
+    f"""{with_ctes('sites')}, r AS (SELECT CAST(5*(site_id%3)+5 AS INTEGER) AS cap, site_id, x, y, duration_days, granted, (row_number() OVER (PARTITION BY site_id%3 ORDER BY duration_days, site_id)-1)*100e0/count(*) OVER (PARTITION BY site_id%3) AS pct FROM sites),
+q AS (SELECT *, CASE WHEN pct<25 THEN '#2ecc71' WHEN pct<50 THEN '#f1c40f' WHEN pct<75 THEN '#e67e22' ELSE '#e74c3c' END AS c, CASE WHEN pct<25 THEN 'Q1 (Best)' WHEN pct<50 THEN 'Q2' WHEN pct<75 THEN 'Q3' ELSE 'Q4 (Worst)' END AS l, CAST({rnd('pct', 1)} AS VARCHAR) AS p FROM r),
+f AS (SELECT *, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":['||CAST(x AS VARCHAR)||','||CAST(y AS VARCHAR)||']}},"properties":{{"site_id":'||site_id||',' AS a,
+ ',"fill":"'||c||'","marker-color":"'||c||'","stroke":"#ffffff","stroke-width":1,"fill-opacity":0.8,"rank_label":"'||l||'","rank_percentile":'||p||'}}}}' AS z FROM q)
+SELECT cap AS capacity_mw, 'prediction' AS theme, a||'"duration_days":'||duration_days||z AS feature FROM f UNION ALL SELECT cap, 'outcome', a||'"granted":'||granted||z FROM f""",
+)
+def _(t):
+    s = t.places.withColumn("cap", (5 * (F.col("site_id") % 3) + 5).cast("int"))
+    return writers.styled_features(s, "cap", "site_id", "duration_days", writers.point_geometry(F.col("x"), F.col("y")), {"prediction": ["site_id", "duration_days"], "outcome": ["site_id", "granted"]})
+
+
 @query(
     "snk03_write_code_maps",
     """SELECT 'p_type' AS "column", p_type AS value, CAST(dense_rank() OVER (ORDER BY p_type)-1 AS INTEGER) AS code FROM (SELECT DISTINCT p_type FROM part)

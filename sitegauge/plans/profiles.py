@@ -133,6 +133,17 @@ def _(t):
     return rounded(pf.hotspot_concentration(t.read("lineitem"), ["l_suppkey"], "l_quantity"), ["concentration"], 6)
 
 
+@query(
+    "ag12_reconciliation_deltas",
+    f"""WITH a AS (SELECT l_suppkey, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem WHERE l_returnflag='R' AND l_suppkey%7<>3 GROUP BY 1), b AS (SELECT l_suppkey, sum(CAST(l_quantity AS BIGINT)) AS v FROM lineitem WHERE l_returnflag='N' AND l_suppkey%5<>2 GROUP BY 1)
+SELECT l_suppkey, CAST(coalesce(a.v,0) AS BIGINT) AS value_a, CAST(coalesce(b.v,0) AS BIGINT) AS value_b, CAST(coalesce(a.v,0)-coalesce(b.v,0) AS BIGINT) AS delta, {rnd('(coalesce(a.v,0)-coalesce(b.v,0))/nullif(coalesce(b.v,0),0)', 6)} AS delta_share FROM a FULL JOIN b USING (l_suppkey)""",
+)
+def _(t):
+    line = t.read("lineitem").select("l_suppkey", "l_returnflag", F.col("l_quantity").cast("long").alias("quantity"))
+    a, b = line.filter("l_returnflag = 'R' AND l_suppkey % 7 <> 3"), line.filter("l_returnflag = 'N' AND l_suppkey % 5 <> 2")
+    return rounded(pf.reconciliation_deltas(a, b, ["l_suppkey"], "quantity"), ["delta_share"], 6)
+
+
 @query(
     "ag15_shrunk_stats",
     f"""{S}, g AS (SELECT avg(duration_days) gm, quantile_cont(duration_days,0.9) gq FROM sites),
@@ -293,6 +304,15 @@ def _(t):
     return rounded(pf.top_correlations(s, "duration_days", [*_CORRS, "constant"], 3), ["corr", "abs_corr"], 6)
 
 
+@query(
+    "ag27_ordered_group_medians",
+    f"""{S}, g AS (SELECT lpa, quantile_cont(duration_days,0.5) AS median, avg(duration_days) AS mean, count(duration_days) AS n FROM sites GROUP BY lpa)
+SELECT lpa, {rnd('median')} AS median, {rnd('mean')} AS mean, n, row_number() OVER (ORDER BY median, lpa) AS place FROM g""",
+)
+def _(t):
+    return rounded(pf.ordered_group_medians(t.sites.select("lpa", "duration_days"), "lpa", "duration_days"), ["median", "mean"])
+
+
 @query(
     "ag28_expert_spread",
     f"""{S}, e AS (SELECT site_id, CAST(site_id%41-20 AS DOUBLE) a, CAST(site_id%59-30 AS DOUBLE) b, CAST(site_id%73-35 AS DOUBLE) c FROM sites), m AS (SELECT *, (a+b+c)/3 mu, greatest(abs(a),abs(b),abs(c)) mx FROM e)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitegauge.functions import geometry as geo
+from sitegauge.operators import corridors as co
 from sitegauge.operators import lines as ln
 from sitegauge.operators import nearest as nr
 from sitegauge.operators import polygons as pg
@@ -11,6 +13,7 @@ from sitegauge.operators import radius as rd
 from sitegauge.operators import temporal as tm
 from sitegauge.plans.bindings import num, rnd, rounded, sql_crosses, sql_distance, sql_meeting, sql_segment_distance, sql_turn, with_ctes
 from sitegauge.plans.registry import query
+from sitegauge.session import cut_lineage
 
 VOLTAGES = ("11kv", "33kv", "66kv", "132kv")
 WIDTHS = {"11kv": 5.0, "33kv": 20.0, "66kv": 25.0, "132kv": 30.0}
@@ -75,12 +78,12 @@ def _(t):
 
 @query(
     "jn06_nearest_line",
-    f"""{with_ctes('sites', 'segs')}, c AS (SELECT site_id, min({sql_segment_distance('s.x', 's.y', 'g')}) AS d FROM sites s, segs g GROUP BY site_id)
-SELECT site_id, {rnd('d')} AS distance FROM c""",
+    f"""{with_ctes('sites', 'segs')}, c AS (SELECT site_id, line_id, {sql_segment_distance('s.x', 's.y', 'g')} AS d FROM sites s, segs g QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY d, line_id)=1)
+SELECT site_id, line_id, {rnd('d')} AS distance FROM c""",
 )
 def _(t):
     out = nr.nearest(t.places.select("site_id", "x", "y"), t.segments, id="line_id", ends=ln.ENDS)
-    return rounded(out.select("site_id", "distance"), ["distance"])
+    return rounded(out.select("site_id", "line_id", "distance"), ["distance"])
 
 
 _PIP = f"""hit AS (SELECT s.site_id, e.zone_id, sum({sql_crosses('s.x', 's.y', 'e')})%2 AS odd FROM sites s JOIN shapes h ON s.x BETWEEN h.cx-h.w AND h.cx+h.w AND s.y BETWEEN h.cy-h.w AND h.cy+h.w
@@ -108,22 +111,21 @@ _POLY_D = f"{_PIP}, {_EDGE_D}, dist AS (SELECT n.site_id, n.zone_id, CASE WHEN h
 
 @query(
     "jn06_nearest_polygon",
-    f"""{with_ctes('sites', 'edges')}, {_POLY_D}, b AS (SELECT site_id, min(d) AS d, min(zone_id) FILTER (inside) AS in_zone FROM dist GROUP BY 1)
-SELECT site_id, {rnd('d', 3)} AS distance, CASE WHEN in_zone IS NOT NULL THEN 1 ELSE 0 END AS inside, coalesce(in_zone,-1) AS inside_zone FROM b""",
+    f"""{with_ctes('sites', 'edges')}, {_POLY_D}, b AS (SELECT site_id, min({{'d': d, 'id': zone_id}}) AS m, bool_or(inside) AS i FROM dist GROUP BY 1)
+SELECT site_id, m.id AS zone_id, {rnd('m.d', 3)} AS distance, CASE WHEN i THEN 1 ELSE 0 END AS inside FROM b""",
 )
 def _(t):
     out = pg.nearest_polygon(t.places.select("site_id", "x", "y"), t.zone_edges, "zone_id")
-    out = out.select("site_id", "distance", "inside", F.when(F.col("inside") == 1, F.col("zone_id")).otherwise(-1).alias("inside_zone"))
-    return rounded(out, ["distance"], 3)
+    return rounded(out.select("site_id", "zone_id", "distance", "inside"), ["distance"], 3)
 
 
 @query(
     "jn15_within_else_nearest",
-    f"""{with_ctes('sites', 'edges')}, {_POLY_D}, b AS (SELECT site_id, min(d) AS d, bool_or(inside) AS i FROM dist GROUP BY 1) SELECT site_id, {rnd('d', 3)} AS distance, CASE WHEN i THEN 'within' ELSE 'nearest' END AS method FROM b""",
+    f"""{with_ctes('sites', 'edges')}, {_POLY_D}, b AS (SELECT site_id, min({{'d': d, 'id': zone_id}}) AS m, bool_or(inside) AS i FROM dist GROUP BY 1) SELECT site_id, m.id AS zone_id, {rnd('m.d', 3)} AS distance, CASE WHEN i THEN 'within' ELSE 'nearest' END AS method FROM b""",
 )
 def _(t):
     out = pg.within_else_nearest(t.places.select("site_id", "x", "y"), t.zone_edges, "zone_id")
-    return rounded(out.select("site_id", "distance", "method"), ["distance"], 3)
+    return rounded(out.select("site_id", "zone_id", "distance", "method"), ["distance"], 3)
 
 
 @query(
@@ -162,6 +164,18 @@ def _(t):
     return rounded(out.drop("x", "y"), ["area_1000", "area_5000"], 2)
 
 
+@query(
+    "jn10_counts_per_subtype",
+    f"""{with_ctes('sites', 'edges')}, {_POLY_D}, z AS (SELECT site_id, d, w*w*3 AS area, zone_class FROM dist JOIN shapes USING (zone_id))
+SELECT site_id, {', '.join(f"count(*) FILTER (d<={r} AND zone_class={k}) AS count_{r}_{k}, {rnd(f'coalesce(sum(area) FILTER (d<={r} AND zone_class={k}),0)', 2)} AS area_{r}_{k}" for r in (1000, 5000) for k in range(4))} FROM z GROUP BY 1""",
+)
+def _(t):
+    areas = t.zone_shapes.select("zone_id", "zone_class").join(pg.measures(t.zone_edges, "zone_id"), "zone_id")
+    out = pg.counts_within(t.places.select("site_id", "x", "y"), t.zone_edges, [1000, 5000], "zone_id", areas, "zone_class", range(4))
+    out = out.drop("x", "y", *[f"{c}_{r}" for c in ("count", "area") for r in (1000, 5000)])
+    return rounded(out, [c for c in out.columns if c.startswith("area")], 2)
+
+
 def _clip_sql(r: float) -> str:
     """Disc-and-edge area by the chord parameters, for edges moved to the disc's centre."""
     return f"""m{r} AS (SELECT *, bx-ax AS ux, b_y-ay AS uy, (bx-ax)*(bx-ax)+(b_y-ay)*(b_y-ay) AS qa, ax*(bx-ax)+ay*(b_y-ay) AS qb, ax*ax+ay*ay-{r}e0*{r}e0 AS qc FROM local),
@@ -233,6 +247,36 @@ def _(t):
     return rounded(out.select("site_id", "corridor_m", "in_corridor"), ["corridor_m"], 3)
 
 
+_STRIPS = """lines AS (SELECT asset_id, CASE voltage WHEN '11kv' THEN 5e0 WHEN '33kv' THEN 20e0 WHEN '66kv' THEN 25e0 ELSE 30e0 END AS w, asset_id%2=1 AS up, x, y,
+ floor(x/100)*100 AS x0, floor(y/100)*100 AS y0, ((asset_id*31)%40+1)*100 AS len FROM assets),
+rects AS (SELECT site_id, floor(x/100)*100+50 AS cx, floor(y/100)*100+50 AS cy, 5e0+site_id%16 AS hx, 5e0+(site_id*7)%16 AS hy FROM sites),
+runs AS (SELECT site_id, up, greatest(cx-hx, x-w) AS a, least(cx+hx, x+w) AS b FROM rects JOIN lines ON up AND x+w>cx-hx AND x-w<cx+hx AND y0<cy AND y0+len>cy
+ UNION ALL SELECT site_id, up, greatest(cy-hy, y-w), least(cy+hy, y+w) FROM rects JOIN lines ON NOT up AND y+w>cy-hy AND y-w<cy+hy AND x0<cx AND x0+len>cx),
+joined AS (SELECT site_id, up, b-greatest(a, coalesce(max(b) OVER (PARTITION BY site_id, up ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a)) AS gain FROM runs),
+bands AS (SELECT site_id, coalesce(sum(greatest(0, gain)) FILTER (up), 0) AS across, coalesce(sum(greatest(0, gain)) FILTER (NOT up), 0) AS along FROM joined GROUP BY 1)"""
+
+
+@query(
+    "jn13_sterilised_area",
+    f"""{with_ctes('sites', 'assets')}, {_STRIPS} SELECT r.site_id, {rnd('4*hx*hy', 3)} AS area, {rnd('4*hx*hy-(2*hx-coalesce(across,0))*(2*hy-coalesce(along,0))', 3)} AS sterilised_m2,
+ {rnd('1-(1-coalesce(across,0)/(2*hx))*(1-coalesce(along,0)/(2*hy))', 6)} AS sterilised_share FROM rects r LEFT JOIN bands b ON b.site_id=r.site_id""",
+)
+def _(t):
+    """Rectangles of site land in the middle of 100 m tiles; lines run along one axis and end on tile borders, out of reach."""
+    from sitegauge.plans.bindings import explode_ring
+
+    tile = lambda c: F.floor(F.col(c) / 100) * 100.0
+    rects = t.places.select("site_id", (tile("x") + 50).alias("cx"), (tile("y") + 50).alias("cy"), (5.0 + F.col("site_id") % 16).alias("hx"), (5.0 + (F.col("site_id") * 7) % 16).alias("hy"))
+    cx, cy, hx, hy = (F.col(c) for c in ("cx", "cy", "hx", "hy"))
+    land = explode_ring(rects, [(cx - hx, cy - hy), (cx + hx, cy - hy), (cx + hx, cy + hy), (cx - hx, cy + hy)], ["site_id"])
+    up, length = F.col("asset_id") % 2 == 1, ((F.col("asset_id") * 31) % 40 + 1) * 100.0
+    axis = t.assets.select(
+        "voltage", F.when(up, F.col("x")).otherwise(tile("x")).alias("ax"), F.when(up, tile("y")).otherwise(F.col("y")).alias("ay"),
+        F.when(up, F.col("x")).otherwise(tile("x") + length).alias("bx"), F.when(up, tile("y") + length).otherwise(F.col("y")).alias("by"))
+    out = co.sterilised_area(land, axis, WIDTHS, "site_id", class_col="voltage")
+    return rounded(out, {"area": 3, "sterilised_m2": 3, "sterilised_share": 6})
+
+
 _P, _Q, _A, _B = ("px", "py"), ("qx", "qy"), ("ax", "ay"), ("bx", '"by"')
 _MEET = f"{sql_turn(_P, _Q, _A)}*{sql_turn(_P, _Q, _B)}<=0 AND {sql_turn(_A, _B, _P)}*{sql_turn(_A, _B, _Q)}<=0"
 
@@ -249,6 +293,43 @@ def _(t):
     return rounded(out, ["path_m"])
 
 
+_PATHS = f"""n AS (SELECT site_id, s.x AS px, s.y AS py, sub_id, b.x AS qx, b.y AS qy, {sql_distance('s', 'b')} AS d FROM sites s, subs b QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY {sql_distance('s', 'b')}, sub_id)=1)"""
+
+
+def _gap_sql() -> str:
+    """Distance of path (px, py)-(qx, qy) and line g: 0 where they meet, else the least of the four ends'."""
+    line = [sql_segment_distance(x, y, "g") for x, y in (_P, _Q)]
+    path = [sql_segment_distance(x, y, "w") for x, y in (("g.ax", "g.ay"), ("g.bx", 'g."by"'))]
+    return f"CASE WHEN greatest(g.ax,g.bx)>=least(px,qx) AND least(g.ax,g.bx)<=greatest(px,qx) AND greatest(g.ay,g.\"by\")>=least(py,qy) AND least(g.ay,g.\"by\")<=greatest(py,qy) AND {_MEET.replace('ax', 'g.ax').replace('ay', 'g.ay').replace('bx', 'g.bx').replace(chr(34) + 'by' + chr(34), 'g.' + chr(34) + 'by' + chr(34))} THEN 0e0 ELSE least({', '.join([*line, *path])}) END"
+
+
+@query(
+    "jn14_path_corridors",
+    f"""{with_ctes('sites', 'subs', 'segs')}, {_PATHS}, w AS (SELECT site_id, px, py, qx, qy, px AS ax, py AS ay, qx AS bx, qy AS "by" FROM n),
+m AS (SELECT site_id, voltage FROM w JOIN segs g ON greatest(g.ax,g.bx)+30>=least(px,qx) AND least(g.ax,g.bx)-30<=greatest(px,qx) AND greatest(g.ay,g."by")+30>=least(py,qy) AND least(g.ay,g."by")-30<=greatest(py,qy)
+ WHERE {_gap_sql()}<=CASE voltage WHEN '11kv' THEN 5 WHEN '33kv' THEN 20 WHEN '66kv' THEN 25 ELSE 30 END)
+SELECT n.site_id, count(voltage) AS corridors, """ + ", ".join(f"count(*) FILTER (voltage='{v}') AS corridors_{v}" for v in VOLTAGES) + " FROM n LEFT JOIN m ON m.site_id=n.site_id GROUP BY 1",
+)
+def _(t):
+    paths = cut_lineage(ln.connection_paths(t.places, t.substations, "site_id", id="sub_id"))
+    return ln.corridor_counts(paths, t.segments, WIDTHS, "site_id", class_col="voltage", id="line_id")
+
+
+@query(
+    "jn14_path_polygons",
+    f"""{with_ctes('sites', 'subs', 'edges')}, {_PATHS}, h AS (SELECT site_id, zone_id, zone_class, d, (bx-ax)*(py-ay)-("by"-ay)*(px-ax) AS c0, (bx-ax)*(qy-py)-("by"-ay)*(qx-px) AS c1 FROM n, edges),
+k AS (SELECT site_id, zone_id, zone_class, any_value(d) AS d, least(1e0, min(-c0/c1) FILTER (c1<0)) AS t1, greatest(0e0, max(-c0/c1) FILTER (c1>0)) AS t0, bool_or(c1=0 AND c0<0) AS out_ FROM h GROUP BY 1,2,3),
+m AS (SELECT site_id, zone_class, coalesce(t1,1)-coalesce(t0,0) AS share, d FROM k WHERE NOT out_ AND coalesce(t1,1)-coalesce(t0,0)>1e-9)
+SELECT n.site_id, count(m.share) AS polygons, {rnd('coalesce(sum(m.share*m.d),0)', 3)} AS inside_m, """
+    + ", ".join(f"count(m.share) FILTER (zone_class={k}) AS polygons_{k}, {rnd(f'coalesce(sum(m.share*m.d) FILTER (zone_class={k}),0)', 3)} AS inside_m_{k}" for k in range(4))
+    + " FROM n LEFT JOIN m ON m.site_id=n.site_id GROUP BY 1",
+)
+def _(t):
+    paths = cut_lineage(ln.connection_paths(t.places, t.substations, "site_id", id="sub_id"))
+    out = ln.crossed_polygons(paths, t.zone_edges, "site_id", id="zone_id", class_col="zone_class", classes=range(4))
+    return rounded(out, [c for c in out.columns if c.startswith("inside")], 3)
+
+
 @query(
     "jn16_polygon_coverage",
     """WITH z AS (SELECT CAST((s_suppkey*7919)%100000 AS DOUBLE) AS cx, CAST((s_suppkey*104729)%100000 AS DOUBLE) AS cy, CAST(1500+(s_suppkey*37)%4000 AS DOUBLE) AS w, s_suppkey AS zone_id FROM supplier),
@@ -296,6 +377,43 @@ def _(t):
     return out.drop("x", "y", "submission_date")
 
 
+_LAYERS = "l{k} AS (SELECT zone_id AS part, edge_no, ax, ay, bx, \"by\" FROM edges WHERE zone_id%7={k})"
+
+
+@query(
+    "jn17_nearest_restrictions",
+    f"""{with_ctes('sites', 'edges')}, access AS (SELECT * FROM edges WHERE zone_id%7 NOT IN (2,3)), {_LAYERS.format(k=2)}, {_LAYERS.format(k=3)},
+hit AS (SELECT s.site_id, e.zone_id FROM sites s JOIN access e ON true GROUP BY 1,2,s.x,s.y HAVING sum({sql_crosses('s.x', 's.y', 'e')})%2=1),
+near AS (SELECT s.site_id, e.zone_id, min({sql_segment_distance('s.x', 's.y', 'e')}) AS d FROM sites s, access e GROUP BY 1,2),
+best AS (SELECT n.site_id, min({{'d': CASE WHEN h.zone_id IS NOT NULL THEN 0e0 ELSE d END, 'id': n.zone_id}}) AS m FROM near n LEFT JOIN hit h ON h.site_id=n.site_id AND h.zone_id=n.zone_id GROUP BY 1),
+f2 AS (SELECT DISTINCT zone_id FROM ({sql_meeting('access', 'l2', 'true', 'p.zone_id, e.part')})), f3 AS (SELECT DISTINCT zone_id FROM ({sql_meeting('access', 'l3', 'true', 'p.zone_id, e.part')}))
+SELECT site_id, m.id AS zone_id, {rnd('m.d', 3)} AS distance, (f2.zone_id IS NOT NULL)::INT AS restricted, (f3.zone_id IS NOT NULL)::INT AS reserved FROM best LEFT JOIN f2 ON f2.zone_id=m.id LEFT JOIN f3 ON f3.zone_id=m.id""",
+)
+def _(t):
+    layer = lambda k: t.zone_edges.filter(F.col("zone_id") % 7 == k).withColumnRenamed("zone_id", "part")
+    access = t.zone_edges.filter(~(F.col("zone_id") % 7).isin(2, 3))
+    out = pg.nearest_with_restrictions(t.places.select("site_id", "x", "y"), access, "zone_id", {"restricted": layer(2), "reserved": layer(3)})
+    return rounded(out.select("site_id", "zone_id", "distance", "restricted", "reserved"), ["distance"], 3)
+
+
+@query(
+    "jn22_agreements_clipped",
+    f"""{with_ctes('sites', 'edges')}, {_LOCAL}, {_clip_sql(2000)}, {_clip_sql(5000)}, ag AS (SELECT l_suppkey AS zone_id, CAST(l_shipdate AS DATE) AS s, CAST(l_shipdate AS DATE)+90 AS e, CAST(round(l_extendedprice*100) AS BIGINT) AS v, l_returnflag AS tier FROM lineitem),
+j AS (SELECT d.site_id, d.d, a.v, a.tier, c.clip AS clip_2000, b.clip AS clip_5000 FROM dist d JOIN sites t ON t.site_id=d.site_id JOIN ag a ON a.zone_id=d.zone_id AND a.s<=t.submission_date AND a.e>t.submission_date
+ JOIN a2000 c ON c.site_id=d.site_id AND c.zone_id=d.zone_id JOIN a5000 b ON b.site_id=d.site_id AND b.zone_id=d.zone_id WHERE d.d<=5000)
+SELECT s.site_id, coalesce(max((d=0)::INT),0) AS on_site, CAST(coalesce(sum(v) FILTER (d=0),0) AS BIGINT) AS value_on_site, max(tier) FILTER (d=0) AS highest_tier, """
+    + ", ".join(f"count(j.d) FILTER (d<={r}) AS count_{r}, {rnd(f'coalesce(sum(clip_{r}) FILTER (d<={r}),0)', 0)} AS area_{r}, {rnd(f'coalesce(sum(clip_{r}) FILTER (d<={r}),0)/(pi()*{r}*{r})', 6)} AS density_{r}, {rnd(f'avg(v) FILTER (d<={r})', 3)} AS mean_value_{r}, "
+                + ", ".join(f"count(j.d) FILTER (d<={r} AND tier='{k}') AS count_{r}_{k}" for k in "ANR") for r in (2000, 5000))
+    + " FROM sites s LEFT JOIN j ON j.site_id=s.site_id GROUP BY s.site_id",
+)
+def _(t):
+    pence = t.agreements.withColumn("value", F.round(F.col("value") * 100).cast("long"))
+    out = pg.active_agreements(t.places.select("site_id", "x", "y", "submission_date"), t.zone_edges, [2000, 5000], "zone_id", pence,
+                               date="submission_date", start="start_date", end="end_date", value="value", tier="tier", tiers=("A", "N", "R"))
+    out = out.drop("x", "y", "submission_date")
+    return rounded(out, {c: 0 if c.startswith("area") else 6 if c.startswith("density") else 3 for c in out.columns if c.startswith(("area", "density", "mean"))})
+
+
 @query(
     "jn23_year_window_knn",
     f"""{with_ctes('sites', 'assets')}, c AS (SELECT site_id, rating, {sql_distance('s', 'a')} AS d, asset_id FROM sites s JOIN assets a ON a.publication_year BETWEEN year(s.submission_date) AND year(s.submission_date)+3),
@@ -307,6 +425,15 @@ def _(t):
     return rounded(out, {"rating_mean": 3, "furthest_m": 4})
 
 
+@query(
+    "jn23_count_among_nearest",
+    f"""{with_ctes('sites', 'assets')}, r AS (SELECT site_id, submission_date, publication_year FROM sites s, assets a QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY {sql_distance('s', 'a')}, asset_id)<=50)
+SELECT site_id, count(*) AS n, count(*) FILTER (publication_year>=year(submission_date) AND publication_year<year(submission_date)+5) AS n_in_years FROM r GROUP BY 1""",
+)
+def _(t):
+    return nr.count_in_years(t.places, t.assets, 50, 5, date="submission_date", item_year="publication_year", site="site_id", id="asset_id")
+
+
 @query(
     "jn24_knn_before",
     f"""{with_ctes('sites')}, d AS (SELECT a.site_id, b.granted, b.tech, b.site_id AS pid, {sql_distance('a', 'b')} AS d FROM sites a JOIN sites b ON b.submission_date+CAST(b.duration_days AS INTEGER)<a.submission_date),
@@ -399,6 +526,19 @@ def _(t):
     return pg.measures(t.zone_edges, "zone_id").select("zone_id", num("area", 2), num("perimeter", 3), num("centroid_x", 3), num("centroid_y", 3))
 
 
+@query(
+    "sc13_ray_to_edge",
+    f"""{with_ctes('edges')}, e AS (SELECT e.zone_id, cx AS x, cy AS y, sin(radians((e.zone_id*37)%360+0.5)) AS dx, cos(radians((e.zone_id*37)%360+0.5)) AS dy, ax, ay, bx, "by" AS b_y FROM edges e JOIN shapes s ON s.zone_id=e.zone_id),
+r AS (SELECT zone_id, ((ax-x)*(b_y-ay)-(ay-y)*(bx-ax))/(dx*(b_y-ay)-dy*(bx-ax)) AS t, ((ax-x)*dy-(ay-y)*dx)/(dx*(b_y-ay)-dy*(bx-ax)) AS s FROM e)
+SELECT zone_id, {rnd('min(t)')} AS exit_m FROM r WHERE t>=0 AND s BETWEEN 0 AND 1 GROUP BY 1""",
+)
+def _(t):
+    """How far a ray from each zone's centre runs inside the zone."""
+    e = t.zone_edges.join(t.zone_shapes.select("zone_id", "cx", "cy"), "zone_id")
+    reach = geo.ray_segment_distance(F.col("cx"), F.col("cy"), (F.col("zone_id") * 37) % 360 + 0.5, *[F.col(c) for c in ln.ENDS])
+    return rounded(e.groupBy("zone_id").agg(F.min(reach).alias("exit_m")), ["exit_m"])
+
+
 @query(
     "prj16_repair_geometry",
     f"""{with_ctes('edges')} SELECT zone_id, count(*) AS edges FROM edges WHERE zone_id%5<>1 GROUP BY 1""",
