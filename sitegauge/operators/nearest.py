@@ -180,7 +180,7 @@ def nearest_per_class(
     )
     found = nearest(asked, items.filter(F.col(class_col).isin(list(classes))), id=id, by=[class_col], **options)
     wide = found.groupBy(site).pivot(class_col, list(classes)).agg(F.min("distance"))
-    wide = wide.withColumnsRenamed({c: f"{c}_m" for c in classes})
+    wide = wide.withColumnsRenamed({str(c): f"{c}_m" for c in classes})
     return queries.join(wide, site, "left")
 
 

@@ -119,13 +119,13 @@ CASCADE = {"cohorts": COHORTS, "band": "band", "bands": ["small", "mid", "large"
 
 
 def cascade(t):
-    train, validation, test = split(matrix(t))
-    return ch.cascade(train.unionByName(validation), test, FEATURES, "days", "lpa", **CASCADE)
+    train, validation, test = split(matrix(t).withColumn("family", F.col("site_id") % 60))
+    return ch.cascade(train.unionByName(validation), test, FEATURES, "days", "family", **CASCADE)
 
 
 @query("ml07_gated_cascade", None)
 def _(t):
-    return cascade(t).select("site_id", "lpa", "fold", "days", "base", "head_north", "head_large", "risk", "expert", "arbiter", "stratified", "corrector", "prediction")
+    return cascade(t).select("site_id", "lpa", "family", "fold", "days", "base", "head_north", "head_large", "risk", "expert", "arbiter", "stratified", "corrector", "prediction")
 
 
 @query("ml08_stratified_models", None)

@@ -63,9 +63,11 @@ def cascade_holds(rows):
     whole = {}
     for r in rows:
         if r["fold"] >= 0:
-            whole.setdefault(r["lpa"], set()).add(r["fold"])
-    error = lambda c: mean(abs(r[c] - r["days"]) for r in scored)
-    return sums and gated and all(len(f) == 1 for f in whole.values()) and between(rows, "risk", 0, 1) and error("prediction") < error("base")
+            whole.setdefault(r["family"], set()).add(r["fold"])
+    error = lambda c, some: mean((r[c] - r["days"]) ** 2 for r in some)
+    known = [r for r in rows if r["fold"] >= 0]
+    below = error("prediction", known) < error("base", known) and error("prediction", scored) < 1.05 * error("base", scored)
+    return sums and gated and all(len(f) == 1 for f in whole.values()) and between(rows, "risk", 0, 1) and below
 
 
 def surrogate_holds(rows):
