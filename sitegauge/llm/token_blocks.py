@@ -59,7 +59,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this tokenizer don't fit into 16 bits")
+        #: Strings that the library reads as one token wherever they stand: such a text is encoded whole.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}  # of pieces that stand behind a space, without it
         self.size, self.missed = size, 0  # missed since it is full
         self.unsafe, self.cut = re.compile(r" (?=\s)"), re.compile(r"(?= \S)")
@@ -107,6 +110,8 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str]:
         """The text up to its first cut, then what stands behind the space of each cut."""
+        if any(t in text for t in self.special):
+            return [text]
         if self.unsafe.search(text):
             head, *rest = self.cut.split(text)
             return [head, *(p[1:] for p in rest)]
