@@ -5,11 +5,13 @@ source's place in code-point order, shared out of ``SHARE`` of all sizes, and he
 the excess going to the other sources by weight until no source is above.
 
 Every document of a source is taken ``budget // size of source`` times. For what is left, documents are
-counted by exact length. Of each length the proportional number is taken; the remaining budget, which is
-below the sum of the distinct lengths, is filled from the longest length down while it is far above
-``WINDOW`` words, and the rest is fitted by a bounded-knapsack dynamic program over (length, count), which
-hits it exactly wherever a subset of documents does. Of the documents of one length, the first by a
-seeded hash of the id are taken, so reruns agree.
+counted by exact length. Of a large budget the proportional number of each length is taken, ``HELD`` windows
+of words short of it; what then still is above ``MOST_WINDOWS`` windows is filled from the longest length down.
+The rest is fitted by a bounded-knapsack dynamic program over (length, count): reachable sums are kept
+exactly, one a cell of ``rest // WINDOW + 1`` words, the greatest where several fall into one. Below ``WINDOW``
+words every sum has its own cell, and the budget is hit exactly wherever a subset of documents does; above,
+a better sum is missed only where it shares its cell. Of the documents of one length, the first by a seeded
+hash of the id are taken, so reruns agree.
 
 Sizes of work: a source's task sees one row per distinct length. Documents of one length are cut by hash
 into buckets of about ``BUCKET`` rows; only counts of buckets are ordered per length, and only rows within a
@@ -31,7 +33,7 @@ from sitegauge.llm.common import stored
 
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 WINDOW, BUCKET, SEED = 1 << 16, 1024, 20240607
-CLASSES = 4096
+HELD, MOST_WINDOWS, PARTS = 4, 16, 4096
 
 
 def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -51,53 +53,63 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, most:
     return out
 
 
-def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW, classes: int = CLASSES) -> np.ndarray:
+def subset(words: list[int], budget: int, window: int = WINDOW) -> list[int]:
+    """Which of the items (by their words) sum up to the most that ``budget`` allows, as far as cells tell sums apart."""
+    unit = budget // window + 1
+    best = np.full(budget // unit + 1, -1, np.int64)
+    best[0], past = 0, []
+    for w in words:
+        held = np.flatnonzero(best >= 0)
+        sums = best[held] + w
+        held, sums = held[sums <= budget], sums[sums <= budget]
+        cells = sums // unit
+        # Sums ascend, so of those in one cell the last is the greatest.
+        better = np.append(cells[1:] != cells[:-1], np.ones(min(1, len(cells)), bool)) & (sums > best[cells])
+        cells, sums, held = cells[better], sums[better], held[better]
+        past.append((cells, best[cells], held))
+        best[cells] = sums
+        if best[-1] == budget:
+            break
+    cell, chosen = int(best.argmax()), []
+    for k in range(len(past) - 1, -1, -1):
+        cells, before, held = past[k]
+        at = int(np.searchsorted(cells, cell))
+        best[cells] = before
+        if at < len(cells) and cells[at] == cell:
+            chosen.append(k)
+            cell = int(held[at])
+    return chosen
+
+
+def fitted(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW, parts: int = PARTS) -> np.ndarray:
     """How many documents of each length to take so that their words come as near to ``budget`` from below as can be.
 
-    Lengths are distinct and positive. The dynamic program works on at most ``window`` words and the
-    ``classes`` shortest lengths that fit into them.
+    Lengths are distinct and positive. Each count is cut into powers of two; where these are more than ``parts``,
+    half of the program's items are the shortest ones that are left and half the longest.
     """
     taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken += (counts * (budget / max(total, 1))).astype(np.int64)
+    taken += (counts * (max(0, budget - HELD * window) / max(total, 1))).astype(np.int64)
     rest = budget - int((taken * lengths).sum())
-    order = np.argsort(-lengths, kind="stable")
-    for k in order:  # longest first, down to the window
-        if rest <= window:
-            break
-        more = min(int(counts[k] - taken[k]), max(0, rest - window // 2) // int(lengths[k]))
-        taken[k] += more
-        rest -= more * int(lengths[k])
-    for k in order:  # nothing short is left: take whole documents as they fit
-        if rest <= window:
+    for k in np.argsort(-lengths, kind="stable"):
+        if rest <= MOST_WINDOWS * window:
             break
-        more = min(int(counts[k] - taken[k]), rest // int(lengths[k]))
+        more = min(int(counts[k] - taken[k]), (rest - MOST_WINDOWS * window // 2) // int(lengths[k]))
         taken[k] += more
         rest -= more * int(lengths[k])
-    # Bounded knapsack: bit w of `reach` says that w words can be taken; each count is cut into powers of two.
-    cap = min(rest, window)
     items = []
-    for k in order[::-1]:
-        if lengths[k] > cap or len(items) >= classes:
-            break
-        left, part = min(int(counts[k] - taken[k]), cap // int(lengths[k])), 1
+    for k in np.argsort(lengths, kind="stable"):
+        left, part = min(int(counts[k] - taken[k]), rest // int(lengths[k])), 1
         while left > 0:
             part = min(part, left)
-            items.append((k, part, part * int(lengths[k])))
+            items.append((k, part))
             left, part = left - part, part * 2
-    reach, steps, mask = 1, [], (1 << (cap + 1)) - 1
-    for _, _, words in items:
-        steps.append(reach)
-        reach |= (reach << words) & mask
-        if reach >> cap & 1:
-            break
-    best = reach.bit_length() - 1
-    for (k, part, words), before in zip(reversed(items[: len(steps)]), reversed(steps), strict=True):
-        if not before >> best & 1:
-            taken[k] += part
-            best -= words
+    items = items if len(items) <= parts else [*items[: parts // 2], *items[-(parts // 2) :]]
+    items.reverse()  # long ones first: the short ones fill what they leave
+    for i in subset([part * int(lengths[k]) for k, part in items], rest, window):
+        taken[items[i][0]] += items[i][1]
     return taken
 
 
@@ -150,15 +162,15 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """
     plans = plan(docs, seed)
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    keys = plans.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("sum"), F.count("*").alias("n"))
+    keys = plans.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__sum"), F.count("*").alias("__n"))
     keys = stored(keys.withColumnsRenamed({"doc_id": "__id", "source": "__source", "size": "__size"}), "copies")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
     rows = docs.withColumn("__words", size).join(keys, same)
     # Equal keys: the k-th row takes the whole share and one more while there is a rest.
-    if keys.where("n > 1").isEmpty():
-        share = F.col("sum")
+    if keys.where("__n > 1").isEmpty():
+        share = F.col("__sum")
     else:
         nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("text")))
-        share = F.floor(F.col("sum") / F.col("n")) + (nth <= F.col("sum") % F.col("n")).cast("long")
+        share = F.floor(F.col("__sum") / F.col("__n")) + (nth <= F.col("__sum") % F.col("__n")).cast("long")
     rows = rows.withColumn("__share", share).where("__share > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__share").cast("long")))).select(*docs.columns)
