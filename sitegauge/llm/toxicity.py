@@ -3,8 +3,10 @@
 Features are the n-grams (2 to 5 characters) present in the whole text, hashed to ``SLOTS``. Presence counts
 by label cover every labelled training row; they give each slot its log-count ratio. All slots that differ between
 the labels (chi-squared above ``LEAST_CHI2``) are kept, and a logistic regression on ratio-scaled presence is fitted on a
-sample of about ``FIT_ROWS`` training rows, drawn by a hash of the id. Its gradients are summed over Spark's
-partitions; rows never come to the driver.
+sample of about ``FIT_ROWS`` training rows, drawn by a hash of the id: all rows of the rarer label up to half of
+that, the rest of the other; the fitted bias is set back to the shares of all training rows. The ridge is the one of
+``RIDGES`` with the least log loss on a quarter of the sample that the others are fitted without. Gradients are
+summed over Spark's partitions; rows never come to the driver.
 
 Defined results. Null or empty text has no n-grams and scores the intercept. Null labels teach nothing, a
 label repeated for one id counts each time. Without training rows of both labels every score is the share
@@ -26,7 +28,7 @@ from sitegauge.llm.common import fold, pieces, small_batches, stored, utf8
 from sitegauge.llm.grams import characters, present
 
 SIZES, SLOTS = (2, 3, 4, 5), 1 << 18
-FIT_ROWS, RIDGE, STEPS = 12_000, 1e-4, 30
+FIT_ROWS, RIDGES, STEPS = 12_000, (1e-5, 1e-4, 1e-3), 30
 #: Partitions of the fitting sample: each sends one gradient to the driver.
 PARTS = 12
 #: Slots whose presence differs less between the labels, as a chi-squared value, are noise.
@@ -71,7 +73,7 @@ def _rows_of_features(feature: np.ndarray):
             owner, slot = present(*characters(*utf8(b.column("text"))), SIZES, SLOTS, feature)
             at = np.searchsorted(owner, np.arange(b.num_rows + 1))
             packed = [slot[x:y].astype(np.uint32).tobytes() for x, y in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic").cast(pa.int64()), "features": pa.array(packed, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"toxic": b.column("toxic").cast(pa.int64()), "apart": b.column("apart"), "features": pa.array(packed, pa.binary())})
 
     return run
 
@@ -93,17 +95,23 @@ def _sums_of_rows(size: int, shared):
     return run
 
 
-def _logistic(rows: DataFrame, n: int, scale: np.ndarray, start: float) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge over (toxic, features), by limited-memory BFGS; a Spark job sums each gradient."""
+def _loss(rows: DataFrame, scale: np.ndarray, point: np.ndarray) -> tuple[float, np.ndarray]:
+    """Summed log loss of (toxic, features) and its gradient; a Spark job sums them."""
+    shared = rows.sparkSession.sparkContext.broadcast((scale * point[:-1], float(point[-1])))
+    loss, by = 0.0, np.zeros(len(point))
+    for r in rows.mapInArrow(_sums_of_rows(len(scale), shared), "loss double, by_bias double, by_feature binary").collect():
+        loss, by = loss + r.loss, by + np.append(scale * np.frombuffer(r.by_feature), r.by_bias)
+    shared.unpersist()
+    return loss, by
+
+
+def _logistic(rows: DataFrame, n: int, scale: np.ndarray, start: float, ridge: float) -> np.ndarray:
+    """Logistic regression with a ridge over (toxic, features), by limited-memory BFGS: weights and bias."""
 
     def at(point: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = rows.sparkSession.sparkContext.broadcast((scale * point[:-1], float(point[-1])))
-        loss, by = 0.0, np.zeros(len(point))
-        for r in rows.mapInArrow(_sums_of_rows(len(scale), shared), "loss double, by_bias double, by_feature binary").collect():
-            loss, by = loss + r.loss, by + np.append(scale * np.frombuffer(r.by_feature), r.by_bias)
-        shared.unpersist()
+        loss, by = _loss(rows, scale, point)
         w = np.append(point[:-1], 0.0)
-        return loss / n + RIDGE / 2 * float(w @ w), by / n + RIDGE * w
+        return loss / n + ridge / 2 * float(w @ w), by / n + ridge * w
 
     point, past = np.append(np.zeros(len(scale)), start), []
     value, slope = at(point)
@@ -125,7 +133,7 @@ def _logistic(rows: DataFrame, n: int, scale: np.ndarray, start: float) -> tuple
         point, (value, slope) = point + s, there
         if gain < 1e-4 * value or value < 1e-3:
             break
-    return point[:-1], float(point[-1])
+    return point
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
@@ -151,16 +159,27 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classif
     best = np.flatnonzero(use > LEAST_CHI2)
     feature = np.full(SLOTS, -1)
     feature[best] = np.arange(len(best))
-    part = min(1.0, fit_rows / total)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "text")  # about fit_rows rows
-    got = sample.mapInArrow(_rows_of_features(feature), "toxic bigint, features binary")
+    # Up to half of the sample for the rarer label, what is left for the other.
+    rare = min(n, key=lambda k: (n[k], k))
+    quota = {rare: min(n[rare], fit_rows // 2)}
+    quota[1 - rare] = fit_rows - quota[rare]
+    part = F.when(F.col("toxic") == rare, min(1.0, quota[rare] / n[rare])).otherwise(min(1.0, quota[1 - rare] / n[1 - rare]))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < part * (1 << 30))
+    drawn = drawn.withColumn("apart", F.pmod(F.xxhash64(F.lit("apart"), "doc_id"), F.lit(4)) == 0)
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("toxic", "apart", "text")  # about fit_rows rows
+    got = sample.mapInArrow(_rows_of_features(feature), "toxic bigint, apart boolean, features binary")
     got = stored(got.repartition(PARTS).sortWithinPartitions("toxic", "features"), "features")
-    drawn_n = {r.toxic: r["count"] for r in got.groupBy("toxic").count().collect()}
-    if len(drawn_n) < 2 or not len(best):
+    held = {(r.toxic, r.apart): r["count"] for r in got.groupBy("toxic", "apart").count().collect()}
+    drawn_n = {k: held.get((k, False), 0) + held.get((k, True), 0) for k in (0, 1)}
+    if not all(drawn_n.values()) or not len(best):
         return Classifier(feature, ratio[best], float(np.log(n[1] / n[0])))
-    w, bias = _logistic(got, sum(drawn_n.values()), ratio[best], float(np.log(drawn_n[1] / drawn_n[0])))
-    return Classifier(feature, ratio[best] * w, bias)
+    start, ridge = float(np.log(drawn_n[1] / drawn_n[0])), RIDGES[len(RIDGES) // 2]
+    if all(held.get((k, a), 0) for k in (0, 1) for a in (False, True)):
+        inner, apart = (got.where(F.col("apart") == a).select("toxic", "features") for a in (False, True))
+        loss = {r: _loss(apart, ratio[best], _logistic(inner, held[0, False] + held[1, False], ratio[best], start, r))[0] for r in RIDGES}
+        ridge = min(RIDGES, key=lambda r: (loss[r], -r))
+    point = _logistic(got.select("toxic", "features"), sum(drawn_n.values()), ratio[best], start, ridge)
+    return Classifier(feature, ratio[best] * point[:-1], float(point[-1]) + float(np.log(n[1] / n[0])) - start)
 
 
 def scored(docs: DataFrame, model: Classifier, columns: list[str]) -> DataFrame:
