@@ -2,8 +2,8 @@
 
 Writing. A page is a ``response`` record (HTTP head and payload) or, where an equal payload of at least
 ``LEAST`` bytes has a smaller page_id, a ``revisit`` record that refers to that page. Files are written by
-Spark's text writer, so they appear only when a task commits. A file has so many records that it stays near
-``FILE_BYTES`` even if all payloads and URLs were as long as the longest.
+Spark's text writer, so they appear only when a task commits. Long pages are written apart, by ``LONG``: a file has
+so many records that it stays near ``FILE_BYTES`` even if all of its class were as long as the longest of it.
 
 Reading. Payloads may hold the magic of a record. Each task lists, for every magic in its files, the offset of
 the record and of its successor, where header, length and closing blank lines agree. From offset 0 of
@@ -19,6 +19,7 @@ with that payload has one. Line ends in a URL become spaces. An empty table give
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from sitegauge.llm.common import small_batches, stored
 
 LEAST = 100
+#: Bytes of payload and URL up to which pages share files; a longer page than the last has a file to itself.
+LONG = (1 << 18, 1 << 23)
 FILE_BYTES, MOST_RECORDS = 1 << 26, 4096
 SMALL_JOIN = 100_000
 DATE = "2024-01-01T00:00:00Z"
@@ -42,7 +45,9 @@ def write(pages: DataFrame, path: str) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.regexp_replace("url", r"[\r\n]+", " "), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html")})
     slim = stored(rows.select("page_id", "digest", "size", F.octet_length("url").alias("url_size")), "payloads")
-    longest = slim.agg(F.max(F.col("size") + F.col("url_size"))).first()[0] or 0
+    of_page = F.col("size") + F.col("url_size")
+    classes = [F.max(F.when((of_page > lo) & (of_page <= hi), of_page)) for lo, hi in itertools.pairwise((-1, *LONG, 1 << 40))]
+    longest = slim.agg(*classes).first()
     first = slim.where(F.col("size") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     refs = slim.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("refers_to").isNotNull())
     refs = stored(refs.select(F.col("page_id").alias("ref_id"), F.col("digest").alias("ref_digest"), "refers_to").distinct(), "references")
@@ -59,8 +64,12 @@ def write(pages: DataFrame, path: str) -> None:
         F.when(is_ref, F.concat(line("WARC-Refers-To: <urn:page:", name("refers_to"), ">"), line("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(""),
         line("Content-Type: application/http; msgtype=response"), line("Content-Length: ", F.octet_length(block).cast("string")), line(""), block, F.lit("\r\n\r"),
     )  # the writer adds the last line feed
-    records = max(1, min(MOST_RECORDS, FILE_BYTES // (longest + 1024)))
-    rows.select(record.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
+    bytes_ = F.col("size") + F.octet_length("url")
+    for most, lo, hi in zip(longest, (-1, *LONG), (*LONG, 1 << 40), strict=True):
+        if most is not None or lo < 0:  # the first class is written even if empty, so there is a folder
+            records = max(1, min(MOST_RECORDS, FILE_BYTES // ((most or 0) + 1024)))
+            some = rows.where((bytes_ > lo) & (bytes_ <= hi)) if longest[1] is not None or longest[2] is not None else rows
+            some.select(record.alias("value")).write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
 
 
 def _number(text: str | None) -> int | None:
