@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from sitegauge.session import shared_scratch
 
 ROWS_PER_BATCH = 256
+#: Lets shuffle files go when the execution that wrote them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +28,29 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What was shuffled for the table goes once it is written.
+    """
     spark = df.sparkSession
-    path = f"{shared_scratch(spark)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = f"{shared_scratch(spark)}/{name}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once all that is made of them has been written; their frames can't be read again."""
+    for t in tables:
+        hadoop = t.sparkSession._jvm.org.apache.hadoop.fs
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path = hadoop.Path(folder)
+            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold(key: str, folds: int) -> Column:
     """Remainder of the crc32 of a key written as text; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
