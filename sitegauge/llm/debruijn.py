@@ -197,7 +197,7 @@ def repeated(rows: DataFrame, unique: bool) -> tuple[DataFrame, DataFrame, DataF
     by_unit = stored(own.withColumnsRenamed({"lo": "doc", "hi": "last"}), "by-unit")
     mixed = by_unit.groupBy("seed").agg((F.min("unit") == F.max("unit")).alias("whole"))
     # A seed has many units only where its words stand in many contexts; one row a seed on the other side.
-    own = stored(by_unit.join(mixed, "seed").withColumn("id", F.monotonically_increasing_id()), "distinct")
+    own = stored(by_unit.join(mixed.hint("shuffle_hash"), "seed").withColumn("id", F.monotonically_increasing_id()), "distinct")
     discard(by_unit, seeds)
     opened = _asked(rows.select(*_PLACE, "text"), own.select(*_PLACE, "start", "windows", "id", "whole"), "wanted").select("text", "wanted")
     opened = stored(opened.mapInArrow(_opened, "id long, whole boolean, node long, next long, nodes array<long>, digest binary"), "opened")
@@ -274,7 +274,7 @@ def runs(rows: DataFrame, unique: bool) -> DataFrame:
     known = distinct.select("id", "seed", "unit", "digest").join(per_whole.unionByName(per_part), "id")
     known = stored(known.drop("id"), "unit-runs")
     discard(distinct, parts, edges, paths)
-    met = every.join(known, ["seed", "unit"])
+    met = every.join(known.hint("shuffle_hash"), ["seed", "unit"])
     met = met.withColumn("found", F.filter("found", lambda r: r["at"]["source_doc"] < F.col("doc")))
     return met.where(F.size("found") > 0).select(*_PLACE, "start", "windows", "digest", "found")
 
