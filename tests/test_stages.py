@@ -183,3 +183,17 @@ def test_styles_and_collections(spark):
     writers.write_collections(many, path, "id", line, ["id", "name"], per_file=6)
     back = readers.read_geojson(spark, path)
     assert back.count() == 25 and back.filter("properties['name'] = 'a\"b'").count() == 25 and readers.geojson_segments(back).count() == 50
+
+
+def test_equal_scenarios_beyond_the_threshold(spark):
+    """Of equally long scenarios the largest is told, whichever way the rows come, and its own drivers with it."""
+    from sitegauge.operators import dossier as ds
+
+    rows = [(1, float(c), 400.0, f"d{c}") for c in (5, 50, 20, 1)] + [(2, 5.0, 200.0, "d5"), (2, 50.0, 400.0, "d50"), (3, 5.0, 310.0, "d5"), (3, 50.0, 400.0, "d50")]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "site_id long, cap double, days double, why string").repartition(3)
+        df = df.selectExpr("*", "0D AS lon", "0D AS lat", "days - 1 AS p10", "days + 1 AS p90", "0.2D AS p_over")
+        told = ds.assemble(df, "site_id", "cap", "days", lon="lon", lat="lat", p10="p10", p90="p90", regimes=["p_over"], drivers="why")
+        got = {r["site_id"]: (r["headline"]["optimal_capacity_mw"], r["drivers"]) for r in told.collect()}
+        assert got == {1: (50.0, "d50"), 2: (5.0, "d5"), 3: (5.0, "d5")}
+        assert df.groupBy("site_id").agg(F.max_by("why", ds.preference("cap", "days"))).count() == 3
