@@ -137,9 +137,9 @@ FROM p LEFT JOIN f USING (d)
 
 @query
 def op7_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store all texts as telephony audio, read the stored bytes back and describe them."""
+    """Store all texts as telephony audio, read the stored bytes back and describe them; with the resampled PCM of each."""
     media = stored(telephony.stored_media(table(spark, sf_dir, "documents")), "media")
-    return telephony.decoded(media, keep_pcm=False)
+    return telephony.decoded(media)
 
 
 @query

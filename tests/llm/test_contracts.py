@@ -117,3 +117,33 @@ def test_one_long_page_does_not_split_the_others(spark):
     assert spark.read.format("binaryFile").load(path).select("path").distinct().count() <= 8
     back = {r.page_id: r.payload_bytes for r in warc.read(spark, path).collect()}
     assert len(back) == 3000 and back[7] == 70_000_000 and back[8] == 400_000 and back[9] == 6
+
+
+def test_pcm_of_telephony_sample_by_sample(spark):
+    """Features and resampled PCM of op7's rows, recomputed from the stored file one sample at a time."""
+    import zlib
+
+    from sitegauge.llm import telephony
+
+    texts = [None, "", "a", "é" * 500, "The quick brown fox. " * 40, *[f"{k} word" * (k % 9 + 1) for k in range(12)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    media = telephony.stored_media(docs)
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.collect()}
+    seen = set()
+    for row in telephony.decoded(media).collect():
+        codec, payload = telephony.parsed(files[row["doc_id"]])
+        seen.add(codec)
+        if codec == telephony.ADPCM:
+            pcm = [int(v) for block in payload.reshape(-1, telephony.UNIT) for v in telephony.adpcm(block[None])[0]]
+        else:
+            pcm = [int(telephony.TABLES[codec][byte]) for byte in payload]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+        assert row["feature"].split(":")[1:] == [str(v) for v in (len(pcm), sum(v * v for v in pcm) // len(pcm), max(map(abs, pcm)), sum(map(abs, pcm)) // len(pcm), turns)]
+        at = lambda k: pcm[min(max(k, 0), len(pcm) - 1)]  # noqa: B023, E731
+        wide = []
+        for k, v in enumerate(pcm):
+            between = (150 * (at(k) + at(k + 1)) - 25 * (at(k - 1) + at(k + 2)) + 3 * (at(k - 2) + at(k + 3)) + 128) >> 8
+            wide += [v, min(max(between, -32768), 32767)]
+        stored = b"".join(v.to_bytes(2, "little", signed=True) for v in wide)
+        assert bytes(row["pcm"]) == stored and row["pcm_samples"] == len(wide) and row["pcm_crc32"] == zlib.crc32(stored)
+    assert seen == set(telephony.NAMES)
