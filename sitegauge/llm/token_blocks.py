@@ -18,7 +18,8 @@ ids, so a document's start is the ids in files before plus those before it in it
 follows the bytes of all texts, ``FILE_BYTES`` of text a file, so files stay small whatever the input.
 
 Defined results. A null or empty text has the end id alone. Rows repeated are written as often as they come.
-An empty table gives no rows. Special tokens' strings in a text are ordinary text.
+An empty table gives no rows. Special tokens' strings in a text become the special tokens, as the library reads
+them with add_special_tokens=False.
 """
 
 from __future__ import annotations
