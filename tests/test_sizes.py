@@ -1,9 +1,11 @@
 """Frames whose files say little about their size: what is broadcast, and what is paired once a place."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sitegauge.operators import corridors as co
+from sitegauge.operators import feature_space as sp
 from sitegauge.operators import joins as jn
 from sitegauge.operators import lines as ln
 from sitegauge.operators import polygons as pg
@@ -124,3 +126,32 @@ def test_capsule_pieces_are_cut_once(spark, monkeypatch):
     out = co.sterilised_area(land, lines, {"a": 2.0}, "id", class_col="kind").first()
     assert out["sterilised_m2"] == pytest.approx(36.0)
     assert sum({"cap", "s", "e"} <= c for c in written) == 2
+
+
+def test_queries_are_sent_to_blocks_in_bounded_batches(monkeypatch):
+    """Every (row, part) goes once to each block of the part, few at a time."""
+    monkeypatch.setattr(sp, "SENT_ROWS", 7)
+    blocks = np.array([3, 1, 2])
+    row, part = np.array([0, 0, 0, 1, 2, 2]), np.array([0, 1, 2, 2, 0, 2])
+    sent = list(sp._sent(row, part, blocks))
+    assert max(len(r) for r, _, _ in sent) <= 7
+    got = [t for r, p, b in sent for t in zip(r.tolist(), p.tolist(), b.tolist(), strict=True)]
+    assert got == [(r, p, b) for r, p in zip(row.tolist(), part.tolist(), strict=True) for b in range(blocks[p])]
+    assert not list(sp._sent(row[:0], part[:0], blocks))
+
+
+def test_feature_space_search_over_many_groups(spark, monkeypatch):
+    """Blocks and groups of a few rows only, queries crowded in one part: still the exact neighbours."""
+    for name, value in (("BLOCK", 16), ("PART_ROWS", 32), ("SENT_ROWS", 50)):
+        monkeypatch.setattr(sp, name, value)
+    rng = np.random.default_rng(3)
+    z = np.concatenate([rng.normal(size=(200, 4)) * 0.05, rng.normal(size=(100, 4)) * 3])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "id long, z array<double>")
+    found = sp.knn(df, df, 5, query_id="id", item_id="id").collect()
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = np.argsort(d, axis=1, kind="stable")[:, :5]
+    got = {}
+    for r in sorted(found, key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append(r["neighbour_id"])
+    assert got == {i: w.tolist() for i, w in enumerate(want)}
