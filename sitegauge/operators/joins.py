@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 100_000
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:

@@ -210,10 +210,17 @@ def inverse_distance(value: Column, distance: Column, power: int = 2, floor: flo
 
 def knn_in_years(sites: DataFrame, items: DataFrame, k: int, *, years: Sequence[int], date: str, item_year: str,
                  site: str, id: str, attrs: Sequence[str] = ()) -> DataFrame:
-    """k nearest among items dated year(date) + one of ``years``: searched per year, then merged."""
-    asked = sites.select(site, "x", "y", F.explode(F.array(*[F.year(date) + y for y in years])).alias(item_year))
+    """k nearest among items dated year(date) + one of ``years``: searched per year, then merged.
+
+    Years are merged once a place and year; the sites that share them meet k items, not k a year.
+    """
+    dated = sites.select(site, "x", "y", F.year(date).alias("_year"))
+    asked = dated.select("x", "y", "_year").distinct().withColumn(item_year, F.explode(F.array(*[F.col("_year") + y for y in years])))
     items = items.withColumn(item_year, F.col(item_year).cast("int"))
     found = knn(asked, items, k, id=id, attrs=attrs, by=[item_year])
+    merged = Window.partitionBy("x", "y", "_year").orderBy("distance", id)
+    found = found.withColumn("rank", F.row_number().over(merged)).filter(F.col("rank") <= k)
+    found = dated.join(found.hint("merge"), ["x", "y", "_year"]).select(site, "x", "y", item_year, id, *attrs, "distance")
     best = Window.partitionBy(site).orderBy("distance", id)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

@@ -9,11 +9,11 @@ from sitegauge.operators import feature_space as sp
 from sitegauge.operators import joins as jn
 from sitegauge.operators import lines as ln
 from sitegauge.operators import polygons as pg
-from sitegauge.operators.nearest import nearest
+from sitegauge.operators.nearest import knn_in_years, nearest
 from sitegauge.operators.radius import length_within, pairs_within
 from sitegauge.plans.bindings import explode_ring
 
-N = 70_000
+N = 120_000
 
 
 def plan_of(df) -> list[str]:
@@ -155,3 +155,22 @@ def test_feature_space_search_over_many_groups(spark, monkeypatch):
     for r in sorted(found, key=lambda r: (r["id"], r["rank"])):
         got.setdefault(r["id"], []).append(r["neighbour_id"])
     assert got == {i: w.tolist() for i, w in enumerate(want)}
+
+
+def test_years_are_merged_before_the_sites_are_met(spark, monkeypatch):
+    """Sites of one place and year meet k items; a site that is there twice ranks the items of both rows."""
+    from sitegauge.operators import nearest as nr
+
+    asked = []
+    search = nr.knn
+    monkeypatch.setattr(nr, "knn", lambda q, *a, **o: asked.append(q.count()) or search(q, *a, **o))
+    rows = [(s, 0.0, 0.0, "2000-05-01") for s in range(5)] + [(7, 0.0, 0.0, "2001-01-01")] * 2 + [(8, 0.0, 0.0, None)]
+    sites = spark.createDataFrame(rows, "site int, x double, y double, day string").withColumn("day", F.to_date("day"))
+    items = spark.createDataFrame([(i, float(i), 0.0, 2000 + i % 3) for i in range(1, 13)], "id int, x double, y double, yr int")
+    found = knn_in_years(sites, items, 4, years=range(2), date="day", item_year="yr", site="site", id="id")
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r["site"], r["rank"])):
+        got.setdefault(r["site"], []).append((r["id"], r["yr"]))
+    early = [(1, 2001), (3, 2000), (4, 2001), (6, 2000)]
+    assert got == {**{s: early for s in range(5)}, 7: [(1, 2001), (1, 2001), (2, 2002), (2, 2002)]}
+    assert asked[0] <= 2 * 3
