@@ -174,3 +174,69 @@ def test_years_are_merged_before_the_sites_are_met(spark, monkeypatch):
     early = [(1, 2001), (3, 2000), (4, 2001), (6, 2000)]
     assert got == {**{s: early for s in range(5)}, 7: [(1, 2001), (1, 2001), (2, 2002), (2, 2002)]}
     assert asked[0] <= 2 * 3
+
+
+def _dated_layer(spark):
+    """Places in a row of overlapping squares, a ring too long for blocks, and states on two days."""
+    square = lambda c, h: [(c - h, -h), (c + h, -h), (c + h, h), (c - h, h)]
+    rows = [(k, n, *map(float, p), *map(float, q)) for k in range(30) for n, (p, q) in enumerate(zip(square(k, 20), square(k, 20)[1:] + square(k, 20)[:1], strict=True))]
+    for n, (p, q) in enumerate(zip(square(200, 10), square(200, 10)[1:] + square(200, 10)[:1], strict=True)):
+        for k in range(10):
+            at = lambda t: (p[0] + (q[0] - p[0]) * t / 10, p[1] + (q[1] - p[1]) * t / 10)  # noqa: B023, E731
+            rows.append((99, 10 * n + k, *map(float, at(k)), *map(float, at(k + 1))))
+    edges = spark.createDataFrame(rows, "id long, edge_no int, ax double, ay double, bx double, by double")
+    points = spark.createDataFrame([(k, float(x), 0.0, d) for k, (x, d) in enumerate([(10, "2020-01-05"), (10, "2020-02-05"), (45, "2020-02-05"), (200, "2020-02-05"), (212, "2019-01-01"), (500, None)])],
+                                   "sid long, x double, y double, d string").withColumn("d", F.to_date("d"))
+    return points, edges
+
+
+def test_rings_near_a_place_form_no_rows(spark, monkeypatch):
+    """Sums within radii come without the pairs of places and polygons, which only rings of many edges may form."""
+    points, edges = _dated_layer(spark)
+    short = edges.filter("id < 99")
+    attributes = short.select("id").distinct().withColumns({"area": F.lit(1600.0), "kind": F.col("id") % 2, "v": F.col("id").cast("double")})
+    states = attributes.select("id", F.explode(F.array(F.lit("2020-01-01").cast("date"), F.lit("2020-02-01").cast("date"))).alias("day")).withColumn("n", (F.col("id") + F.month("day")).cast("long"))
+    with monkeypatch.context() as m:
+        m.setattr(pg, "polygons_within", lambda *a: pytest.fail("pairs of short rings are formed"))
+        m.setattr(pg, "clip_pairs", lambda *a: pytest.fail("pairs of short rings are formed"))
+        counts = {r["sid"]: r for r in pg.counts_within(points, short, [5, 30], "id", attributes, "kind", [0, 1]).collect()}
+        means = {r["sid"]: r["v_weighted"] for r in pg.area_weighted_mean(points, short, 30, "id", attributes, ["v"]).collect()}
+        active = {r["sid"]: r for r in pg.active_polygons(points, short, [5], "id", states, "d", "day", ["n"]).collect()}
+    assert [counts[k]["count_5"] for k in range(6)] == [30, 30, 10, 0, 0, 0] and counts[2]["count_30"] == 30
+    assert counts[2]["count_5_0"] == 5 and counts[2]["area_5"] == 16000.0
+    assert abs(means[0] - means[1]) < 1e-9 and means[2] > 14.5 and means[3] is None
+    assert (active[0]["n_on_site"], active[1]["n_on_site"], active[3]["n_on_site"]) == (sum(range(30)) + 30, sum(range(30)) + 60, 0)
+    assert active[2]["n_on_site"] == sum(k + 2 for k in range(25, 30)) and active[2]["n_5"] == sum(k + 2 for k in range(20, 30))
+
+
+def test_blocks_and_long_rings_add_up(spark, monkeypatch):
+    """A long ring counts beside short ones; cells dealt out in parts and small batches give the same sums."""
+    points, edges = _dated_layer(spark)
+    attributes = edges.select("id").distinct().withColumns({"area": F.lit(1.0), "kind": F.lit(0)})
+    states = attributes.select("id", F.lit("2020-01-01").cast("date").alias("day"), F.lit(1 << 52).alias("n"))
+
+    def run():
+        counts = pg.counts_within(points, edges, [5, 30], "id", attributes).collect()
+        clips = pg.clipped_area_by_class(points, edges.withColumn("kind", F.lit(0)), [30], "id", "kind", [0]).collect()
+        active = pg.active_polygons(points, edges, [5], "id", states, "d", "day", ["n"]).collect()
+        return [[tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in sorted(rows, key=lambda r: r["sid"])] for rows in (counts, clips, active)]
+
+    whole = run()
+    assert [r[4] for r in whole[0]] == [30, 30, 10, 1, 1, 0] and whole[2][0][4] == 30 << 52 and whole[2][3][4] == 1 << 52
+    for name, n in (("PART_ROWS", 1), ("PART_PAIRS", 20), ("TRIED", 3), ("HELD", 2)):
+        monkeypatch.setattr(pg.blocks, name, n)
+    assert run() == whole
+
+
+def test_touching_rings_are_tried_once(spark):
+    """Short rings touch without a row per pair of edges; a long ring, one without id and one with a gap go edge by edge."""
+    _, edges = _dated_layer(spark)
+    odd = spark.createDataFrame([(None, 0, 0.0, 0.0, 50.0, 50.0), (98, 0, 190.0, 0.0, 215.0, 0.0), (98, 1, None, 0.0, 0.0, 0.0)], edges.schema)
+    every = edges.unionByName(odd)
+    got = sorted(map(tuple, pg.polygon_intersects(every, every, "id", "id", ascending=True).collect()))
+    assert got == sorted([(a, b) for a in range(30) for b in range(a + 1, 30)] + [(98, 99)])
+    assert sorted(map(tuple, pg._touching_by_edges(every, every, "id", "id").filter("id_a < id_b").collect())) == got
+    both = lambda f: sorted(map(tuple, f(every, every, "id", "id").collect()), key=str)
+    assert both(pg.polygon_intersects) == both(pg._touching_by_edges)
+    short = edges.filter("id < 99")
+    assert not [line for line in plan_of(pg.polygon_intersects(short, short, "id", "id")) if "no_a" in line]
