@@ -4,10 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitegauge import session
 from sitegauge.operators import corridors as co
 from sitegauge.operators import feature_space as sp
 from sitegauge.operators import joins as jn
 from sitegauge.operators import lines as ln
+from sitegauge.operators import models
 from sitegauge.operators import polygons as pg
 from sitegauge.operators.nearest import knn_in_years, nearest
 from sitegauge.operators.radius import length_within, pairs_within
@@ -240,3 +242,57 @@ def test_touching_rings_are_tried_once(spark):
     assert both(pg.polygon_intersects) == both(pg._touching_by_edges)
     short = edges.filter("id < 99")
     assert not [line for line in plan_of(pg.polygon_intersects(short, short, "id", "id")) if "no_a" in line]
+
+
+class _Watched:
+    """A regressor that notes the parts of the frames it is fitted on."""
+
+    def __init__(self, inner, parts):
+        self.inner, self.parts = inner, parts
+
+    def setMaxDepth(self, depth):
+        self.inner.setMaxDepth(depth)
+        return self
+
+    def fit(self, df):
+        self.parts.append(df.rdd.getNumPartitions())
+        return self.inner.fit(df)
+
+
+def _watched(monkeypatch):
+    parts, plain = [], models.regressor
+    monkeypatch.setattr(session, "SPREAD_ROWS", (20, 100))
+    monkeypatch.setattr(models, "regressor", lambda *a, **k: _Watched(plain(*a, **k), parts))
+    return parts
+
+
+def _measured(spark, n=160):
+    rows = [(k, k % 5, float(k % 13), float(k * 7 % 11)) for k in range(n)]
+    return spark.createDataFrame(rows, "id long, fold int, a double, b double").withColumn("days", F.col("a") * 3 + F.col("b")).coalesce(1)
+
+
+def test_tuning_fits_each_depth_and_fold_once_on_spread_rows(spark, monkeypatch):
+    parts, plain = _watched(monkeypatch), models.regressor
+    df = _measured(spark)
+    got = {r["depth"]: r["rmse"] for r in models.tune(df, ["a", "b"], "days", "fold", [1, 2]).collect()}
+    assert len(parts) == 10 and set(parts) == {8}
+    x = models.assembler(["a", "b"]).transform(df)
+    for depth in (1, 2):
+        errors = []
+        for i in range(5):
+            model = plain("days", "prediction").setMaxDepth(depth).fit(x.filter(F.col("fold") != i))
+            errors.append(model.transform(x.filter(F.col("fold") == i)).agg(F.sqrt(F.avg((F.col("prediction") - F.col("days")) ** 2))).first()[0])
+        assert abs(got[depth] - sum(errors) / 5) < 1e-9
+
+
+@pytest.mark.parametrize("fold", ["fold + 1", "0", "CASE WHEN id > 3 THEN fold END"])
+def test_tuning_refuses_folds_outside_or_empty(spark, fold):
+    with pytest.raises(Exception, match="fold|Fold"):
+        models.tune(_measured(spark).withColumn("fold", F.expr(fold).cast("int")), ["a", "b"], "days", "fold", [1])
+
+
+def test_spread_parts_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD_ROWS", (20, 100))
+    parts = lambda n: session.spread(spark.range(n).coalesce(1)).rdd.glom().map(len).collect()
+    assert [len(parts(n)) for n in (0, 5, 60, 800, 801)] == [1, 1, 3, 8, 16]
+    assert max(parts(801)) <= 100 and sum(parts(801)) == 801
