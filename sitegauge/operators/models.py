@@ -134,19 +134,26 @@ def residual_stack(train: DataFrame, rows: DataFrame, features: Sequence[str], l
     checkpoint folder so lost executors do not replay the whole chain.
     """
     train, rows = (assembler(features).transform(d) for d in (train, rows))
+    train = spread(train)
     base = regressor(label, "base").fit(train)
     train, rows = (cut_lineage(base.transform(d)) for d in (train, rows))
     train = train.withColumn("_left", F.col(label) - F.col("base"))
+
+    def fitted_head(name: str):
+        part = train.filter(F.expr(cohorts[name]))
+        return regressor("_left", f"head_{name}").fit(part) if part.take(1) else None
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        models = dict(zip(cohorts, pool.map(fitted_head, cohorts), strict=True))
     heads = []
-    for name, predicate in cohorts.items():
-        part = train.filter(F.expr(predicate))
-        if part.take(1):
-            head = regressor("_left", f"head_{name}").fit(part)
-            gate = F.expr(predicate)
-            train, rows = (head.transform(d).withColumn(f"head_{name}", F.when(gate, F.col(f"head_{name}")).otherwise(0.0)) for d in (train, rows))
+    scored = train
+    for name, head in models.items():
+        if head is not None:
+            gate = F.expr(cohorts[name])
+            scored, rows = (head.transform(d).withColumn(f"head_{name}", F.when(gate, F.col(f"head_{name}")).otherwise(0.0)) for d in (scored, rows))
             heads.append(f"head_{name}")
     total = sum((F.col(h) for h in heads), F.lit(0.0))
-    train = cut_lineage(train.withColumn("_left", F.col("_left") - total))
+    train = cut_lineage(scored.withColumn("_left", F.col("_left") - total))
     outputs = assembler(["base", *heads], "_stages")
     scale = LinearRegression(featuresCol="_stages", labelCol="_left", predictionCol="corrector", regParam=1.0, elasticNetParam=0.0)
     fitted = scale.fit(outputs.transform(train))

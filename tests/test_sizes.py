@@ -291,6 +291,16 @@ def test_tuning_refuses_folds_outside_or_empty(spark, fold):
         models.tune(_measured(spark).withColumn("fold", F.expr(fold).cast("int")), ["a", "b"], "days", "fold", [1])
 
 
+def test_stack_learns_from_spread_rows(spark, monkeypatch):
+    parts = _watched(monkeypatch)
+    df = _measured(spark)
+    out = models.residual_stack(df, df, ["a", "b"], "days", {"one": "a > 6", "none": "a > 99", "two": "b < 5"}).collect()
+    assert len(parts) == 3 and set(parts) == {8} and len(out) == 160 and "head_none" not in out[0].asDict()
+    for r in out:
+        assert abs(r["base"] + r["head_one"] + r["head_two"] + r["corrector"] - r["prediction"]) < 1e-9
+        assert (r["a"] > 6 or r["head_one"] == 0) and (r["b"] < 5 or r["head_two"] == 0)
+
+
 def test_spread_parts_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "SPREAD_ROWS", (20, 100))
     parts = lambda n: session.spread(spark.range(n).coalesce(1)).rdd.glom().map(len).collect()
