@@ -304,5 +304,5 @@ def test_stack_learns_from_spread_rows(spark, monkeypatch):
 def test_spread_parts_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(session, "SPREAD_ROWS", (20, 100))
     parts = lambda n: session.spread(spark.range(n).coalesce(1)).rdd.glom().map(len).collect()
-    assert [len(parts(n)) for n in (0, 5, 60, 800, 801)] == [1, 1, 3, 8, 16]
+    assert [len(parts(n)) for n in (5, 19, 20, 800, 801)] == [1, 1, 8, 8, 16]
     assert max(parts(801)) <= 100 and sum(parts(801)) == 801
