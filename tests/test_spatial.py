@@ -190,3 +190,21 @@ def test_feature_space_knn_equals_brute_force_with_copies(spark):
         d = np.sqrt(((z - z[i]) ** 2).sum(axis=1))
         order = sorted((d[j], j) for j in range(300) if j != i)[:5]
         assert [got[(i, n + 1)] for n in range(5)] == [j for _, j in order]
+
+
+def test_items_never_told_are_dropped_at_hot_places(spark):
+    rng = random.Random(8)
+    rows = [(k, float(k % 3), None if k % 3 == 2 else 1.0, None if k % 50 == 0 else rng.randrange(500)) for k in range(1500)] + [(7, 0.0, 1.0, 3)] * 2
+    df = spark.createDataFrame(rows, "pid long, x double, y double, done int").withColumn("done", F.date_add(F.lit("2000-01-01").cast("date"), "done"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        kept = nearest.ever_lowest(df, ["x", "y"], "pid", "done", 4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    full = df.collect()
+    assert len(kept) < 200 and sum(r["done"] is None for r in kept) == 30
+    for day in sorted({r["done"] for r in full if r["done"]}):
+        for x in (0.0, 1.0, 2.0):
+            want, got = (sorted(r["pid"] for r in part if r["x"] == x and r["done"] and r["done"] < day)[:4] for part in (full, kept))
+            assert got == want
