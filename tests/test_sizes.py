@@ -119,6 +119,37 @@ def test_corridor_of_sites_in_one_place(spark):
     assert got == [(1, 8.0, 3.0, 7, 0), (2, 8.0, 3.0, 7, 0), (2, 30.0, 3.0, 7, 0), (3, 1.0, None, None, None)]
 
 
+def test_capsules_are_cut_near_polygons_only(spark, monkeypatch):
+    """A capsule that a hundred others cross is cut where a polygon lies, not at each crossing."""
+    written = []
+    monkeypatch.setattr(co, "cut_lineage", lambda df: written.append(df) or df)
+    sites = spark.createDataFrame([(0, 5.0, -3.0)] + [(i, 10.0 * i + 95, 490.0) for i in range(1, 101)], "id int, x double, y double")
+    x, y = F.col("x"), F.col("y")
+    land = explode_ring(sites, [(x, y), (x + 6, y), (x + 6, y + 6), (x, y + 6)], ["id"])
+    crossing = [("a", 10.0 * i + 98, -500.0, 10.0 * i + 98, 500.0) for i in range(1, 101)]
+    lines = spark.createDataFrame([("a", 0.0, 0.0, 1500.0, 0.0), *crossing], "kind string, ax double, ay double, bx double, by double")
+    got = {r["id"]: r["sterilised_m2"] for r in co.sterilised_area(land, lines, {"a": 2.0}, "id", class_col="kind").collect()}
+    assert got == pytest.approx({i: 24.0 for i in range(101)})
+    parts = [df for df in written if {"cap", "s", "e"} <= set(df.columns)]
+    assert sum(df.count() for df in parts) <= 12 * 101
+
+
+@pytest.mark.parametrize("pieces", [1, 40])
+def test_sterilised_area_over_many_cells(spark, pieces):
+    """A polygon of many cells, of few edges or of many: a cross of two lines, counted once where they meet; a hole is left out."""
+    def ring(lo, hi, turn):
+        corners = [(lo, lo), (hi, lo), (hi, hi), (lo, hi)][::turn]
+        ends = [(a[0] + (b[0] - a[0]) * k / pieces, a[1] + (b[1] - a[1]) * k / pieces) for a, b in zip(corners, corners[1:] + corners[:1]) for k in range(pieces)]
+        return list(zip(ends, ends[1:] + ends[:1]))
+
+    edges = [(7, no, *a, *b) for no, (a, b) in enumerate(ring(-640.0, 768.0, 1) + ring(100.0, 200.0, -1))]
+    land = spark.createDataFrame(edges, "id int, edge_no int, ax double, ay double, bx double, by double")
+    lines = spark.createDataFrame([("a", -2000.0, 150.0, 2000.0, 150.0), ("a", 256.0, -2000.0, 256.0, 2000.0)], "kind string, ax double, ay double, bx double, by double")
+    got = co.sterilised_area(land, lines, {"a": 10.0}, "id", class_col="kind").first()
+    assert got["area"] == pytest.approx(1408.0**2 - 100.0**2)
+    assert got["sterilised_m2"] == pytest.approx(2 * 1408.0 * 20 - 20 * 20 - 100 * 20)
+
+
 def test_capsule_pieces_are_cut_once(spark, monkeypatch):
     """Cut pieces are written before they are met with the capsules, so they are not cut again for each action."""
     written = []
