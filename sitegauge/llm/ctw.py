@@ -9,8 +9,8 @@ code length.
 
 How it is spread out. Documents are packed into chunks of about ``CHUNK_BYTES`` of text. Each chunk lists its
 distinct grams (a byte with its context) and words with their training counts; counts are summed over the
-corpus by Spark. Nodes of two context bytes or more are worked off by the last two context bytes, so a task
-holds the trees of some suffixes; what is above (255 decisions of at most 257 contexts) is collected, being
+corpus by Spark. Nodes of two context bytes or more are worked off by the last two context bytes: a task reads
+its grams in their order and holds the trees of about ``TREE_ROWS`` grams at once, whole suffixes each time; what is above (255 decisions of at most 257 contexts) is collected, being
 bounded by its definition. Each chunk then gets the values of its own grams and words by a join and scores
 its documents. Nothing is pruned or hashed away, and no table of the corpus is broadcast.
 
@@ -33,6 +33,7 @@ from sitegauge.llm.words import SPACED, word_bounds, word_hashes
 
 DEPTH = 4
 CHUNK_BYTES, BYTES_PER_STEP = 32 << 20, 1 << 20
+TREE_ROWS = 1 << 18
 IS_WORD = 1 << 62  # set in the codes of words, never in those of grams
 END_WORD = IS_WORD  # the end token
 
@@ -154,18 +155,44 @@ class _Level:
         return _Level(short, np.bincount(inverse, self.n, minlength=len(short)).astype(np.int64)), inverse
 
 
+def _whole_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams that come by suffix and their counts, in blocks of ``TREE_ROWS`` or somewhat more: a suffix is never parted."""
+    held, size = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate([h[k] for h in held]) for k in range(2))
+
+    for b in batches:
+        code, n = b.column("code").to_numpy(), b.column("n").to_numpy()
+        if not len(code):
+            continue
+        if size >= TREE_ROWS:
+            ended = np.flatnonzero(((code ^ held[-1][0][-1]) >> 8) & 0xFFFF)
+            if len(ended):
+                cut = ended[0]
+                held.append((code[:cut], n[:cut]))
+                yield joined()
+                held, size, code, n = [], 0, code[cut:], n[cut:]
+        held.append((code, n))
+        size += len(code)
+    if held:
+        yield joined()
+
+
 def _suffix_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of two context bytes or more, for all suffixes of the task.
+    """Nodes of two context bytes or more, for all suffixes of the task; grams come by suffix.
 
     Gives each gram the probabilities of its eight decisions from there down, and each node of two context
     bytes its counts and log mixture, summed by the nearest context byte.
     """
+    for code, n in _whole_suffixes(batches):
+        yield from _trees(code, n)
+
+
+def _trees(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``_suffix_trees`` of a block of whole suffixes."""
     names = ["code", "below", "nearest", "node", "zeros", "ones", "log_mix"]
     types = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-    got = [(b.column("code").to_numpy(), b.column("n").to_numpy()) for b in batches]
-    if not sum(len(c) for c, _ in got):
-        return
-    code, n = np.concatenate([c for c, _ in got]), np.concatenate([x for _, x in got])
     key = code & 255
     for k in range(1, DEPTH + 1):  # nearest context byte first
         key |= ((code >> (8 * k)) & 255) << (8 * (DEPTH + 1 - k))
@@ -282,7 +309,8 @@ def scored(docs: DataFrame, train) -> DataFrame:
     totals = stored(asked.groupBy("code").agg(F.sum("n").alias("n")), "totals")
     words = totals.where(F.col("code") >= IS_WORD)
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("distinct")).first()
-    suffix = totals.where(F.col("code") < IS_WORD).repartition(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
+    last_two = F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF))
+    suffix = totals.where(F.col("code") < IS_WORD).repartition(last_two).sortWithinPartitions(last_two)
     trees = stored(suffix.mapInArrow(_suffix_trees, "code bigint, below binary, nearest int, node int, zeros double, ones double, log_mix double"), "trees")
     top = trees.where("node IS NOT NULL").groupBy("nearest", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "log_mix"))).collect()
     values = trees.where("node IS NULL").select("code", "below").mapInArrow(_values(spark.sparkContext.broadcast(_top(top))), "code bigint, value double")

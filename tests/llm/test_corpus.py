@@ -346,6 +346,34 @@ def naive_score(counts, text, depth):
     return total
 
 
+def test_context_trees_are_built_a_block_of_suffixes_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    code, n = np.unique(rng.integers(0, 1 << 40, 6000) & 0x03030F030F, return_counts=True)
+    order = np.argsort((code >> 8) & 0xFFFF, kind="stable")
+    code, n = code[order], n[order]
+    batches = [pa.RecordBatch.from_pydict({"code": code[x : x + 50], "n": n[x : x + 50]}) for x in range(0, len(code), 50)]
+
+    def told(rows: list) -> tuple[dict, dict]:
+        table = pa.Table.from_batches(rows).to_pylist()
+        sums = {}
+        for r in table:
+            if r["node"] is not None:
+                at = sums.setdefault((r["nearest"], r["node"]), np.zeros(3))
+                at += [r["zeros"], r["ones"], r["log_mix"]]
+        return {r["code"]: r["below"] for r in table if r["node"] is None}, sums
+
+    whole = told(list(ctw._suffix_trees(iter(batches))))
+    monkeypatch.setattr(ctw, "TREE_ROWS", 200)
+    read = []
+    blocks = ctw._suffix_trees(read.append(b.num_rows) or b for b in batches)
+    first = next(blocks)
+    assert sum(read) < len(code) / 4
+    below, sums = told([first, *blocks])
+    assert below == whole[0] and len(below) == len(code)
+    assert sums.keys() == whole[1].keys()
+    assert all(np.allclose(sums[k], whole[1][k], rtol=1e-12) for k in sums)
+
+
 def test_context_trees_against_recursion(spark):
     texts = ["Abracadabra", "abra cad", "", None, "banana", "zzz é"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
