@@ -1,5 +1,7 @@
 """Frames whose files say little about their size: what is broadcast, and what is paired once a place."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +121,36 @@ def test_corridor_of_sites_in_one_place(spark):
     assert got == [(1, 8.0, 3.0, 7, 0), (2, 8.0, 3.0, 7, 0), (2, 30.0, 3.0, 7, 0), (3, 1.0, None, None, None)]
 
 
+def shuffled(node, column: str) -> int:
+    """Shuffles of a plan that carry a column."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        node = node.initialPlan()
+    names = [node.output().apply(i).name() for i in range(node.output().size())]
+    kids = [node.children().apply(i) for i in range(node.children().size())]
+    return int(node.nodeName() == "Exchange" and column in names) + sum(shuffled(k, column) for k in kids)
+
+
+def test_states_are_shuffled_once_a_cell(spark):
+    """What a ring carries is sent to its cells once, not also to find out which cells have places."""
+    sites = spark.createDataFrame([(i, 100.0 * i, 50.0, datetime.date(2020, 1, 1 + i)) for i in range(20)], "site_id int, x double, y double, day date")
+    corner = spark.createDataFrame([(i, 300.0 * i) for i in range(7)], "zone_id int, c double")
+    c = F.col("c")
+    land = explode_ring(corner, [(c, c * 0), (c + 250, c * 0), (c + 250, c * 0 + 90), (c, c * 0 + 90)], ["zone_id"])
+    states = spark.createDataFrame([(i, datetime.date(2020, 1, d), 10 * i + d) for i in range(7) for d in (3, 9, 15)] + [(2, None, 5)], "zone_id int, since date, value long")
+    out = pg.active_polygons(sites, land, [120.0], "zone_id", states, "day", "since", ["value"])
+    assert shuffled(out._jdf.queryExecution().executedPlan(), "_state_values") == 1
+
+    def value(zone, day):
+        past = [(d or datetime.date.min, v) for z, d, v in states.collect() if z == zone and (d is None or d <= day)]
+        return max(past)[1] if past else 0
+
+    got = {r["site_id"]: (r["value_on_site"], r["value_120"]) for r in out.collect()}
+    for i in range(20):
+        x, day = 100.0 * i, datetime.date(2020, 1, 1 + i)
+        gap = [max(300.0 * z - x, x - 300.0 * z - 250, 0.0) for z in range(7)]
+        assert got[i] == tuple(sum(value(z, day) for z in range(7) if gap[z] <= r) for r in (0.0, 120.0)), i
+
+
 def test_capsules_are_cut_near_polygons_only(spark, monkeypatch):
     """A capsule that a hundred others cross is cut where a polygon lies, not at each crossing."""
     written = []
