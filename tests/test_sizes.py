@@ -369,3 +369,20 @@ def test_spread_parts_follow_the_rows(spark, monkeypatch):
     parts = lambda n: session.spread(spark.range(n).coalesce(1)).rdd.glom().map(len).collect()
     assert [len(parts(n)) for n in (5, 19, 20, 800, 801)] == [1, 1, 8, 8, 16]
     assert max(parts(801)) <= 100 and sum(parts(801)) == 801
+
+
+def test_feature_space_search_takes_turns(spark, monkeypatch):
+    """Groups of queries that are sent much take turns; each is written, so its shuffle files can go."""
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(150, 3)).round(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(z)], "id long, z array<double>")
+    for name, value in (("BLOCK", 16), ("PART_ROWS", 32), ("ROUND_CELLS", 1500)):
+        monkeypatch.setattr(sp, name, value)
+    turns, write = [], sp.written
+    monkeypatch.setattr(sp, "written", lambda t: turns.append(t) or write(t))
+    got = {(r["id"], r["rank"]): r["neighbour_id"] for r in sp.knn(df, df, 4, query_id="id", item_id="id").collect()}
+    assert len(turns) > 2
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    want = {(i, k + 1): j for i in range(150) for k, j in enumerate([j for j in np.lexsort((np.arange(150), d[i])) if j != i][:4])}
+    assert got == want
+    assert sp._turns([(3, 5), (1, 4), (2, 9), (0, 2)], 10) == [[0, 1], [2], [3]]
